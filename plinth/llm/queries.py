@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import licenses, packing, records, url_filter
+from plinth.llm import licenses, packing, quality_classifier, quality_rules, records, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": quality_classifier.op1,
         "op4_best_fit_packing": packing.op4,
         "op6_url_filter": url_filter.op6,
         "op7_license_scan": licenses.op7,
+        "op9_quality_rules": quality_rules.op9,
         "op10_token_records": records.op10,
     }
 
