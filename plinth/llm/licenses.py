@@ -14,6 +14,9 @@ Defined results: a null or empty text has no licence; repeated rows each get a r
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,22 +82,31 @@ def identifiers(text: Column, sentences: tuple[tuple[str, str], ...] = SENTENCES
     return F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" "))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value) with value evaluated once: a lambda's variable is bound, where a column's expression would be repeated."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def scan(docs: DataFrame, text: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
-    """docs' columns and sentence_ids, matched (array of rule, licence, class), n_matches and licences (comma-joined, sorted).
+    """docs' columns and sentence_ids, matched (array of rule, licence, kind, run), n_matches and licences (comma-joined, sorted).
 
     Columns of those names in docs are replaced.
     """
-    anchors = [a for a in ANCHORS]
-    for i, s in sentences:
-        if not any(a in s for a in anchors):
-            anchors.append(s)
-    lowered = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    possible = F.regexp_like(lowered, F.lit("|".join(a.replace(" ", r"[^a-z0-9]+") for a in anchors)))
+    anchors = [*ANCHORS, *(s.split(" ")[0] for _, s in sentences if not any(a in s for a in ANCHORS))]
     all_rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(lic).alias("licence"), F.lit(c).alias("kind"), F.lit(f" {' '.join(ids)} ").alias("run")) for i, lic, c, ids in rules])
+
+    def longest(found: Column) -> Column:
+        return F.filter(found, lambda r: ~F.exists(found, lambda q: q["run"].contains(r["run"]) & (q["run"] != r["run"])))
+
+    def recognise(ids: Column) -> Column:
+        return _let(F.filter(all_rules, lambda r: ids.contains(r["run"])), lambda found: F.struct(ids.alias("ids"), longest(found).alias("matched")))
+
+    # lower() maps A-Z as the lookup does, and only adds letters beyond ASCII, so no known sentence is missed
+    possible = _let(F.lower(F.col(text)), lambda low: reduce(or_, [low.contains(a) for a in anchors]))
     keep = [c for c in docs.columns if c.lower() not in ("sentence_ids", "matched", "n_matches", "licences")]
-    out = docs.select(*keep).withColumn("sentence_ids", F.when(possible, identifiers(F.col(text), sentences)).otherwise(F.lit(" ")))
-    out = out.withColumn("matched", F.filter(all_rules, lambda r: F.col("sentence_ids").contains(r["run"])))
-    out = out.withColumn("matched", F.filter("matched", lambda r: ~F.exists("matched", lambda q: q["run"].contains(r["run"]) & (q["run"] != r["run"]))))
+    out = docs.select(*keep, F.when(possible, _let(identifiers(F.col(text), sentences), recognise)).alias("_found"))
+    nothing = F.filter(all_rules, lambda r: F.lit(False))
+    out = out.select(*keep, F.coalesce("_found.ids", F.lit(" ")).alias("sentence_ids"), F.coalesce("_found.matched", nothing).alias("matched"))
     return out.withColumns({"n_matches": F.size("matched").cast("long"), "licences": F.array_join(F.array_sort(F.array_distinct(F.transform("matched", lambda r: r["licence"]))), ",")})
 
 
