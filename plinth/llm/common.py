@@ -118,8 +118,9 @@ class Words:
         return np.diff(self.first)
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> Words:
-    solid = ~_WHITE[data]
+def words(data: np.ndarray, offs: np.ndarray, between: np.ndarray = _WHITE) -> Words:
+    """The words of a slice; between says for each byte whether it parts words."""
+    solid = ~between[data]
     if not solid.size:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(len(offs), np.int64))

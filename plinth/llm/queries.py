@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import licenses, near_dedup, packing, pii, quality_classifier, quality_rules, records, url_filter
+from plinth.llm import html_extract, licenses, near_dedup, packing, pii, quality_classifier, quality_rules, records, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": quality_classifier.op1,
         "op2_pii_crf": pii.op2,
+        "op3_html_extract": html_extract.op3,
         "op4_best_fit_packing": packing.op4,
         "op5_near_dedup": near_dedup.op5,
         "op6_url_filter": url_filter.op6,
