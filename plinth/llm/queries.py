@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import html_extract, licenses, near_dedup, packing, pii, quality_classifier, quality_rules, records, url_filter
+from plinth.llm import decontaminate, html_extract, licenses, near_dedup, packing, pii, quality_classifier, quality_rules, records, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_near_dedup": near_dedup.op5,
         "op6_url_filter": url_filter.op6,
         "op7_license_scan": licenses.op7,
+        "op8_decontaminate": decontaminate.op8,
         "op9_quality_rules": quality_rules.op9,
         "op10_token_records": records.op10,
     }
