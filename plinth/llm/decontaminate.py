@@ -4,12 +4,12 @@ Words are folded (A-Z and Latin-1 capitals lower-cased, ASCII signs parting word
 
 1. One pass counts, over all documents, in how many each word of the benchmark occurs (IDF).
 2. Terms are the benchmark's informative words: in at most MAX_SHARE of documents, and in any case the rarest
-   TERMS_EACH of each item. Passages are windows of WINDOW words every STRIDE words, weighted by TF-IDF.
-3. A randomised SVD of the passage-term matrix (all corpus passages that hold two terms or more, and the benchmark's
-   own) gives the latent space: two sketching products X'(XQ), each summed over tasks; the matrix itself, terms by
-   RANK, is bounded by the benchmark. Items are kept in blocks of MAX_ITEMS, so a large benchmark is a query set
-   against all rows, in blocks.
-4. In one pass over the texts, passages are projected; those with a cosine of at least COSINE to a benchmark passage
+   TERMS_EACH of each item. Passages are windows of WINDOW words, weighted by TF-IDF.
+3. A randomised SVD of the passage-term matrix (windows side by side over the whole corpus, all that hold MIN_TERMS
+   terms or more, and the benchmark's own) gives the latent space: two sketching products X'(XQ), each summed over
+   tasks; the matrix itself, terms by RANK, is bounded by the benchmark. Items are kept in blocks of MAX_ITEMS, so a
+   large benchmark is a query set against all rows, in blocks.
+4. In one pass over the texts, windows at every STRIDE-th word are projected; those with a cosine of at least COSINE to a benchmark passage
    are verified against it there and then, on the words around: by the longest common subsequence (bit-parallel), by
    a shared run of RUN words, or by a weaker subsequence along with the item's answer (its last sentence).
 
@@ -37,7 +37,9 @@ ITEM_WORDS = 48
 MAX_SHARE = 0.01
 TERMS_EACH = 8
 RANK = 256
-COSINE = 0.35
+COSINE = 0.4
+#: Terms that a corpus passage holds at least (or as many as the poorest benchmark passage has, if fewer).
+MIN_TERMS = 3
 #: Shares of a benchmark passage's words: as a common subsequence alone, and along with the answer.
 LCS_ALONE, LCS_WITH_ANSWER = 0.7, 0.5
 RUN = 13
@@ -106,23 +108,23 @@ def benchmark_passages(rows: list[tuple[int, str]]) -> list[Passage]:
     return out
 
 
-def windows(doc: np.ndarray, first: np.ndarray, at: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(doc: np.ndarray, first: np.ndarray, at: np.ndarray, term: np.ndarray, least: int = MIN_TERMS, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of term occurrences (at: word numbers of a slice), per passage and term: passage number, term, count; and each
-    passage's first word. Passages begin at every STRIDE-th word of a text; those of fewer than two terms are left out."""
+    passage's first word. Passages begin at every stride-th word of a text; those of fewer than least terms are left out."""
     inside = at - first[doc[at]]
-    steps = WINDOW // STRIDE
-    start = (inside // STRIDE)[:, None] - np.arange(steps)
+    steps = WINDOW // stride
+    start = (inside // stride)[:, None] - np.arange(steps)
     ok = start >= 0
-    key = (first[doc[at]][:, None] + start * STRIDE)[ok]
+    key = (first[doc[at]][:, None] + start * stride)[ok]
     who = np.broadcast_to(term[:, None], start.shape)[ok]
     pairs, counts = np.unique(key * (1 << 24) + who, return_counts=True)
     begin, who = pairs >> 24, pairs & ((1 << 24) - 1)
     some = np.flatnonzero(np.diff(np.concatenate(([-1], begin))))
     size = np.diff(np.concatenate((some, [len(begin)])))
-    keep = np.repeat(size > 1, size)
+    keep = np.repeat(size >= least, size)
     passage = np.repeat(np.arange(len(size)), size)[keep]
     passage = np.cumsum(np.concatenate(([0], np.diff(passage) > 0))) if len(passage) else passage
-    return passage, who[keep], counts[keep], begin[some[size > 1]]
+    return passage, who[keep], counts[keep], begin[some[size >= least]]
 
 
 def weighted(passage: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -153,6 +155,7 @@ class Latent:
     basis: np.ndarray
     passages: list[Passage]
     vectors: np.ndarray
+    least: int
 
 
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
@@ -176,8 +179,8 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
     return out, int(sums[sums.word < 0].n.sum())
 
 
-def corpus_passages(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """The passage-term counts of all documents, a binary row for each slice of texts that has any."""
+def corpus_passages(docs: DataFrame, terms: np.ndarray, least: int) -> DataFrame:
+    """The passage-term counts of all documents (windows side by side), a binary row for each slice of texts that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(terms)
@@ -186,7 +189,7 @@ def corpus_passages(docs: DataFrame, terms: np.ndarray) -> DataFrame:
                 w, h = folded_words(data, offs)
                 at, number = look.positions(h)
                 if len(at):
-                    p, t, c, _ = windows(w.doc, w.first, at, number)
+                    p, t, c, _ = windows(w.doc, w.first, at, number, least, WINDOW)
                     if len(p):
                         yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (p, t, np.minimum(c, WINDOW))], ["passage", "term", "count"])
 
@@ -195,19 +198,18 @@ def corpus_passages(docs: DataFrame, terms: np.ndarray) -> DataFrame:
 
 def _summed(found: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
     """X'(Xq) over all corpus passages: one partial matrix a task, cut in strips of terms, summed by strip."""
-    strip = 256
-    shape = q.shape
+    strip, shape, narrow = 256, q.shape, q.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_rows = np.zeros(shape), False
+        total, any_rows = np.zeros(shape, np.float32), False
         for batch in batches:
             for p, t, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 p, t, c = (np.frombuffer(x, "<i4") for x in (p, t, c))
-                total += _products(p, t, weighted(p, t, c, idf), q)
+                total += _products(p, t, weighted(p, t, c, idf).astype(np.float32), narrow)
                 any_rows = True
         if any_rows:
             parts = range(0, shape[0], strip)
-            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([total[i : i + strip].astype("<f4").tobytes() for i in parts], pa.binary())], ["strip", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([total[i : i + strip].tobytes() for i in parts], pa.binary())], ["strip", "part"])
 
     def add(strips: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, "<f4") for x in strips.column("part").to_pylist()]
@@ -245,14 +247,15 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> Late
     p, t, c = _rows_of(passages, Lookup(terms))
     own = weighted(p, t, c, idf)
     rank = min(rank, len(terms))
-    found = materialise(corpus_passages(docs, terms))
+    least = min(MIN_TERMS, int(np.bincount(p, minlength=len(passages)).min()))
+    found = materialise(corpus_passages(docs, terms, least))
     q = np.linalg.qr(np.random.default_rng(11).standard_normal((len(terms), rank)))[0]
     for _ in range(2):
         q = np.linalg.qr(_summed(found, idf, q) + _products(p, t, own, q))[0]
     vectors = np.zeros((len(passages), rank))
     np.add.at(vectors, p, q[t] * own[:, None])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    return Latent(terms, idf, q.astype(np.float32), passages, vectors.astype(np.float32))
+    return Latent(terms, idf, q.astype(np.float32), passages, vectors.astype(np.float32), least)
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -288,7 +291,7 @@ class Matcher:
         at, number = self.look.positions(h)
         if not len(at):
             return
-        p, t, c, begin = windows(w.doc, w.first, at, number)
+        p, t, c, begin = windows(w.doc, w.first, at, number, self.latent.least)
         if not len(p):
             return
         weight = weighted(p, t, c, self.latent.idf).astype(np.float32)
@@ -304,10 +307,9 @@ class Matcher:
                 doc = int(w.doc[first])
                 own = self.latent.passages[k]
                 text = h[max(w.first[doc], first - STRIDE) : min(w.first[doc + 1], first + WINDOW + max(STRIDE, len(own.words)))]
-                share = lcs(own.words, text) / len(own.words)
-                if share < LCS_WITH_ANSWER and len(own.words) <= RUN:
-                    continue
-                run = not self.runs[k].isdisjoint(_grams(text, min(RUN, len(own.words))))
+                common = lcs(own.words, text)
+                share = common / len(own.words)
+                run = common >= min(RUN, len(own.words)) and not self.runs[k].isdisjoint(_grams(text, min(RUN, len(own.words))))
                 answer = share >= LCS_WITH_ANSWER and _holds(text, own.answer)
                 if run or (share >= LCS_ALONE and len(own.words) > RUN) or answer:
                     yield doc, int(k), float(cosines[row, k]), share, run, answer
