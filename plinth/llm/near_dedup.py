@@ -9,9 +9,11 @@ Two documents are linked when 100 * |intersection| >= similarity * |union|.
 2. Classes that share a band key are candidates. At 80 % similarity a pair shares none of the 36 bands of 5 with
    a probability of 6e-7. First each bucket's members are compared with one leader only, the class with the most
    company over all its buckets. Pairs of far too high XOR population count are dropped by the sketch: at 180 samples
-   the bound is more than six standard deviations from 80 %.
-3. The rest are confirmed on the full sets, from the texts. Confirmed links are merged into components.
-4. Buckets that still hold several components are compared within, block by block: a join on (bucket, block pair)
+   the bound is five standard deviations from 80 %.
+3. The rest are confirmed on the full sets, from the texts. Confirmed links are merged into components. Buckets that
+   hold several components get a leader drawn anew, another in each bucket, for members of other components, a few
+   times: members of a large group share many buckets, and so meet many leaders at the cost of one row a bucket.
+4. Buckets that even then hold several components are compared within, block by block: a join on (bucket, block pair)
    whose condition is the sketch itself, for pairs of different components. So every candidate pair is either
    already connected, or has been compared: no bucket is capped, and no group is expanded into all its pairs.
 
@@ -34,8 +36,10 @@ from plinth.llm.common import combine, materialise, mix, span_hashes, table, tex
 BANDS, ROWS = 36, 5
 SKETCH_BITS = 512
 SIMILARITY = 80
-#: Estimated percent similarity below which a candidate pair is dropped unseen.
-SCREEN = 60
+#: Estimated percent similarity below which a candidate pair is dropped unseen: five standard deviations below 80 %.
+SCREEN = 65
+#: Times that each bucket that still holds several components is compared with a leader drawn anew.
+LEADER_ROUNDS = 4
 #: Members of a bucket that one block of the block-by-block comparison holds.
 BLOCK = 4096
 
@@ -174,34 +178,50 @@ def _screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.where(differing_bits("sa", "sb") <= most_bits()).select("a", "b")
 
 
-def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame | None:
-    """node, component over class ids; None if nothing is linked."""
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """node, component over class ids, for those that have a link."""
     keys = classes.select("rep", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(keys.join(buckets, "key"))
     company = members.groupBy("rep").agg(F.sum("n").alias("company"))
-    ranked = members.join(company, "rep")
     order = F.struct(-F.col("company"), F.xxhash64("rep"), "rep")
-    leaders = ranked.groupBy("key").agg(F.min(order).alias("lead")).select("key", F.col("lead.rep").alias("a"))
-    pairs = members.join(leaders, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    leaders = members.join(company, "rep").groupBy("key").agg(F.min(order).alias("lead")).select("key", F.col("lead.rep").alias("a"))
+    pairs = members.join(leaders, "key").where("rep <> a").select(*_ordered(F.col("a"), F.col("rep"))).distinct()
     tried = materialise(_screened(pairs, classes))
     links = materialise(confirmed(tried, docs, shingle, similarity))
     label = components(links)
 
-    # buckets of three or more that hold several components
-    named = members.where("n > 2").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    left = materialise(named.join(open_keys, "key").join(classes.select("rep", "sketch"), "rep").select("key", "rep", "component", "sketch", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    if left.isEmpty():
-        return label
-    block = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")
-    own = left.withColumn("own", block)
+    def still_open() -> DataFrame:
+        """Members of buckets of three or more that hold several components."""
+        named = members.where("n > 2").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        several = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
+        return materialise(named.join(several, "key").select("key", "rep", "component", "n"))
+
+    left = still_open()
+    for number in range(1, LEADER_ROUNDS + 1):
+        if left.isEmpty():
+            return label
+        drawn = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key", F.lit(number)), "rep", "component")).alias("lead"))
+        pairs = left.join(drawn, "key").where("component <> lead.component").select(*_ordered(F.col("rep"), F.col("lead.rep"))).distinct()
+        fresh = materialise(_screened(pairs.join(tried, ["a", "b"], "left_anti"), classes))
+        added = materialise(confirmed(fresh, docs, shingle, similarity))
+        tried = tried.unionAll(fresh)
+        if added.isEmpty():
+            break
+        links = links.unionAll(added)
+        label = components(links)
+        left = still_open()
+
+    own = left.join(classes.select("rep", "sketch"), "rep").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
     x = own.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("rep").alias("ra"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
     y = own.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("rep").alias("rb"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
     found = x.join(y, ["key", "i", "j"]).where((F.col("ca") != F.col("cb")) & ((F.col("i") != F.col("j")) | (F.col("ra") < F.col("rb"))) & (differing_bits("sa", "sb") <= most_bits()))
-    more = found.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-    seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    added = materialise(confirmed(more.join(seen, ["a", "b"], "left_anti"), docs, shingle, similarity))
+    more = found.select(*_ordered(F.col("ra"), F.col("rb"))).distinct()
+    added = materialise(confirmed(more.join(tried, ["a", "b"], "left_anti"), docs, shingle, similarity))
     return label if added.isEmpty() else components(links.unionAll(added))
 
 
