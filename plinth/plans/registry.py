@@ -1,4 +1,4 @@
-"""Names of the engine's own queries."""
+"""Names of the engine's own queries, and the SQL that each is held against."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plinth.plans import index_queries
+
+GROUPS = (index_queries,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for group in GROUPS for name, (query, _) in group.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for group in GROUPS for name, (_, sql) in group.QUERIES.items() if sql}
