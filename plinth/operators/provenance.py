@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.lineage import cut
+
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -76,7 +78,8 @@ def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", mo
         left = closed.withColumnsRenamed({"ancestor": "middle", "distance": "d1"})
         right = closed.withColumnsRenamed({"node": "middle", "distance": "d2"})
         longer = left.join(right, "middle").select("node", "ancestor", (F.col("d1") + F.col("d2")).alias("distance"))
-        closed = closed.unionAll(longer).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")).checkpoint()
+        closed = closed.unionAll(longer).groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+        closed = cut(closed)
         reach, (before, total) = 2 * reach, (total, closed.count())
         if before == total:
             break

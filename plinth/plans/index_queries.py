@@ -114,7 +114,7 @@ def _daily(spark, d):
 
 
 def growth_rates(spark, d):
-    return index.growth(_daily(spark, d), ["route"], "observed_on", "price", {"day_on_day": 1, "year_on_year": 365}).select("route", "observed_on", half_even(F.col("day_on_day"), 4).alias("day_on_day"), half_even(F.col("year_on_year"), 4).alias("year_on_year"))
+    return index.growth(_daily(spark, d), ["route"], "observed_on", "price", {"day_on_day": 1, "year_on_year": 365}).select("route", "observed_on", "day_on_day", "year_on_year")
 
 
 def publishability(spark, d):
@@ -178,7 +178,7 @@ QUERIES = {
     "weight_effective_on": (weight_effective_on, f"with {_VERSIONS} select d.day, v.route, v.passengers from (values (date '1995-06-30'), (date '1998-01-01'), (date '2001-12-31')) d(day) join versions v on v.valid_from <= d.day and (v.valid_to is null or v.valid_to > d.day)"),
     "weight_overlap_check": (weight_overlap_check, f"with {_VERSIONS}, moved as (select route, case when year(valid_from) = 1997 then date '1996-07-01' else valid_from end as valid_from, valid_to from versions), o as (select *, lag(valid_to) over w as before_to, row_number() over w as rn from moved window w as (partition by route order by valid_from, valid_to nulls last)) select route, valid_from, valid_to from o where rn > 1 and (before_to is null or before_to > valid_from)"),
     "chain_link_series": (chain_link_series, f"with {FARES_SQL}, y as (select route, year, exp(avg(ln(cast(total as double)))) as mean from fares where total > 0 group by route, year), l as (select route, year, coalesce(mean / lag(mean) over (partition by route order by year), 1.0) as relative from y) select route, year, round_even(100 * exp(sum(ln(relative)) over (partition by route order by year)), 6) as level from l"),
-    "growth_rates": (growth_rates, f"with {FARES_SQL}, p as (select route, observed_on, round_even(exp(avg(ln(cast(total as double)))), 2) as price from fares where total > 0 group by route, observed_on) select a.route, a.observed_on, round_even(round_even(case when b.price > 0 then (a.price / b.price - 1) * 100 end, 6), 4) as day_on_day, round_even(round_even(case when c.price > 0 then (a.price / c.price - 1) * 100 end, 6), 4) as year_on_year from p a left join p b on b.route = a.route and b.observed_on = a.observed_on - 1 left join p c on c.route = a.route and c.observed_on = a.observed_on - 365"),
+    "growth_rates": (growth_rates, f"with {FARES_SQL}, p as (select route, observed_on, round_even(exp(avg(ln(cast(total as double)))), 2) as price from fares where total > 0 group by route, observed_on) select a.route, a.observed_on, round_even(case when b.price > 0 then (a.price / b.price - 1) * 100 end, 6) as day_on_day, round_even(case when c.price > 0 then (a.price / c.price - 1) * 100 end, 6) as year_on_year from p a left join p b on b.route = a.route and b.observed_on = a.observed_on - 1 left join p c on c.route = a.route and c.observed_on = a.observed_on - 365"),
     "publishability": (publishability, f"with {_contrib(20)} select lead_window, year, level is not null and level > 0 and coverage >= 0.8 as is_published, case when level is null then 'no level' when level <= 0 or coverage < 0.8 then 'coverage' end as why, n_included, n_excluded from national"),
     "elementary_and_national": (elementary_and_national, f"with {_contrib()} select route, lead_window, year, round_even(level, 6) as level from elementary where is_computable union all select null, lead_window, year, round_even(level, 6) from national"),
 }
