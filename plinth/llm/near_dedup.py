@@ -14,7 +14,8 @@ Two documents are linked when 100 * |intersection| >= similarity * |union|.
    hold several components get a leader drawn anew, another in each bucket, for members of other components, a few
    times: members of a large group share many buckets, and so meet many leaders at the cost of one row a bucket.
 4. Buckets that even then hold several components are compared within, block by block: a join on (bucket, block pair)
-   whose condition is the sketch itself, for pairs of different components. So every candidate pair is either
+   for pairs of different components, whose condition is the sketch, and a bound on what the two can share that
+   follows from their comparisons with the bucket's leader. So every candidate pair is either
    already connected, or has been compared: no bucket is capped, and no group is expanded into all its pairs.
 
 Defined results: texts without words (or null) have the empty set and are linked with nothing; a doc_id that is
@@ -27,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ SIMILARITY = 80
 #: Estimated percent similarity below which a candidate pair is dropped unseen: five standard deviations below 80 %.
 SCREEN = 65
 #: Times that each bucket that still holds several components is compared with a leader drawn anew.
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 2
 #: Members of a bucket that one block of the block-by-block comparison holds.
 BLOCK = 4096
 
@@ -127,29 +129,64 @@ def most_bits(percent: int = SCREEN) -> int:
     return round(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * _K * (1 - percent / 100))))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    texts = docs.selectExpr("cast(doc_id as long) as id", "text")
+_CHECKED = "a long, b long, size_a long, size_b long, common long, extra_a array<long>, extra_b array<long>"
+
+
+def _extra(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """A bitmap of the elements of own that other lacks."""
+    bits = np.zeros(SKETCH_BITS, np.uint8)
+    bits[(np.setdiff1d(own, other, assume_unique=True) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) with the sizes of both full sets and of what they share, and bitmaps of what each has alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_id, last_set = None, None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = np.zeros(len(a), bool)
-            row = 0
-            for rows, data, offs in text_slices(batch, "text_b"):
+            a, b, row, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0, []
+            for _, data, offs in text_slices(batch, "text_b"):
                 for own in shingle_sets(data, offs, shingle):
                     if a[row] != last_id or row == 0:
                         lead = np.frombuffer((batch.column(2)[row].as_py() or "").encode(), np.uint8)
                         last_id, last_set = a[row], shingle_sets(lead, np.array([0, len(lead)]), shingle)[0]
-                    both = np.intersect1d(own, last_set, assume_unique=True).size
-                    keep[row] = both and 100 * both >= similarity * (own.size + last_set.size - both)
+                    out.append((last_set.size, own.size, np.intersect1d(own, last_set, assume_unique=True).size, _extra(last_set, own), _extra(own, last_set)))
                     row += 1
-            where = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in where], pa.int64()), pa.array([b[i] for i in where], pa.int64())], ["a", "b"])
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], lists), pa.array(cols[4], lists)], ["a", "b", "size_a", "size_b", "common", "extra_a", "extra_b"])
 
     both = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, _CHECKED)
+
+
+def similar(size_a: Column, size_b: Column, common: Column, similarity: int) -> Column:
+    return (common > 0) & (100 * common >= similarity * (size_a + size_b - common))
+
+
+#: Bits of the filter of wanted ids that tasks hold: 4 MB, whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the documents whose id is among ids, written once, and maybe of others: by a bitmap of fixed size.
+
+    Spares the joins that follow a shuffle of every text; they drop the bitmap's false positives.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    found = ids.select(bit.alias("bit")).select(F.expr("bit div 64").alias("word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    filled = np.zeros(FILTER_BITS // 64, np.int64)
+    filled[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64)
+    filled = filled.view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def wanted(place: pd.Series) -> pd.Series:
+        at = place.to_numpy(np.int64)
+        return pd.Series((filled[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    rows = docs.selectExpr("cast(doc_id as long) as id", "text").where("id is not null")
+    return materialise(rows.where(wanted(bit)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -182,6 +219,21 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _most_in_common() -> Column:
+    """How much two members of a bucket can share, of whom each has been compared with the bucket's leader.
+
+    At most the smaller of what they share with the leader, and of what each has besides it those elements whose bits
+    the other has too; elements that share a bit with another of their own count in full.
+    """
+    overlap = F.expr(" + ".join(f"bit_count(xa[{i}] & xb[{i}])" for i in range(_WORDS)))
+    lost = [F.col(f"s{c}") - F.col(f"m{c}") - F.expr(" + ".join(f"bit_count(x{c}[{i}])" for i in range(_WORDS))) for c in "ab"]
+    return F.least("ma", "mb") + overlap + F.least(*lost)
+
+
 def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
     """node, component over class ids, for those that have a link."""
     keys = classes.select("rep", F.explode("bands").alias("key"))
@@ -189,39 +241,49 @@ def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, similarity:
     members = materialise(keys.join(buckets, "key"))
     company = members.groupBy("rep").agg(F.sum("n").alias("company"))
     order = F.struct(-F.col("company"), F.xxhash64("rep"), "rep")
-    leaders = members.join(company, "rep").groupBy("key").agg(F.min(order).alias("lead")).select("key", F.col("lead.rep").alias("a"))
-    pairs = members.join(leaders, "key").where("rep <> a").select(*_ordered(F.col("a"), F.col("rep"))).distinct()
+    leaders = materialise(members.join(company, "rep").groupBy("key").agg(F.min(order).alias("lead")).select("key", F.col("lead.rep").alias("lead")))
+    pairs = members.join(leaders, "key").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     tried = materialise(_screened(pairs, classes))
-    links = materialise(confirmed(tried, docs, shingle, similarity))
+    against_lead = materialise(confirmed(tried, texts_of(docs, tried.selectExpr("a as id").unionAll(tried.selectExpr("b as id"))), shingle))
+    linked = similar(F.col("size_a"), F.col("size_b"), F.col("common"), similarity)
+    links = against_lead.where(linked).select("a", "b")
+    tried = tried.select(*_ordered(F.col("a"), F.col("b")))
     label = components(links)
 
-    def still_open() -> DataFrame:
-        """Members of buckets of three or more that hold several components."""
-        named = members.where("n > 2").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    def still_open(rows: DataFrame) -> DataFrame:
+        """Rows (key, rep, n) of buckets that hold several components, with them."""
+        named = rows.select("key", "rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         several = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
         return materialise(named.join(several, "key").select("key", "rep", "component", "n"))
 
-    left = still_open()
+    left = still_open(members.where("n > 2"))
+    if left.isEmpty():
+        return label
+    texts = texts_of(docs, left.selectExpr("rep as id"))
     for number in range(1, LEADER_ROUNDS + 1):
-        if left.isEmpty():
-            return label
         drawn = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key", F.lit(number)), "rep", "component")).alias("lead"))
         pairs = left.join(drawn, "key").where("component <> lead.component").select(*_ordered(F.col("rep"), F.col("lead.rep"))).distinct()
         fresh = materialise(_screened(pairs.join(tried, ["a", "b"], "left_anti"), classes))
-        added = materialise(confirmed(fresh, docs, shingle, similarity))
+        added = materialise(confirmed(fresh, texts, shingle).where(linked).select("a", "b"))
         tried = tried.unionAll(fresh)
         if added.isEmpty():
             break
         links = links.unionAll(added)
         label = components(links)
-        left = still_open()
+        left = still_open(left)
+        if left.isEmpty():
+            return label
 
-    own = left.join(classes.select("rep", "sketch"), "rep").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
-    x = own.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("rep").alias("ra"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-    y = own.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("rep").alias("rb"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
-    found = x.join(y, ["key", "i", "j"]).where((F.col("ca") != F.col("cb")) & ((F.col("i") != F.col("j")) | (F.col("ra") < F.col("rb"))) & (differing_bits("sa", "sb") <= most_bits()))
+    seen = against_lead.select(F.col("a").alias("lead"), F.col("b").alias("rep"), F.col("size_b").alias("s"), F.col("common").alias("m"), F.col("extra_b").alias("x"))
+    alone = against_lead.groupBy(F.col("a").alias("lead")).agg(F.max("size_a").alias("s")).select("lead", F.col("lead").alias("rep"), "s", F.col("s").alias("m"), F.array_repeat(F.lit(0).cast("long"), _WORDS).alias("x"))
+    own = left.join(classes.select("rep", "sketch"), "rep").join(leaders, "key").join(seen.unionAll(alone), ["lead", "rep"], "left")
+    own = own.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
+    x = own.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("rep").alias("ra"), F.col("component").alias("ca"), F.col("sketch").alias("sketch_a"), F.col("s").alias("sa"), F.col("m").alias("ma"), F.col("x").alias("xa"))
+    y = own.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("rep").alias("rb"), F.col("component").alias("cb"), F.col("sketch").alias("sketch_b"), F.col("s").alias("sb"), F.col("m").alias("mb"), F.col("x").alias("xb"))
+    possible = F.coalesce(similar(F.col("sa"), F.col("sb"), _most_in_common(), similarity), F.lit(True))
+    found = x.join(y, ["key", "i", "j"]).where((F.col("ca") != F.col("cb")) & ((F.col("i") != F.col("j")) | (F.col("ra") < F.col("rb"))) & (differing_bits("sketch_a", "sketch_b") <= most_bits()) & possible)
     more = found.select(*_ordered(F.col("ra"), F.col("rb"))).distinct()
-    added = materialise(confirmed(more.join(tried, ["a", "b"], "left_anti"), docs, shingle, similarity))
+    added = materialise(confirmed(more.join(tried, ["a", "b"], "left_anti"), texts, shingle).where(linked).select("a", "b"))
     return label if added.isEmpty() else components(links.unionAll(added))
 
 
