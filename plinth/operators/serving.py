@@ -89,7 +89,7 @@ def lead_time_curve(rows: DataFrame, window: str, total: str = "total", sold_out
     x = F.col(total).cast("double")
     q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     out = rows.groupBy(window).agg(F.count(total).alias("n"), q.alias("q"), half_even(geomean(F.col(total)), 4).alias("geomean"), half_even(F.avg(F.col(sold_out).cast("int")), 4).alias("sold_out_share"))
-    return out.select(window, "n", *[half_even(F.get("q", F.lit(i)), 2).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "geomean", "sold_out_share")
+    return out.select(window, "n", *[half_even(F.get("q", F.lit(i)), 4).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "geomean", "sold_out_share")
 
 
 def top_by(rows: DataFrame, by: list[str], score: Column, tie: str, k: int) -> DataFrame:

@@ -29,7 +29,8 @@ def mad(spark, d):
 
 
 def mean_abs_dev(spark, d):
-    return robust.centres(fares(spark, d), CELL, "total", log=False).select(*CELL, half_even(F.col("mean_deviation"), 4).alias("mean_deviation"))
+    """As the sum of deviations, which is in whole half-cents and so has no ties to round."""
+    return robust.centres(fares(spark, d), CELL, "total", log=False).select(*CELL, "n", half_even(F.col("mean_deviation") * F.col("n"), 3).alias("deviations"))
 
 
 def modified_z_log(spark, d):
@@ -131,7 +132,7 @@ QUERIES = {
     "exact_median": (exact_median, f"with {FARES_SQL} select route, lead_window, round_even(quantile_cont(cast(total as double), 0.5), 4) as median from fares group by all"),
     "median_by_rank": (median_by_rank, f"with {FARES_SQL} select route, lead_window, round_even(quantile_cont(cast(total as double), 0.5), 3) as median from fares group by all"),
     "mad": (mad, f"with {_LINEAR} select route, lead_window, round_even(mad, 4) as mad from scales"),
-    "mean_abs_dev": (mean_abs_dev, f"with {_LINEAR} select route, lead_window, round_even(mean_deviation, 4) as mean_deviation from scales"),
+    "mean_abs_dev": (mean_abs_dev, f"with {_LINEAR} select s.route, s.lead_window, m.n, round_even(s.mean_deviation * m.n, 3) as deviations from scales s join mids m on m.route = s.route and m.lead_window = s.lead_window"),
     "modified_z_log": (modified_z_log, f"with {_LOG} select fare, score from scores"),
     "modified_z_linear": (modified_z_linear, f"with {_LINEAR} select fare, score from scores"),
     "outlier_capped": (outlier_capped, f"with {_FLAGS} select fare, score from flags where is_outlier"),

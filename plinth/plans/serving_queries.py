@@ -203,7 +203,7 @@ QUERIES = {
     "latest_per_window": (latest_per_window, f"with {FARES_SQL}, y as (select lead_window, year, count(*) as n from fares group by all) select lead_window, year, n from y qualify row_number() over (partition by lead_window order by year desc) = 1"),
     "series_range": (series_range, f"with {FARES_SQL} select observed_on, count(*) as n from fares where route = 'Brand#3' and lead_window = 7 and observed_on between date '1996-01-01' and date '1996-12-31' group by all"),
     "visible_series": (visible_series, f"with {FARES_SQL} select route, year, count(*) as n from fares where year <> 1998 group by all"),
-    "lead_time_curve": (lead_time_curve, f"with {_ROWS} select lead_window, count(priced) as n, round_even(quantile_cont(cast(priced as double), 0.25), 2) as p25, round_even(quantile_cont(cast(priced as double), 0.5), 2) as p50, round_even(quantile_cont(cast(priced as double), 0.75), 2) as p75, round_even(exp(avg(ln(cast(priced as double)))), 4) as geomean, round_even(avg(cast(is_sold_out as int)), 4) as sold_out_share from rows group by lead_window"),
+    "lead_time_curve": (lead_time_curve, f"with {_ROWS} select lead_window, count(priced) as n, round_even(quantile_cont(cast(priced as double), 0.25), 4) as p25, round_even(quantile_cont(cast(priced as double), 0.5), 4) as p50, round_even(quantile_cont(cast(priced as double), 0.75), 4) as p75, round_even(exp(avg(ln(cast(priced as double)))), 4) as geomean, round_even(avg(cast(is_sold_out as int)), 4) as sold_out_share from rows group by lead_window"),
     "lead_time_curve_with_index": (lead_time_curve_with_index, f"with {_ROWS}, c as (select lead_window, count(priced) as n from rows group by all), y as (select lead_window, year, cast(max(total) as double) as highest from rows where lead_window <> 45 group by all), z as (select * from y qualify row_number() over (partition by lead_window order by year desc) = 1) select c.lead_window, c.n, y.year, y.highest from c left join z y on y.lead_window = c.lead_window"),
     "sold_out_share": (sold_out_share, f"with {_ROWS} select lead_window, round_even(avg(cast(is_sold_out as int)), 4) as share from rows group by lead_window"),
     "keyset_page": (keyset_page, f"with {_ROWS}, k as (select fare, cast(observed_on - date '1970-01-01' as bigint) as day from rows) select fare, day from k where day < (select max(day) from k) order by day desc, fare desc limit 50"),
