@@ -12,7 +12,7 @@ A checksum is masked by rotating it right by 15 bits and adding 0xA282EAD8, so t
 holds checksums stays strong. Ids are u16 wherever the vocabulary allows it.
 
 Documents are dealt by range of doc_id and sorted within, so the part files in the order of their numbers hold
-all documents in ascending doc_id order (null first, equal ids by text). Spark's own writer commits the files
+all documents in ascending doc_id order (null first, equal ids by a hash of the text). Spark's own writer commits the files
 (a frame is the value of a row, 0x0A is the row's end), so lost or repeated tasks leave no half files, and any
 file system that Spark knows will do. The index is a Parquet table beside the files: file, position, offset and
 bytes of each frame, doc_id, tokens, tokens before it, and the CRC-32 of its ids as u32.
@@ -81,8 +81,10 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, doc_id: str = "do
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    dealt = rows.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(frames, "value binary").select(F.col("value").cast("string").alias("value")).write.text(f"{path}/data")
+    # the bounds are sampled from the keys, so no text is among them; the row's number parts rows that repeat as a whole
+    keyed = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(parts, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
+    dealt.select("doc_id", "text").mapInArrow(frames, "value binary").select(F.col("value").cast("string").alias("value")).write.text(f"{path}/data")
     scan(spark, f"{path}/data").write.parquet(f"{path}/index")
     return spark.read.schema(_INDEX).parquet(f"{path}/index")
 
