@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plinth.functions.rounding import half_even
-from plinth.operators import index
+from plinth.operators import exact, index
 from plinth.plans.standin import BASE_YEAR, FARES_SQL, fares, weight_versions, weights
 
 CELL = ["route", "lead_window"]
@@ -130,6 +130,12 @@ def elementary_and_national(spark, d):
     return routes.unionByName(national)
 
 
+def jevons_exact(spark, d):
+    """The 34-digit tier; to six places, as its SQL is in doubles."""
+    out = exact.jevons_exact(_pairs(spark, d), [*CELL, "year"])
+    return out.select(*CELL, "year", half_even(F.col("level"), 6).cast("double").alias("level"), "n_pairs")
+
+
 _PRICES = f"""{FARES_SQL},
 prices as (select route, lead_window, item, year, round_even(exp(avg(ln(cast(total as double)))), 2) as price, count(*) as n_observations from fares where total > 0 group by all)"""
 _PAIRS = f"""{_PRICES},
@@ -169,6 +175,7 @@ QUERIES = {
     "base_period_price": (base_period_price, f"with {_PRICES} select route, lead_window, item, price, n_observations from prices where year = {BASE_YEAR}"),
     "matched_pairs": (matched_pairs, f"with {_PAIRS} select * from pairs"),
     "jevons_untrimmed": (jevons_untrimmed, f"with {_elem(0.0, 1)} select route, lead_window, year, round_even(level, 6) as level, round_even(mean_log, 6) as mean_log, n_pairs from elementary"),
+    "jevons_exact": (jevons_exact, f"with {_elem(0.0, 1)} select route, lead_window, year, round_even(level, 6) as level, n_pairs from elementary"),
     "jevons_trimmed": (jevons_trimmed, f"with {_elem(TRIM, MIN_PAIRS)} select route, lead_window, year, round_even(level, 6) as level, n_pairs, n_trimmed from elementary"),
     "min_pairs_suppression": (min_pairs_suppression, f"with {_elem(TRIM, 20)} select route, lead_window, year, n_pairs, is_computable from elementary"),
     "laspeyres_national": (laspeyres_national, f"with {_contrib()} select lead_window, year, round_even(level, 6) as level, round_even(coverage, 6) as coverage, n_included, n_excluded, n_pairs from national"),

@@ -7,8 +7,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.functions import canonical, challenge
-from plinth.operators import audit, dedup, index, provenance, robust, serving
+from plinth.functions import canonical, challenge, robots
+from plinth.operators import audit, dedup, exact, index, provenance, robust, serving
 from plinth.sources import payload, sinks, synthetic
 from plinth.streaming import events, policy
 
@@ -58,6 +58,24 @@ def test_jevons(spark, rows, fraction, least, level, used, trimmed, rejected):
     assert (out["level"], out["n_pairs"], out["n_trimmed"], out["n_rejected"]) == (level, used, trimmed, rejected)
 
 
+def test_exact_tier(spark):
+    from decimal import Decimal
+
+    out = exact.jevons_exact(pairs(spark, [(5000, 5400)] * 20), ["cell"]).first()
+    assert out["level"] == Decimal("108.00000000") and out["n_pairs"] == 20
+
+
+def test_robots_rules(spark):
+    text = "User-agent: a\nUser-agent: *\nDisallow: /x # no\nAllow: /x/y\nCrawl-delay: 2.5\n\nUser-agent: plinth\nDisallow: /\nAllow: /open"
+    robots.register(spark)
+    spark.createDataFrame([("o", text)], "origin string, text string").createOrReplaceTempView("robots_texts")
+    rules = spark.sql("select t.origin, r.* from robots_texts t, lateral robots_rules(t.text) r")
+    asked = spark.createDataFrame([("o", "/x/1"), ("o", "/x/y/2"), ("o", "/z"), ("p", "/x")], "origin string, path string")
+    got = lambda agent: {(r["origin"], r["path"]): (r["allowed"], r["crawl_delay"]) for r in robots.verdicts(asked, rules, agent).collect()}
+    assert got("other") == {("o", "/x/1"): (False, 2.5), ("o", "/x/y/2"): (True, 2.5), ("o", "/z"): (True, 2.5), ("p", "/x"): (True, None)}
+    assert {k: v[0] for k, v in got("Plinth-Bot").items()} == {("o", "/x/1"): False, ("o", "/x/y/2"): False, ("o", "/z"): False, ("p", "/x"): True}
+
+
 def test_laspeyres_leaves_out_and_renormalises(spark):
     elem = spark.createDataFrame([(1, "a", 110.0, 10, True), (1, "b", None, 2, False)], "w int, route string, level double, n_pairs long, is_computable boolean")
     shares = index.shares(spark.createDataFrame([("a", 60.0), ("b", 30.0), ("c", 10.0)], "route string, passengers double"), [])
