@@ -45,17 +45,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(df: DataFrame) -> None:
-    """Delete the files of a materialised frame whose readers are done."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/plinth-" in path:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-
-
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with at most `most` bytes of text (or one row), as (rows, bytes, offsets). Null texts are empty."""
     at = batch.schema.get_field_index(column)
