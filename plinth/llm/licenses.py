@@ -1,8 +1,9 @@
 """Licence scan by sentence rules: known sentences become identifiers, ordered identifier runs become licences.
 
-A text is split into sentences, each is normalised (lower case, runs of other characters than a-z and 0-9
-become one space) and looked up among the known licence sentences. What is not known drops out only where it
-has no letter or digit; an unknown sentence stays as a gap, so that a rule matches consecutive sentences only.
+A text is split into parts, each is normalised (lower case, runs of other characters than a-z and 0-9 become one
+space), and runs of parts that join to the words of a known licence sentence become its identifier. What is not
+known drops out only where it has no letter or digit or is a bare list number; an unknown part stays as a gap, so
+that a rule matches consecutive sentences only.
 A rule matches where its identifiers occur in order without a gap. Of matched rules, those whose run is part
 of a longer matched rule's run are left out.
 
@@ -67,6 +68,8 @@ RULES = (
 )
 #: Every known sentence holds one of these words.
 ANCHORS = ("licen", "redistribut", "copyright", "permission", "warrant", "endorse")
+#: Known sentences of at most so many words count only where they are whole sentences of a text.
+NOTICE_WORDS = 12
 #: Ends of sentences: a stop before white space or the end, or the end of a line unless it goes on in lower case.
 BOUNDARY = r"[.!?:;]+(?=\s|$)|\n\s*\n|\n(?=\s*[A-Z0-9*#-])"
 
@@ -75,18 +78,41 @@ def _norm(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
 
 
-def identifiers(text: Column, sentences: tuple[tuple[str, str], ...] = SENTENCES) -> Column:
-    """The text's sentence identifiers in order, like ' mit-grant mit-notice ', with '-' for each unknown sentence."""
-    known = F.create_map(*[F.lit(x) for i, s in sentences for x in (s, i)])
-    ids = F.transform(F.filter(F.transform(F.split(text, BOUNDARY), _norm), lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(known, s), F.lit("-")))
-    return F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" "))
-
-
 def _let(value: Column, then) -> Column:
     """then(value) with value evaluated once: a lambda's variable is bound, where a column's expression would be repeated."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def _found(sentence: str) -> str:
+    """A pattern of the sentence's words after a list number, if there is one, whatever ends are among them.
+
+    A notice is bounded by ends; a longer official sentence may follow a title or a copyright line on the same line.
+    """
+    words = sentence.split(" ")
+    edge = r"[| ]" if len(words) > NOTICE_WORDS else r"\|"
+    return rf"(?:(?<=\|)(?:[0-9]{{1,2}}|[a-z])[| ]|(?<={edge})){'[| ]'.join(words)}(?={edge})"
+
+
+def identifiers(text: Column, sentences: tuple[tuple[str, str], ...] = SENTENCES) -> Column:
+    """The text's sentence identifiers in order, like ' mit-grant mit-notice ', with '-' for each unknown sentence.
+
+    Official texts are cut by BOUNDARY inside their sentences as well (at '(the "License");' or where a wrapped line
+    goes on in capitals), elsewhere in each copy. So a known sentence is any run of parts that joins to its words.
+    """
+    longest_first = sorted(sentences, key=lambda x: -len(x[1]))
+    known = F.array(*[F.struct(F.lit(s).alias("sentence"), F.lit(_found(s)).alias("pattern"), F.lit(f"|={i}|").alias("id")) for i, s in longest_first])
+
+    def mark(parts: Column) -> Column:
+        ended = F.concat(F.lit("|"), F.array_join(parts, "|"), F.lit("|"))
+        return _let(F.array_join(parts, " "), lambda flat: F.aggregate(F.filter(known, lambda k: flat.contains(k["sentence"])), ended, lambda acc, k: F.regexp_replace(acc, k["pattern"], k["id"])))
+
+    marked = _let(F.filter(F.transform(F.split(text, BOUNDARY), _norm), lambda s: s != ""), mark)
+    # a bare list number is no sentence; known sentences that were found begin with '='
+    parts = F.filter(F.transform(F.split(marked, r"\|"), lambda s: F.trim(s)), lambda s: (s != "") & ~s.rlike("^[0-9]{1,2}$"))
+    ids = F.transform(parts, lambda s: F.when(s.startswith("="), F.substring(s, 2, 1000)).otherwise("-"))
+    return F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" "))
+
+
 def scan(docs: DataFrame, text: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
     """docs' columns and sentence_ids, matched (array of rule, licence, kind, run), n_matches and licences (comma-joined, sorted).
 

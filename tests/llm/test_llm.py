@@ -377,6 +377,80 @@ def test_op7_sequences(spark):
     assert got == {0: ("", []), 1: ("", []), 2: ("MIT", ["mit.text"]), 3: ("", []), 4: ("Apache-2.0", ["apache2.notice"]), 5: ("GPL-3.0,MIT", ["gpl3.notice", "mit.notice"]), 6: ("", []), 7: ("Apache-2.0", ["apache2.header"])}
 
 
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".
+"""
+
+
+def test_op7_official_texts_however_wrapped(spark):
+    want = {MIT: ("MIT", ["mit.text"]), APACHE: ("Apache-2.0", ["apache2.header"]), GPL: ("GPL-3.0-or-later", ["gpl3.header"]), BSD: ("BSD-3-Clause", ["bsd3.text"]), BSD.replace("3. Neither", "3. Either"): ("BSD-2-Clause", ["bsd2.text"])}
+    forms = [lambda t: t, lambda t: "".join(f"# {x}\n" for x in t.split("\n")), lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */", lambda t: " ".join(t.split()), lambda t: "\n".join(t.split()), lambda t: t.replace("\n", "\r\n"), lambda t: re.sub(r"(?m)^([123])\. ", r"(\1) ", t), lambda t: re.sub(r"(?m)^[123]\. ", "* ", t)]
+    texts = [f(t) for t in want for f in forms]
+    part = [MIT.split("THE SOFTWARE IS")[0], APACHE.replace("Unless", "Some words. Unless"), "It is not licensed under the Apache License,\nVersion 2.0. Permission is due."]
+    got = [(r["licences"], sorted(m["rule"] for m in r["matched"])) for r in licenses.scan(table(spark, texts + part)).orderBy("doc_id").collect()]
+    assert got[: len(texts)] == [w for w in want.values() for _ in forms]
+    assert got[len(texts) :] == [("", []), ("Apache-2.0", ["apache2.head"]), ("", [])]
+
+
 def test_op7_every_sentence_has_an_anchor():
     assert all(any(a in s for a in licenses.ANCHORS) for _, s in licenses.SENTENCES)
 
