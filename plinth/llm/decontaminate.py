@@ -9,9 +9,12 @@ Words are folded (A-Z and Latin-1 capitals lower-cased, ASCII signs parting word
    terms or more, and the benchmark's own) gives the latent space: two sketching products X'(XQ), each summed over
    tasks; the matrix itself, terms by RANK, is bounded by the benchmark. Items are kept in blocks of MAX_ITEMS, so a
    large benchmark is a query set against all rows, in blocks.
-4. In one pass over the texts, windows at every STRIDE-th word are projected; those with a cosine of at least COSINE to a benchmark passage
-   are verified against it there and then, on the words around: by the longest common subsequence (bit-parallel), by
-   a shared run of RUN words, or by a weaker subsequence along with the item's answer (its last sentence).
+4. In one pass over the texts, two sets of candidates: windows at every STRIDE-th word are projected, and those with a
+   cosine of at least COSINE to a benchmark passage are taken; and, exactly, every place that shares a run of RUN words
+   (or a shorter passage's all) with a passage, by hashes of all runs. Either is verified there and then, on the words
+   around: by the longest common subsequence (bit-parallel), by a shared run of RUN words, or by a weaker subsequence
+   along with the item's answer (its last sentence). So no verbatim run is lost by the latent space; what shares no run
+   (subsequences, answers) depends on it.
 
 Nothing of the corpus goes to the driver but counts and sums over the benchmark's terms. Defined results: null or empty
 texts match nothing; items without a word are left out; repeated rows are judged each; with an empty
@@ -272,22 +275,82 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def _run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    return combine(*(h[k : len(h) - n + 1 + k] for k in range(n))) if len(h) >= n else h[:0]
+
+
 def _grams(h: np.ndarray, n: int) -> set[int]:
-    return set(combine(*(h[k : len(h) - n + 1 + k] for k in range(n))).tolist()) if len(h) >= n else set()
+    return set(_run_hashes(h, n).tolist())
 
 
 def _holds(text: np.ndarray, part: np.ndarray) -> bool:
     return len(part) > 0 and not _grams(part, len(part)).isdisjoint(_grams(text, len(part)))
 
 
+class Runs:
+    """All runs of min(RUN, length) words of the passages, by length: sorted hashes, and who holds each where."""
+
+    def __init__(self, passages: list[Passage]):
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for k, p in enumerate(passages):
+            n = min(RUN, len(p.words))
+            found.setdefault(n, []).append((_run_hashes(p.words, n), k))
+        self.by_length = []
+        for n, parts in sorted(found.items()):
+            hashes = np.concatenate([g for g, _ in parts])
+            order = np.argsort(hashes, kind="stable")
+            who = np.concatenate([np.full(len(g), k) for g, k in parts])[order]
+            where = np.concatenate([np.arange(len(g)) for g, _ in parts])[order]
+            known, first = np.unique(hashes[order], return_index=True)
+            self.by_length.append((n, Lookup(known), np.append(first, len(order)), who, where))
+
+    def hits(self, h: np.ndarray, doc: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Rows of text, passage and the word number where the passage would begin, each once; known: words of any passage."""
+        out = [np.zeros((0, 3), np.int64)]
+        ahead = np.concatenate((known.cumsum(), [0]))  # ahead[-1] is what stands before the first word
+        for n, look, first, who, where in self.by_length:
+            if len(h) < n:
+                break
+            start = np.arange(len(h) - n + 1)
+            start = start[(ahead[start + n - 1] - ahead[start - 1] == n) & (doc[start] == doc[start + n - 1])]
+            if not len(start):
+                continue
+            at, number = look.positions(combine(*(h[start + i] for i in range(n))))
+            times = first[number + 1] - first[number]
+            row = np.repeat(first[number] - np.concatenate(([0], times.cumsum()[:-1])), times) + np.arange(times.sum())
+            out.append(np.unique(np.column_stack((np.repeat(doc[start[at]], times), who[row], np.repeat(start[at], times) - where[row])), axis=0))
+        return np.concatenate(out)
+
+
 class Matcher:
     def __init__(self, latent: Latent):
         self.latent, self.look = latent, Lookup(latent.terms)
         self.runs = [_grams(p.words, min(RUN, len(p.words))) for p in latent.passages]
+        self.exact, self.vocabulary = Runs(latent.passages), Lookup(np.unique(np.concatenate([p.words for p in latent.passages])))
+
+    def _verified(self, w, h: np.ndarray, doc: int, first: int, k: int) -> tuple[float, bool, bool] | None:
+        """Share of the subsequence, whether a run and whether the answer, on the words around first; None if too little."""
+        own = self.latent.passages[k]
+        text = h[max(w.first[doc], first - STRIDE) : min(w.first[doc + 1], first + WINDOW + max(STRIDE, len(own.words)))]
+        common = lcs(own.words, text)
+        share = common / len(own.words)
+        run = common >= min(RUN, len(own.words)) and not self.runs[k].isdisjoint(_grams(text, min(RUN, len(own.words))))
+        answer = share >= LCS_WITH_ANSWER and _holds(text, own.answer)
+        return (share, run, answer) if run or (share >= LCS_ALONE and len(own.words) > RUN) or answer else None
+
+    def _cosine(self, words_: np.ndarray, k: int) -> float:
+        number, count = np.unique(self.look.positions(words_)[1], return_counts=True)
+        y = ((1 + np.log(count)) * self.latent.idf[number]) @ self.latent.basis[number]
+        return float(y @ self.latent.vectors[k] / max(np.linalg.norm(y), 1e-9))
 
     def slice(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, float, float, int, bool]]:
         """Matches of a slice: text number, benchmark passage, cosine, share of the subsequence, whether a run, whether the answer."""
         w, h = folded_words(data, offs)
+        known = np.zeros(len(h), bool)
+        known[self.vocabulary.positions(h)[0]] = True
+        for doc, k, first in self.exact.hits(h, w.doc, known).tolist():
+            if found := self._verified(w, h, doc, first, k):
+                yield doc, k, self._cosine(h[max(w.first[doc], first) : min(w.first[doc + 1], first + WINDOW)], k), *found
         at, number = self.look.positions(h)
         if not len(at):
             return
@@ -305,15 +368,8 @@ class Matcher:
             for row, k in zip(*np.nonzero(cosines >= COSINE), strict=True):
                 first = int(begin[lo + row])
                 doc = int(w.doc[first])
-                own = self.latent.passages[k]
-                text = h[max(w.first[doc], first - STRIDE) : min(w.first[doc + 1], first + WINDOW + max(STRIDE, len(own.words)))]
-                common = lcs(own.words, text)
-                share = common / len(own.words)
-                run = common >= min(RUN, len(own.words)) and not self.runs[k].isdisjoint(_grams(text, min(RUN, len(own.words))))
-                answer = share >= LCS_WITH_ANSWER and _holds(text, own.answer)
-                if run or (share >= LCS_ALONE and len(own.words) > RUN) or answer:
-                    yield doc, int(k), float(cosines[row, k]), share, run, answer
-
+                if found := self._verified(w, h, doc, first, k):
+                    yield doc, int(k), float(cosines[row, k]), *found
 
 def blocks_of(items: DataFrame, id_column: str = "item_id") -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks of at most MAX_ITEMS items, by a hash of id and text."""

@@ -483,6 +483,20 @@ def test_op8_finds_quotes_and_paraphrases(spark, prose):
     assert decontaminate.matches(table(spark, texts), bench.limit(0)).isEmpty()
 
 
+def test_op8_verbatim_runs_do_not_depend_on_the_latent_space(spark, prose, monkeypatch):
+    monkeypatch.setattr(decontaminate, "COSINE", 2.0)  # the latent search finds nothing
+    items = [prose(n) for n in (1, 4, 12, 13, 14, 30, 48, 49, 130)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    part = items[8].split()[60:75]
+    texts = [*(f"{prose(40)} {x} {prose(60)}" for x in items), *items, " ".join(part), prose(20) + " " + " ".join(items[5].split()[-13:]), prose(20) + " " + " ".join(items[5].split()[-12:]), items[6].split(" ", 30)[-1], *ODD]
+    n = len(items)
+    want = {(i, i) for i in range(n)} | {(n + i, i) for i in range(n)} | {(2 * n, 8), (2 * n + 1, 5), (2 * n + 3, 6)}
+    # a lone word may turn up by chance
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(table(spark, texts), bench).where("shared_run").collect()}
+    by_chance = {(d, 0) for d, t in enumerate(texts) if items[0] in (t or "").split()}
+    assert found == want | by_chance
+
+
 # --- the pipeline and the registry -----------------------------------------------------------------------------
 
 
