@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +25,38 @@ def merkle_root(leaves: Column, depth: int = 32) -> Column:
     return F.when(F.size(leaves) == 0, F.lit(EMPTY)).otherwise(F.get(folded, F.lit(0)))
 
 
-def merkle_by(rows: DataFrame, by: list[str], leaf: str) -> DataFrame:
-    """The root over each group's distinct leaves in order. A group's leaves are one array: groups are index cells."""
-    return rows.groupBy(*by).agg(F.array_sort(F.collect_set(leaf)).alias("leaves")).select(*by, F.size("leaves").alias("n_leaves"), merkle_root(F.col("leaves")).alias("root"))
+def _folded(nodes: Column, levels: int, alone: Column) -> Column:
+    """A level of nodes after so many levels up; where it is alone, not beyond its root."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), nodes, lambda level, _: F.when(alone & (F.size(level) <= 1), level).otherwise(_level_up(level)))
+
+
+def merkle_by(rows: DataFrame, by: list[str], leaf: str, levels: int = 10, prefix: int = 4) -> DataFrame:
+    """The root over each group's distinct leaves in order, however many they are.
+
+    Leaves get their places by counting over their leading `prefix` signs (digests spread evenly over those), then are folded in
+    subtrees of 2^levels leaves, and those once more, so that no array holds a group: the last one has a root of each
+    4^levels leaves.
+    """
+    start = F.substring(F.col("_leaf"), 1, prefix)
+    parts = rows.select(*by, F.col(leaf).alias("_leaf")).groupBy(*by, start.alias("_start")).agg(F.array_sort(F.collect_set("_leaf")).alias("_leaves"))
+    keys = [*by, "_start"]
+    sizes = parts.select(*keys, F.size("_leaves").cast("long").alias("_size"))
+    before = Window.partitionBy(*by).orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_n": F.sum("_size").over(Window.partitionBy(*by))}).drop("_size")
+    sizes = sizes.withColumnsRenamed({k: f"_of_{i}" for i, k in enumerate(keys)})
+    same = [parts[k].eqNullSafe(sizes[f"_of_{i}"]) for i, k in enumerate(keys)]
+    placed = parts.join(sizes, reduce(and_, same)).select(*by, "_n", "_before", F.posexplode_outer("_leaves").alias("_at", "_node"))
+    nodes = placed.select(*by, "_n", (F.col("_before") + F.col("_at")).alias("_at"), "_node").where("_node is not null or _n = 0")
+    left = F.col("_n")
+    for _ in range(2):
+        subtree = F.floor(F.col("_at") / (1 << levels)).cast("long")
+        nodes = nodes.groupBy(*by, "_n", subtree.alias("_at")).agg(F.array_sort(F.collect_list(F.struct("_at", "_node"))).alias("_nodes"))
+        # a subtree beside others is folded over all its levels, where its odd last node is paired with itself; a lone one ends at its root
+        alone, left = left <= (1 << levels), F.ceil(left / (1 << levels))
+        fold = _folded(F.transform("_nodes", lambda x: x["_node"]), levels, alone)
+        nodes = nodes.select(*by, "_n", "_at", F.get(fold, F.lit(0)).alias("_node"))
+    top = nodes.groupBy(*by, "_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_node"))), lambda x: x["_node"]).alias("_nodes"))
+    return top.select(*by, F.col("_n").alias("n_leaves"), F.when(F.col("_n") == 0, F.lit(EMPTY)).otherwise(merkle_root(F.col("_nodes"))).alias("root"))
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:

@@ -106,6 +106,28 @@ def test_merkle_root(spark, n):
     assert got == merkle(leaves)
 
 
+def test_merkle_by_in_subtrees(spark):
+    sizes = {None: 5, "a": 1, "b": 2, "c": 4, "d": 7, "e": 16, "f": 17, "g": 33, "h": 70, "none": 0}
+    leaves = {g: sorted(hashlib.sha256(f"{g}{i}".encode()).hexdigest() for i in range(n)) for g, n in sizes.items()}
+    rows = [(g, x) for g, xs in leaves.items() for x in [*xs, *xs[:2], None]]
+    for levels, prefix in ((1, 1), (2, 1), (2, 4), (10, 4)):
+        out = provenance.merkle_by(spark.createDataFrame(rows, "g string, leaf string"), ["g"], "leaf", levels, prefix).collect()
+        assert {r["g"]: (r["n_leaves"], r["root"]) for r in out} == {g: (len(xs), merkle(xs)) for g, xs in leaves.items()} and len(out) == len(sizes)
+
+
+def test_merkle_root_query_covers_every_line(spark, tmp_path):
+    from plinth.plans import registry
+
+    line = [(k, n, 7, 1 + k % 3, f"199{k % 4 + 3}-0{n}-15") for k in range(20) for n in (1, 2, 3)]
+    spark.createDataFrame(line, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_shipdate string").selectExpr("*", "1.0d as l_extendedprice", "1.0d as l_quantity", "0.0d as l_discount", "0.0d as l_tax", "'N' as l_returnflag", "'O' as l_linestatus").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"Brand#{i}") for i in (1, 2, 3)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    want = {}
+    for k, n, s, item, day in line:
+        want.setdefault((f"Brand#{item}", day[:7]), []).append(hashlib.sha256("\x1f".join(map(str, (k, n, s, item))).encode()).hexdigest())
+    got = {(r["route"], r["month"]): (r["n_leaves"], r["root"]) for r in registry.queries()["merkle_root"](spark, str(tmp_path)).collect()}
+    assert got == {g: (len(x), merkle(sorted(x))) for g, x in want.items()}
+
+
 def test_chain_and_its_verification(spark):
     rows = spark.createDataFrame([("a", i, f"body {i}") for i in range(6)] + [("b", 0, "x")], "s string, k long, body string")
     chain = provenance.chained(rows, ["s"], "k", "body")
