@@ -23,8 +23,12 @@ BODIES = (
 HARD_STATUS = (401, 403, 407, 451)
 
 
-def detect(status: Column, headers: Column | None, body: Column, halt_on_429: bool = False) -> Column:
-    """A struct (vendor, evidence, confidence), or null for an ordinary response. headers: map of lower-case names."""
+def detect(status: Column, headers: Column | None, body: Column, halt_on_429: bool = False, snippet: int | None = None) -> Column:
+    """A struct (vendor, evidence, confidence), or null for an ordinary response. headers: map of lower-case names.
+
+    The whole body is searched, or its first snippet characters where that is given.
+    """
+    body = body if snippet is None else F.substring(body, 1, snippet)
     low, out = F.lower(F.coalesce(body, F.lit(""))), None
 
     def add(test: Column, vendor: str, evidence: Column, confidence: float) -> None:

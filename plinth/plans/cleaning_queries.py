@@ -142,7 +142,7 @@ def props_json_extract(spark, d):
 
 def challenge_detect(spark, d):
     pages = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 50 == 7, F.concat(F.lit("<title>Just a moment...</title>"), "html")).when(F.col("page_id") % 50 == 8, F.concat("html", F.lit("<b>Access denied</b>"))).otherwise(F.col("html")).alias("html"))
-    return pages.select("page_id", challenge.detect(F.when(F.col("page_id") % 50 == 9, 403).otherwise(200), None, F.substring("html", 1, 200_000)).alias("c")).where("c is not null").select("page_id", "c.vendor", "c.confidence")
+    return pages.select("page_id", challenge.detect(F.when(F.col("page_id") % 50 == 9, 403).otherwise(200), None, F.col("html")).alias("c")).where("c is not null").select("page_id", "c.vendor", "c.confidence")
 
 
 def url_origin(spark, d):

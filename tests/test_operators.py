@@ -197,6 +197,17 @@ def test_local_times(spark):
     assert (r["a"], r["b"], r["c"], r["d"]) == ("2024-03-05 00:40:00", "2024-03-05 00:40:00", "19:05", "2024-03-05 00:40:00")
 
 
+def test_challenge_detect_searches_long_pages(spark, tmp_path):
+    from plinth.plans import registry
+
+    spark.createDataFrame([(i, "u", "<p>text</p>" * 60_000) for i in (7, 8, 9, 10)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["vendor"] for r in registry.queries()["challenge_detect"](spark, str(tmp_path)).collect()}
+    assert got == {7: "cloudflare", 8: "generic_block", 9: "http_block"}
+    body = F.concat(F.repeat(F.lit("x"), 9000), F.lit("access denied"))
+    r = spark.range(1).select(challenge.detect(F.lit(200), None, body).alias("whole"), challenge.detect(F.lit(200), None, body, snippet=8192).alias("start")).first()
+    assert r["whole"]["vendor"] == "generic_block" and r["start"] is None
+
+
 def test_challenge_order(spark):
     rows = spark.createDataFrame([(200, {"cf-mitigated": "challenge"}, ""), (200, {}, "please solve the hCaptcha at hcaptcha.com"), (403, {}, ""), (200, {}, "fine"), (429, {}, "")], "status int, headers map<string,string>, body string")
     got = [r["v"] for r in rows.select(challenge.detect(F.col("status"), F.col("headers"), F.col("body"))["vendor"].alias("v")).collect()]
