@@ -99,22 +99,23 @@ def previous_as_of(series: DataFrame, by: list[str], order: str, value: str) ->
     return series.withColumn(f"previous_{value}", F.lag(value).over(Window.partitionBy(*by).orderBy(order)))
 
 
-def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", most: int = 64) -> DataFrame:
-    """node, ancestor, distance: the transitive closure of parent edges, by doubling of paths.
+def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", most: int | None = None) -> DataFrame:
+    """node, ancestor, distance: the transitive closure of parent edges, by doubling of paths until no pair is added.
 
-    Rounds grow with the logarithm of the depth; each is one join on the middle node.
+    Rounds grow with the logarithm of the depth; each is one join on the middle node. With most, a lineage that has an
+    ancestor more steps away raises ValueError.
     """
     closed = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("distance")).distinct()
-    reach, total = 1, closed.count()
-    while reach < most:
+    before, total = -1, closed.count()
+    while before != total:
         left = closed.withColumnsRenamed({"ancestor": "middle", "distance": "d1"})
         right = closed.withColumnsRenamed({"node": "middle", "distance": "d2"})
         longer = left.join(right, "middle").select("node", "ancestor", (F.col("d1") + F.col("d2")).alias("distance"))
         closed = closed.unionAll(longer).groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
         closed = cut(closed)
-        reach, (before, total) = 2 * reach, (total, closed.count())
-        if before == total:
-            break
+        before, total = total, closed.count()
+        if most is not None and not closed.where(F.col("distance") > most).isEmpty():
+            raise ValueError(f"a lineage is deeper than {most} steps")
     return closed
 
 

@@ -148,6 +148,16 @@ def test_ancestors_of_a_long_line(spark):
     assert out.where("node = 'n0' and ancestor = 'n9'").first()["distance"] == 9
 
 
+def test_ancestors_of_a_lineage_deeper_than_64(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(150)], "child string, parent string")
+    out = provenance.ancestors(edges)
+    assert out.count() == 150 * 151 // 2
+    assert out.where("node = 'n0' and ancestor = 'n150'").first()["distance"] == 150
+    assert provenance.ancestors(edges.limit(9), most=9).count() == 45
+    with pytest.raises(ValueError):
+        provenance.ancestors(edges, most=64)
+
+
 def test_survivor_order_and_reasons(spark):
     rows = spark.createDataFrame(
         [("f1", 1, 5, 10, "a", 100.0), ("f1", 2, 9, 20, "b", 104.0), ("f2", 1, 5, 10, "a", 100.0), ("f2", 1, 5, 11, "b", 100.5), ("f3", 1, 5, 10, "a", 9.0), ("f3", 1, 5, 10, "a", 9.0), ("f4", 1, 5, 10, "a", 9.0), ("f5", 1, 7, 10, "a", 9.0), ("f5", 1, 5, 10, "b", 9.0)],
