@@ -9,7 +9,7 @@ Two documents are linked when 100 * |intersection| >= similarity * |union|.
 2. Classes that share a band key are candidates. At 80 % similarity a pair shares none of the 36 bands of 5 with
    a probability of 6e-7. First each bucket's members are compared with one leader only, the class with the most
    company over all its buckets. Pairs of far too high XOR population count are dropped by the sketch: at 180 samples
-   the bound is five standard deviations from 80 %.
+   the bound drops a pair at 80 % with a probability of 1.5e-7 (samples and parity collisions), less than the bands do.
 3. The rest are confirmed on the full sets, from the texts. Confirmed links are merged into components. Buckets that
    hold several components get a leader drawn anew, another in each bucket, for members of other components, a few
    times: members of a large group share many buckets, and so meet many leaders at the cost of one row a bucket.
@@ -38,8 +38,8 @@ from plinth.llm.common import combine, materialise, mix, span_hashes, table, tex
 BANDS, ROWS = 36, 5
 SKETCH_BITS = 512
 SIMILARITY = 80
-#: Estimated percent similarity below which a candidate pair is dropped unseen: five standard deviations below 80 %.
-SCREEN = 65
+#: Estimated percent similarity below which a candidate pair is dropped unseen: at 80 %, with a probability of 1.5e-7.
+SCREEN = 60
 #: Times that each bucket that still holds several components is compared with a leader drawn anew.
 LEADER_ROUNDS = 2
 #: Members of a bucket that one block of the block-by-block comparison holds.

@@ -1,6 +1,7 @@
 """The training-data operators on small tables: brute force, round trips, held-out accuracy, and odd input."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -367,6 +368,19 @@ def test_bloom_lets_every_listed_key_pass(spark):
     assert other.count() < 500
 
 
+def test_op5_screen_loses_less_than_the_bands():
+    n, k = near_dedup.SKETCH_BITS, near_dedup.BANDS * near_dedup.ROWS
+    ones, odd, lost = np.arange(n + 1), np.eye(1, n + 1)[0], 0.0  # odd: the chance of so many odd bits after t flips
+    for t in range(2 * k + 1):
+        if t % 2 == 0:
+            lost += math.comb(k, t // 2) * 0.2 ** (t // 2) * 0.8 ** (k - t // 2) * odd[near_dedup.most_bits() + 1 :].sum()
+        after = np.zeros(n + 1)
+        after[1:] += odd[:-1] * (n - ones[:-1]) / n
+        after[:-1] += odd[1:] * ones[1:] / n
+        odd = after
+    assert lost < (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS
+
+
 def test_op7_sequences(spark):
     s = dict(licenses.SENTENCES)
     full = f"Hello. {s['mit-grant'].upper()}: {s['mit-notice']}. {s['mit-warranty']}."
