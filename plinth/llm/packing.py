@@ -13,7 +13,8 @@ each size, and a sweep handles every document of one size, and every sequence wi
 4. A piece finds its place from its length and rank by binary search in the plan.
 
 Only the counts (at most 2048) and the plan are on the driver. Defined results: a null or empty text is the end
-id alone; repeated rows are packed each; an empty table gives no rows; further columns are not read.
+id alone; repeated rows are packed each; pieces of one length are interchangeable, so ties change no sequence's fill; a
+very long text is encoded in parts; an empty table gives no rows; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,33 +29,45 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plinth.llm.common import materialise, table, text_slices
+from plinth.llm.common import materialise, released, table, text_slices
 from plinth.llm.tokens import encoder, vocabulary
 
 CAPACITY = 2048
 _PIECES = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("rank", pa.int64())]
 
 
+def _ranks(length: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Each piece's rank among those of its length, on from the counts before, which are brought up to date."""
+    order = np.argsort(length, kind="stable")
+    size = length[order]
+    first = np.flatnonzero(np.diff(size, prepend=-1))
+    counts = np.diff(np.append(first, len(size)))
+    out = np.empty(len(length), np.int64)
+    out[order] = before[size] + np.arange(len(size)) - np.repeat(first, counts)
+    before[size[first]] += counts
+    return out
+
+
 def pieces(docs: DataFrame, vocab: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece, and its rank among its task's pieces of that length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(vocab), TaskContext.get().partitionId()
-        end, ranks = int(end_id).to_bytes(4, "little"), np.zeros(capacity + 1, np.int64)
+        ranks = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for rows, _, _ in text_slices(batch):
-                out = []
-                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), enc.encode(rows.column("text").to_pylist()), strict=True):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        n = len(part) // 4
-                        out.append((doc_id, piece, at // 4, n, zlib.crc32(part), task, int(ranks[n])))
-                        ranks[n] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), _PIECES, strict=True)], [n for n, _ in _PIECES])
+            for rows, data, offs in text_slices(batch):
+                ids, bounds = enc.encode_ended(data, offs, end_id)
+                parts = -(-np.diff(bounds) // capacity)
+                doc = np.repeat(np.arange(len(parts)), parts)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+                first = bounds[doc] + piece * capacity
+                length = np.minimum(bounds[doc + 1] - first, capacity)
+                crc = [zlib.crc32(ids[i : i + n]) for i, n in zip(first.tolist(), length.tolist(), strict=True)]
+                cols = (rows.column("doc_id").take(pa.array(doc)), piece, piece * capacity, length, crc, np.full(len(doc), task), _ranks(length, ranks))
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(cols, _PIECES, strict=True)], [n for n, _ in _PIECES])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
+    return rows.mapInArrow(released(cut), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
 def supersteps(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:

@@ -17,8 +17,9 @@ all documents in ascending doc_id order (null first, equal ids by a hash of the
 file system that Spark knows will do. The index is a Parquet table beside the files: file, position, offset and
 bytes of each frame, doc_id, tokens, tokens before it, and the CRC-32 of its ids as u32.
 
-Defined results: a null or empty text is a sequence of the end id alone; repeated rows are each written; an
-empty table gives an empty index.
+Defined results: a null or empty text is a sequence of the end id alone; repeated rows are each written; rows that repeat as
+a whole are written in any order; a very long text is encoded in parts and makes one frame (below 2 GB); further columns
+are not read, whatever their names; an empty table gives an empty index.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plinth.llm.common import table, text_slices, workspace
+from plinth.llm.common import released, table, text_slices, workspace
 from plinth.llm.tokens import encoder, vocabulary
 
 _NULL_ID, _WIDE = 1, 2
@@ -47,7 +48,7 @@ def masked(data) -> int:
 
 def frame(doc_id: int | None, ids: np.ndarray, wide: bool) -> bytes:
     """A frame without its end byte, which the writer of rows adds."""
-    payload = struct.pack("<qI", doc_id or 0, _NULL_ID * (doc_id is None) | _WIDE * wide) + ids.astype("<u4" if wide else "<u2").tobytes()
+    payload = struct.pack("<qI", doc_id or 0, _NULL_ID * (doc_id is None) | _WIDE * wide) + ids.astype("<u4" if wide else "<u2", copy=False).tobytes()
     length = struct.pack("<Q", len(payload))
     return b"".join((length, struct.pack("<I", masked(length)), payload, struct.pack("<I", masked(payload))))
 
@@ -71,12 +72,12 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, doc_id: str = "do
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab)
-        wide = max(enc.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
-        end = np.array([end_id], "<u4")
+        wide = max(enc.size, end_id + 1) > 1 << 16
         for batch in batches:
-            for rows, _, _ in text_slices(batch):
-                ids = enc.encode(rows.column("text").to_pylist())
-                out = [frame(d, np.concatenate((np.frombuffer(x, "<u4"), end)), wide) for d, x in zip(rows.column("doc_id").to_pylist(), ids, strict=True)]
+            for rows, data, offs in text_slices(batch):
+                ids, bounds = enc.encode_ended(data, offs, end_id)
+                ids = ids if wide else ids.astype("<u2")
+                out = [frame(d, ids[i:j], wide) for d, i, j in zip(rows.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -84,7 +85,7 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, doc_id: str = "do
     # the bounds are sampled from the keys, so no text is among them; the row's number parts rows that repeat as a whole
     keyed = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     dealt = keyed.repartitionByRange(parts, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
-    dealt.select("doc_id", "text").mapInArrow(frames, "value binary").select(F.col("value").cast("string").alias("value")).write.text(f"{path}/data")
+    dealt.select("doc_id", "text").mapInArrow(released(frames), "value binary").select(F.col("value").cast("string").alias("value")).write.text(f"{path}/data")
     scan(spark, f"{path}/data").write.parquet(f"{path}/index")
     return spark.read.schema(_INDEX).parquet(f"{path}/index")
 
