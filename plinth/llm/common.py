@@ -7,29 +7,47 @@ whole texts only, so nothing is ever cut to fit. White space is the ASCII set of
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles at once. A longer single text makes a slice of its own.
 SLICE_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch: texts of 100 kB then make batches of 50 MB, where Spark's own 10,000 rows make 1 GB.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to BATCH_ROWS, if they are more; it stays so, as plans run later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def workspace(spark: SparkSession) -> str:
     """A new folder below the shared folder that the session names in spark.checkpoint.dir.
 
-    Where the setting is missing (tests on one machine), it is set to a folder of the warehouse.
+    Where the setting is missing, one machine's own session (master local) takes a folder of its warehouse; any
+    other session has to name a folder that its executors share.
     """
+    bounded_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local") or "cluster" in spark.conf.get("spark.master", ""):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_plinth_work"
     return f"{base.rstrip('/')}/plinth-{uuid.uuid4().hex}"
 
@@ -81,19 +99,80 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i below n at least."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        inverse = pow(int(_BASE), -1, 1 << 64)
-        _powers[:] = []
-        for b in (_BASE, np.uint64(inverse)):
-            steps = np.full(size, b, np.uint64)
+def _power_tables() -> list[np.ndarray]:
+    """base**i and base**-i modulo 2**64, for i up to SLICE_BYTES."""
+    if not _powers:
+        for b in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))):
+            steps = np.full(SLICE_BYTES + 1, b, np.uint64)
             steps[0] = 1
             _powers.append(np.cumprod(steps, dtype=np.uint64))
     return _powers
 
 
+def hand_back() -> None:
+    """Give the memory that this process has freed back to the system."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """run, a function over Arrow batches, whose task hands its freed memory back at the end: workers live on."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return whole
+
+
+#: Bits of held_bits(): 4 MB, whatever the number of keys.
+FILTER_BITS = 1 << 25
+
+
+def _spots(*keys: np.ndarray) -> np.ndarray:
+    return (combine(*(k.astype(np.int64).view(np.uint64) for k in keys)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def held_bits(df: DataFrame, *columns: str) -> Callable[..., np.ndarray]:
+    """A function that tells which keys (arrays of the long columns) may be rows of df: by a bitmap of FILTER_BITS.
+
+    It goes out with tasks to spare a shuffle most of the rows that its join would drop; the join drops the rest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[_spots(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))] = True
+        packed = np.packbits(bits).view(np.int64)
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], ["word", "bits"])
+
+    keys = df.select(*[F.col(c).cast("long").alias(f"k{i}") for i, c in enumerate(columns)])
+    found = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    filled = np.zeros(FILTER_BITS // 64, np.int64)
+    filled[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    filled = filled.view(np.uint8)
+
+    def held(*keys: np.ndarray) -> np.ndarray:
+        at = _spots(*keys)
+        return (filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+    return held
+
+
+def fresh_name(wish: str, taken: Iterable[str]) -> str:
+    """A column name like wish that is none of those taken, whatever their case."""
+    low, name, k = {c.lower() for c in taken}, f"_{wish}", 0
+    while name.lower() in low:
+        k += 1
+        name = f"_{wish}{k}"
+    return name
+
+
 @dataclass
 class Words:
     """The words of a slice of texts: byte spans, the text each is in, and the first word of each text."""
@@ -126,12 +205,37 @@ def words(data: np.ndarray, offs: np.ndarray, between: np.ndarray = _WHITE) -> W
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of byte spans, by one polynomial prefix sum over the slice."""
-    up, down = _power_tables(len(data) + 1)
-    codes = _BYTES[_LOWER[data]] if lower else _BYTES[data]
+    """64-bit hashes of byte spans (in order of their starts, none inside of another), by polynomial prefix sums.
+
+    A slice above SLICE_BYTES is summed in parts of half of that, so memory is bounded by the spans' number; a span
+    longer than a part is hashed part by part, with the powers carried on.
+    """
+    codes = _BYTES[_LOWER] if lower else _BYTES
+    if len(data) <= SLICE_BYTES:
+        return mix(_sums(data, start, end, codes) + (end - start).astype(np.uint64))
+    part, out = SLICE_BYTES // 2, np.empty(len(start), np.uint64)
+    long = end - start > part
+    short = np.flatnonzero(~long)
+    cuts = np.searchsorted(start[short], np.arange(0, len(data) + part, part))
+    for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        own, base = short[i:j], k * part
+        if len(own):
+            out[own] = _sums(data[base : base + 2 * part], start[own] - base, end[own] - base, codes)
+    zero = np.zeros(1, np.int64)
+    for k in np.flatnonzero(long).tolist():
+        total = 0
+        for at in range(int(start[k]), int(end[k]), part):
+            piece = data[at : min(at + part, int(end[k]))]
+            total += int(_sums(piece, zero, zero + len(piece), codes)[0]) * pow(int(_BASE), at - int(start[k]), 1 << 64)
+        out[k] = total & ((1 << 64) - 1)
+    return mix(out + (end - start).astype(np.uint64))
+
+
+def _sums(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    up, down = _power_tables()
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    np.cumsum(codes[data] * up[: len(data)], out=total[1:])
+    return (total[end] - total[start]) * down[start]
 
 
 def combine(*parts: np.ndarray) -> np.ndarray:

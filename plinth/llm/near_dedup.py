@@ -10,13 +10,17 @@ Two documents are linked when 100 * |intersection| >= similarity * |union|.
    a probability of 6e-7. First each bucket's members are compared with one leader only, the class with the most
    company over all its buckets. Pairs of far too high XOR population count are dropped by the sketch: at 180 samples
    the bound drops a pair at 80 % with a probability of 1.5e-7 (samples and parity collisions), less than the bands do.
-3. The rest are confirmed on the full sets, from the texts. Confirmed links are merged into components. Buckets that
-   hold several components get a leader drawn anew, another in each bucket, for members of other components, a few
-   times: members of a large group share many buckets, and so meet many leaders at the cost of one row a bucket.
-4. Buckets that even then hold several components are compared within, block by block: a join on (bucket, block pair)
-   for pairs of different components, whose condition is the sketch, and a bound on what the two can share that
-   follows from their comparisons with the bucket's leader. So every candidate pair is either
-   already connected, or has been compared: no bucket is capped, and no group is expanded into all its pairs.
+3. The rest are confirmed on the full sets, from the texts. Of the links to leaders a forest is kept, one link a class
+   and those between leaders that share a member, and merged into components. Buckets that hold several components
+   get DRAWN more leaders, others in each bucket, for members of other components: members of a large group share many
+   buckets, and so meet many leaders at the cost of a few rows a bucket.
+4. What buckets still hold several components after that is settled exactly, whatever their size: every class in them
+   gives out the rarest of its shingles, so many that two sets of the wanted similarity share one of them at least (all
+   sets take one order: by hashed counts over the classes in question, of a fixed size, then by hash). Pairs of
+   different components that share such a shingle, have enough shingles left from there on and pass the sketch are
+   confirmed. Texts that
+   merely share a common passage have rare shingles of their own, and so never meet. So every candidate pair is either
+   already connected, or compared, or proved to be too far apart: no bucket is capped, and no group is expanded.
 
 Defined results: texts without words (or null) have the empty set and are linked with nothing; a doc_id that is
 repeated with other texts is one document; rows without doc_id are components of their own, with a null
@@ -33,17 +37,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm.common import combine, materialise, mix, span_hashes, table, text_slices, words
+from plinth.llm.common import combine, fresh_name, held_bits, materialise, mix, released, span_hashes, table, text_slices, words
 
 BANDS, ROWS = 36, 5
 SKETCH_BITS = 512
 SIMILARITY = 80
 #: Estimated percent similarity below which a candidate pair is dropped unseen: at 80 %, with a probability of 1.5e-7.
 SCREEN = 60
-#: Times that each bucket that still holds several components is compared with a leader drawn anew.
-LEADER_ROUNDS = 2
-#: Members of a bucket that one block of the block-by-block comparison holds.
-BLOCK = 4096
+#: More leaders drawn for each bucket that still holds several components.
+DRAWN = 2
+#: Hashed counters of shingles, whatever the size of the input: 4 MB as sent to tasks.
+COUNTERS = 1 << 22
 
 _K = BANDS * ROWS
 _rng = np.random.default_rng(7)
@@ -117,7 +121,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 fps = [np.array([mix(s + np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (1, 2)]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), *(pa.array(f) for f in fps), _lists(bands, full), _lists(sketch, full)], ["doc_id", "n_shingles", "fp1", "fp2", "bands", "sketch"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, _SIGNATURE)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(released(run), _SIGNATURE)
 
 
 def differing_bits(a: str, b: str) -> Column:
@@ -129,44 +133,92 @@ def most_bits(percent: int = SCREEN) -> int:
     return round(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * _K * (1 - percent / 100))))
 
 
-_CHECKED = "a long, b long, size_a long, size_b long, common long, extra_a array<long>, extra_b array<long>"
-
-
-def _extra(own: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """A bitmap of the elements of own that other lacks."""
-    bits = np.zeros(SKETCH_BITS, np.uint8)
-    bits[(np.setdiff1d(own, other, assume_unique=True) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS] = 1
-    return np.packbits(bits).view(np.int64)
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) with the sizes of both full sets and of what they share, and bitmaps of what each has alone."""
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar, from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_id, last_set = None, None
         for batch in batches:
-            a, b, row, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0, []
+            a, row, linked = batch.column(0).to_pylist(), 0, []
             for _, data, offs in text_slices(batch, "text_b"):
                 for own in shingle_sets(data, offs, shingle):
                     if a[row] != last_id or row == 0:
                         lead = np.frombuffer((batch.column(2)[row].as_py() or "").encode(), np.uint8)
                         last_id, last_set = a[row], shingle_sets(lead, np.array([0, len(lead)]), shingle)[0]
-                    out.append((last_set.size, own.size, np.intersect1d(own, last_set, assume_unique=True).size, _extra(last_set, own), _extra(own, last_set)))
+                    common = np.intersect1d(own, last_set, assume_unique=True).size
+                    linked.append(common > 0 and 100 * common >= similarity * (own.size + last_set.size - common))
                     row += 1
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], lists), pa.array(cols[4], lists)], ["a", "b", "size_a", "size_b", "common", "extra_a", "extra_b"])
+            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
     both = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, _CHECKED)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(released(run), "a long, b long")
+
+
+def counters(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How common shingles are among texts, by COUNTERS hashed counters: four times the binary logarithm.
+
+    Counts of 1 within a task are left out: this only orders shingles, and any order gives the same links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int32)
+        for batch in batches:
+            for _, data, offs in text_slices(batch):
+                if len(found := np.concatenate(shingle_sets(data, offs, shingle))):
+                    np.add.at(total, (found % np.uint64(COUNTERS)).astype(np.int64), 1)
+        some = np.flatnonzero(total > 1)
+        for lo in range(0, len(some), 1 << 16):
+            part = some[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], ["slot", "n"])
+
+    sums = texts.select("text").mapInArrow(released(run), "slot long, n long").groupBy("slot").agg((4 * F.log2(F.sum("n"))).cast("int").alias("level")).toPandas()
+    out = np.zeros(COUNTERS, np.uint8)
+    out[sums["slot"].to_numpy(np.int64)] = sums["level"].to_numpy(np.uint8)
+    return out
 
 
-def similar(size_a: Column, size_b: Column, common: Column, similarity: int) -> Column:
-    return (common > 0) & (100 * common >= similarity * (size_a + size_b - common))
+def rarest(texts: DataFrame, levels: np.ndarray, shingle: int, similarity: int) -> DataFrame:
+    """shingle, rep, component, weight, size, left: the rarest shingles of each text (rep, component, weight, text).
+
+    There are as many as a set may lack of another one of the similarity, and one more, so two such sets share one of them
+    at least; left is how many of the set's shingles are not before it in the order. Of the smaller of two sets, or of
+    either if equally large, fewer do: those that have at least least_common() left.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offs in text_slices(batch):
+                sets = shingle_sets(data, offs, shingle)
+                first = [s[np.argsort(levels[(s % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")[: len(s) + (-similarity * len(s)) // 100 + 1]] for s in sets]
+                n = np.array([len(f) * (len(s) > 0) for f, s in zip(first, sets, strict=True)])
+                at, size = pa.array(np.repeat(np.arange(len(sets)), n)), np.repeat([len(s) for s in sets], n)
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                flat = np.concatenate([f[:k] for f, k in zip(first, n, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *(rows.column(c).take(at) for c in ("rep", "component", "weight")), pa.array(size.astype(np.int64)), pa.array(size - place)], ["shingle", "rep", "component", "weight", "size", "left"])
 
-#: Bits of the filter of wanted ids that tasks hold: 4 MB, whatever the number of ids.
-FILTER_BITS = 1 << 25
+    return texts.select("rep", "component", "weight", "text").mapInArrow(released(run), "shingle long, rep long, component long, weight long, size long, left long")
+
+
+def least_common(size_a: Column, size_b: Column, similarity: int) -> Column:
+    """How many shingles two sets of these sizes have in common at the least, if they are similar."""
+    return F.ceil(similarity * (size_a + size_b) / (100 + similarity))
+
+
+def close_pairs(rare: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of different components that can be similar by a rarest() shingle that they share, and their sketches.
+
+    A shingle's rows of one component, that of the greatest weight, are compared with those of others only, so a
+    shingle that a large component shares doesn't pair its members.
+    """
+    homes = rare.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.struct("weight", "component")).alias("home")).where("c0 <> c1").select("shingle", F.col("home.component").alias("home"))
+    own = rare.join(homes, "shingle").join(classes.select("rep", "sketch"), "rep")
+    own = own.withColumns({"at_home": F.col("component") == F.col("home"), "fit": F.col("left") >= least_common(F.col("size"), F.col("size"), similarity)})
+    x, y = (own.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "size", "left", "at_home", "fit", "sketch")]) for side in "xy")
+    once = F.col("at_home_y") | (F.col("rep_x") < F.col("rep_y"))
+    smaller = (F.col("fit_x") & (F.col("size_x") <= F.col("size_y"))) | (F.col("fit_y") & (F.col("size_y") <= F.col("size_x")))
+    reach = F.least("left_x", "left_y") >= least_common(F.col("size_x"), F.col("size_y"), similarity)
+    met = x.where("not at_home_x").join(y, "shingle").where((F.col("component_x") != F.col("component_y")) & once & smaller & reach & (differing_bits("sketch_x", "sketch_y") <= most_bits()))
+    return met.select(*_ordered(F.col("rep_x"), F.col("rep_y"))).distinct()
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -174,19 +226,13 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     Spares the joins that follow a shuffle of every text; they drop the bitmap's false positives.
     """
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    found = ids.select(bit.alias("bit")).select(F.expr("bit div 64").alias("word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    filled = np.zeros(FILTER_BITS // 64, np.int64)
-    filled[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64)
-    filled = filled.view(np.uint64)
+    held = held_bits(ids, "id")
 
-    @F.pandas_udf("boolean")
-    def wanted(place: pd.Series) -> pd.Series:
-        at = place.to_numpy(np.int64)
-        return pd.Series((filled[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held(batch.column(0).to_numpy(zero_copy_only=False))))
 
-    rows = docs.selectExpr("cast(doc_id as long) as id", "text").where("id is not null")
-    return materialise(rows.where(wanted(bit)))
+    return materialise(docs.selectExpr("cast(doc_id as long) as id", "text").where("id is not null").mapInArrow(released(run), "id long, text string"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -219,19 +265,20 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def forest(links: DataFrame) -> DataFrame:
+    """Links (a: leader, b) thinned to one for each b, and one for each pair of leaders that a b joins."""
+    first = links.groupBy("b").agg(F.min("a").alias("first"))
+    bridges = links.join(first, "b").where("a <> first").select(F.col("first").alias("a"), F.col("a").alias("b")).distinct()
+    return first.select(F.col("first").alias("a"), "b").unionAll(bridges)
 
 
-def _most_in_common() -> Column:
-    """How much two members of a bucket can share, of whom each has been compared with the bucket's leader.
-
-    At most the smaller of what they share with the leader, and of what each has besides it those elements whose bits
-    the other has too; elements that share a bit with another of their own count in full.
-    """
-    overlap = F.expr(" + ".join(f"bit_count(xa[{i}] & xb[{i}])" for i in range(_WORDS)))
-    lost = [F.col(f"s{c}") - F.col(f"m{c}") - F.expr(" + ".join(f"bit_count(x{c}[{i}])" for i in range(_WORDS))) for c in "ab"]
-    return F.least("ma", "mb") + overlap + F.least(*lost)
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, component) after more links, which are followed between components, not nodes."""
+    ends = [label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+    between = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = components(between)
+    moved = label.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return materialise(moved.unionAll(top.join(label, "node", "left_anti")))
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
@@ -241,50 +288,35 @@ def link_classes(classes: DataFrame, docs: DataFrame, shingle: int, similarity:
     members = materialise(keys.join(buckets, "key"))
     company = members.groupBy("rep").agg(F.sum("n").alias("company"))
     order = F.struct(-F.col("company"), F.xxhash64("rep"), "rep")
-    leaders = materialise(members.join(company, "rep").groupBy("key").agg(F.min(order).alias("lead")).select("key", F.col("lead.rep").alias("lead")))
+    leaders = members.join(company, "rep").groupBy("key").agg(F.min(order).alias("lead")).select("key", F.col("lead.rep").alias("lead"))
     pairs = members.join(leaders, "key").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     tried = materialise(_screened(pairs, classes))
-    against_lead = materialise(confirmed(tried, texts_of(docs, tried.selectExpr("a as id").unionAll(tried.selectExpr("b as id"))), shingle))
-    linked = similar(F.col("size_a"), F.col("size_b"), F.col("common"), similarity)
-    links = against_lead.where(linked).select("a", "b")
-    tried = tried.select(*_ordered(F.col("a"), F.col("b")))
-    label = components(links)
+    links = materialise(confirmed(tried, texts_of(docs, tried.selectExpr("a as id").unionAll(tried.selectExpr("b as id"))), shingle, similarity))
+    label = components(forest(links))
 
     def still_open(rows: DataFrame) -> DataFrame:
-        """Rows (key, rep, n) of buckets that hold several components, with them."""
-        named = rows.select("key", "rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        """Rows (key, rep) of buckets that hold several components, with them."""
+        named = rows.select("key", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         several = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-        return materialise(named.join(several, "key").select("key", "rep", "component", "n"))
+        return materialise(named.join(several, "key").select("key", "rep", "component"))
 
     left = still_open(members.where("n > 2"))
     if left.isEmpty():
         return label
     texts = texts_of(docs, left.selectExpr("rep as id"))
-    for number in range(1, LEADER_ROUNDS + 1):
-        drawn = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key", F.lit(number)), "rep", "component")).alias("lead"))
-        pairs = left.join(drawn, "key").where("component <> lead.component").select(*_ordered(F.col("rep"), F.col("lead.rep"))).distinct()
-        fresh = materialise(_screened(pairs.join(tried, ["a", "b"], "left_anti"), classes))
-        added = materialise(confirmed(fresh, texts, shingle).where(linked).select("a", "b"))
-        tried = tried.unionAll(fresh)
-        if added.isEmpty():
-            break
-        links = links.unionAll(added)
-        label = components(links)
+    drawn = left.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("rep", "key", F.lit(k)), "rep", "component")).alias(f"l{k}") for k in range(DRAWN)])
+    drawn = drawn.select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"l{k}.rep", f"l{k}.component") for k in range(DRAWN)]))).alias("lead"))
+    pairs = left.join(drawn, "key").where("component <> lead.component").select(*_ordered(F.col("rep"), F.col("lead.rep"))).distinct()
+    added = materialise(confirmed(_screened(pairs, classes), texts, shingle, similarity))
+    if not added.isEmpty():
+        label = merged(label, added)
         left = still_open(left)
-        if left.isEmpty():
-            return label
-
-    seen = against_lead.select(F.col("a").alias("lead"), F.col("b").alias("rep"), F.col("size_b").alias("s"), F.col("common").alias("m"), F.col("extra_b").alias("x"))
-    alone = against_lead.groupBy(F.col("a").alias("lead")).agg(F.max("size_a").alias("s")).select("lead", F.col("lead").alias("rep"), "s", F.col("s").alias("m"), F.array_repeat(F.lit(0).cast("long"), _WORDS).alias("x"))
-    own = left.join(classes.select("rep", "sketch"), "rep").join(leaders, "key").join(seen.unionAll(alone), ["lead", "rep"], "left")
-    own = own.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
-    x = own.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("rep").alias("ra"), F.col("component").alias("ca"), F.col("sketch").alias("sketch_a"), F.col("s").alias("sa"), F.col("m").alias("ma"), F.col("x").alias("xa"))
-    y = own.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("rep").alias("rb"), F.col("component").alias("cb"), F.col("sketch").alias("sketch_b"), F.col("s").alias("sb"), F.col("m").alias("mb"), F.col("x").alias("xb"))
-    possible = F.coalesce(similar(F.col("sa"), F.col("sb"), _most_in_common(), similarity), F.lit(True))
-    found = x.join(y, ["key", "i", "j"]).where((F.col("ca") != F.col("cb")) & ((F.col("i") != F.col("j")) | (F.col("ra") < F.col("rb"))) & (differing_bits("sketch_a", "sketch_b") <= most_bits()) & possible)
-    more = found.select(*_ordered(F.col("ra"), F.col("rb"))).distinct()
-    added = materialise(confirmed(more.join(tried, ["a", "b"], "left_anti"), texts, shingle).where(linked).select("a", "b"))
-    return label if added.isEmpty() else components(links.unionAll(added))
+
+    named = left.select("rep", "component").distinct()
+    named = texts.withColumnRenamed("id", "rep").join(named.join(named.groupBy("component").agg(F.count("*").alias("weight")), "component"), "rep")
+    rare = materialise(rarest(named, counters(texts, shingle), shingle, similarity))
+    added = materialise(confirmed(close_pairs(rare, classes, similarity), texts, shingle, similarity))
+    return label if added.isEmpty() else merged(label, added)
 
 
 def find(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY) -> DataFrame:
@@ -304,15 +336,20 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat the staying doc_id, one stays. Rows without doc_id stay.
     """
-    found = materialise(find(docs, shingle=5))
-    stay = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    ids = materialise(stay.withColumnRenamed("doc_id", "_id"))
-    kept = docs.join(ids, docs["doc_id"] == ids["_id"])
-    single = kept.where("_n = 1").select(*docs.columns)
-    nameless = docs.where("doc_id is null")
-    if ids.where("_n > 1").isEmpty():
-        return single.unionAll(nameless)
-    return single.unionAll(kept.where("_n > 1").dropDuplicates(["doc_id"]).select(*docs.columns)).unionAll(nameless)
+    found = materialise(find(docs, shingle=5).where("doc_id is not null"))
+    key, stays = fresh_name("id", docs.columns), fresh_name("stays", docs.columns)
+    # ids that go, and ids that rows share: all other documents stay without a shuffle of their texts
+    special = materialise(found.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n"), F.bool_or("kept").alias(stays)).where(f"n > 1 or not {stays}"))
+    held = held_bits(special, key)
+
+    @F.pandas_udf("boolean")
+    def perhaps(doc_id: pd.Series) -> pd.Series:
+        return pd.Series(held(doc_id.to_numpy()))
+
+    maybe = perhaps(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")))
+    sure = docs.where(F.col("doc_id").isNull() | ~maybe)
+    rest = docs.where(F.col("doc_id").isNotNull() & maybe).join(special.drop("n"), F.col("doc_id") == F.col(key), "left")
+    return sure.unionAll(rest.where(F.coalesce(F.col(stays), F.lit(True))).select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
