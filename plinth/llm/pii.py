@@ -5,14 +5,16 @@ kind, in code points, checked afterwards, without retries. Each is searched so t
 
 The CRF labels words B-/I- email, ip, card, phone and secret. Features are the shape of a word, the shape's outline,
 digit and length classes, and the shapes or cue words just before. It is trained by gradient ascent on the
-likelihood, on a small labelled table of sentences (training_table()). Shapes without a digit or an @ never occur
-in a span of that table, and such words are fixed to O; so a text falls into runs of other words between fixed O's,
-and Viterbi over padded numpy batches of runs is exact for the whole text. A decoded span is cut free of
-surrounding signs, must pass its kind's check (Luhn, octets, digit counts, secret-like strength), and is added where
-it overlaps no span that is there already.
-
-Defined results: a null or empty text has no spans; repeated rows get a row each; further columns are kept by
-redact() and not read by find().
+likelihood, on a small labelled table of sentences (training_table()). Every word of a text has its emission scores, from
+numpy lookups by what its features depend on. Where a word's score for O is so far above its others that no transition
+can make up for it, the best path has O there whatever is around (see Crf.gain and Crf.stretch); so a text falls into runs of
+other words between such O's, and Viterbi over padded numpy batches of runs gives the best path of the whole text. A decoded
+span is cut free of surrounding signs, must pass its kind's check (Luhn, octets, digit counts, secret-like strength), and
+is added where it overlaps no span that is there already.
+
+Defined results: a null or empty text has no spans; repeated rows get a row each; a very long text takes time in
+proportion, and memory in proportion to its words; further columns are kept by redact(), whatever their names, and not
+read by find(); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm.common import table, text_slices, words
+from plinth.llm.common import bounded_batches, code_points, combine, released, span_hashes, table, text_slices, words
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -87,7 +89,10 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the CRF ---------------------------------------------------------------------------------------------------
 
+#: Passes that look for words which are surely O; what is left is decoded.
+PEELS = 4
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+_DIGITS = frozenset("0123456789")
 #: Words that announce personal data; matched without signs, in lower case: fixed values.
 CUES = frozenset("token key apikey api_key secret password passwd pwd auth bearer tel phone call fax mobile email mail card visa ip host addr".split())
 _TRIM = "\"'`.,;:!?&$%*#|<>[]{}()="
@@ -99,31 +104,32 @@ def shape(word: str) -> str:
     return _RUN.sub(lambda m: "u" if m.group()[0] > "\x7f" else ("9" * len(m.group()) if len(m.group()) < 5 else "9+") if m.group()[0].isdigit() else "a" if m.group()[0].islower() else "A", word)
 
 
-@lru_cache(maxsize=100_000)
 def word_features(word: str) -> tuple[str, ...]:
     core = word.strip(_TRIM)
-    digits = sum(c.isdigit() for c in core)
+    digits = sum(c in _DIGITS for c in core)
     hexish = len(core) >= 16 and all(c in "0123456789abcdefABCDEF" for c in core)
     mixed = len(core) >= 16 and digits >= 3 and any(c.isalpha() for c in core)
     s = shape(core)
-    return (f"s={s if len(s) <= 24 else 'long'}", f"o={re.sub('9+[+]?', '9', s)[:12]}", f"d={min(digits, 4) if digits < 5 else 5 if digits < 9 else 9 if digits < 13 else 13 if digits < 20 else 20}", f"n={min(len(core) // 4, 6)}", f"at={'@' in core}", f"hex={hexish}", f"mixed={mixed}", f"p={word[0] if not word[0].isalnum() else ''}")
+    return (f"s={s if len(s) <= 24 else 'long'}", f"o={re.sub('9+[+]?', '9', s)[:12]}", f"d={min(digits, 4) if digits < 5 else 5 if digits < 9 else 9 if digits < 13 else 13 if digits < 20 else 20}", f"n={min(len(core) // 4, 6)}", f"at={'@' in core}", f"hex={hexish}", f"mixed={mixed}", f"p={word[:1] if not word[:1].isalnum() else ''}")
 
 
-@lru_cache(maxsize=100_000)
 def cue(word: str) -> str:
-    core = word.strip(_TRIM).lower()
+    core = word.strip(_TRIM)
+    core = core.lower() if core.isascii() else core
     return core if core in CUES else "=" if word.strip("\"'") in ("=", ":", ":=") else "-"
 
 
 def features(word: str, before: str, further: str) -> tuple[str, ...]:
     b, f = cue(before), cue(further)
-    return (*word_features(word), f"b={b}", f"f={f}", f"bs={shape(before)[:8] if any(c.isdigit() for c in before[:40]) else '-'}")
+    return (*word_features(word), f"b={b}", f"f={f}", f"bs={shape(before)[:8] if any(c in _DIGITS for c in before) else '-'}")
 
 
 def training_table() -> list[tuple[str, str]]:
     """The labelled table, as (sentence, kind of the part in double braces or ''): templates filled by a fixed seed."""
     rng = np.random.default_rng(5)
-    filler = "the and of to in is with for this that from are was by on as be or not at und der die das ist mit les des une est pour que los las del con una".split()
+    plain = "The Die Élan était größe niño EN OK Über ça à É — – “ ” | || !! ... ( ) (word) word, word. Word: word; word! Qué? “Ça étés» l'été d'un e-mail semi-final né. aïe, Ä, A.B. * ** *** # $$$ %%% &&& ### WORD! WORD!! foo/bar <b> [x] naïveté, œuvre ñandú Straße. token key card".split()
+    filler = plain + 2 * "the and of to in is with for this that from are was by on as be or not at und der die das ist mit les des une est pour que los las del con una".split()
+    names = filler[len(plain) :]
 
     def digits(n: int) -> str:
         return "".join(map(str, rng.integers(0, 10, n)))
@@ -145,8 +151,8 @@ def training_table() -> list[tuple[str, str]]:
     for i in range(12):
         c = card()
         made += [
-            (f"{some(3)} {{{{{rng.choice(filler)}.{digits(2)}@mail{digits(1)}.example.com}}}} {some(2)}", "email"),
-            (f"email {{{{{rng.choice(filler)}_{rng.choice(filler)}@host.example.org}}}}, {some(3)}", "email"),
+            (f"{some(3)} {{{{{rng.choice(names)}.{digits(2)}@mail{digits(1)}.example.com}}}} {some(2)}", "email"),
+            (f"email {{{{{rng.choice(names)}_{rng.choice(names)}@host.example.org}}}}, {some(3)}", "email"),
             (f"{some(2)} {{{{{'.'.join(str(x) for x in rng.integers(1, 255, 4))}}}}} {some(3)}", "ip"),
             (f"{some(4)} {{{{{c}}}}} {some(2)}", "card"),
             (f"{some(2)} {{{{{c[:4]} {c[4:8]} {c[8:12]} {c[12:]}}}}} {some(2)}", "card"),
@@ -165,7 +171,7 @@ def training_table() -> list[tuple[str, str]]:
             (f"{some(2)} {digits(7)} {some(1)} {digits(10)} {some(2)}", ""),
             (f"{some(2)} {digits(2)}:{digits(2)} {some(2)} ({digits(4)}) {some(1)} {digits(2)}%", ""),
             (f"{some(2)} {digits(4)} {digits(4)} {some(1)} {digits(3)} {digits(3)} {some(1)}", ""),
-            (f"{some(1)} {rng.choice(filler)}{digits(2)} {some(2)} @{rng.choice(filler)} {some(1)} {hexes(8)} {some(1)}", ""),
+            (f"{some(1)} {rng.choice(names)}{digits(2)} {some(2)} @{rng.choice(names)} {some(1)} {hexes(8)} {some(1)}", ""),
         ]
     return made
 
@@ -182,23 +188,95 @@ def _labelled(sentence: str, kind: str) -> tuple[list[str], list[int]]:
 
 
 class Crf:
-    """weights: feature by label; moves: label by label; starts: label. The chain's scores are sums of these."""
+    """weights: feature by label; moves: label by label; starts: label. The chain's scores are sums of these.
+
+    gain: for each label, the most that a path can win by transitions through it, against O at the same word. Where
+    O's emission is ahead of every other label's by more than that, the best path has O.
+    """
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray, starts: np.ndarray):
         self.index, self.weights, self.moves, self.starts = index, weights, moves, starts
-        self.cache: dict[tuple[str, ...], np.ndarray] = {}
-
-    def emission(self, found: tuple[str, ...]) -> np.ndarray:
-        if found not in self.cache:
-            if len(self.cache) > 200_000:
-                self.cache = {}
-            rows = [self.index[f] for f in found if f in self.index]
-            self.cache[found] = self.weights[rows].sum(axis=0)
-        return self.cache[found]
-
-    def viterbi(self, runs: list[np.ndarray]) -> list[np.ndarray]:
-        """The best labels of each run of emissions, each between fixed O's; runs of like length share a numpy batch."""
+        #: What a label wins against O by the transition into it: from any label, from O, from the start; and out of it.
+        self.into = np.stack([(moves - moves[:, :1]).max(axis=0), moves[0] - moves[0, 0], starts - starts[0]])
+        self.after = np.stack([(moves - moves[:1]).max(axis=1), moves[:, 0] - moves[0, 0], np.zeros(len(moves))])
+        self.gain = self.into.max(axis=0) + self.after.max(axis=0)
+        #: What each word of a stretch of other labels wins at most against a stretch of O's: each transition counts once.
+        self.stretch = np.maximum((moves - moves[0, 0]).max(axis=0), starts - starts[0]) + np.maximum(moves[:, 0] - moves[0, 0], 0)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.row: dict[object, int] = {}
+        self.tables = np.zeros((3, 1024, len(LABELS)))
+
+    def _row(self, key: object, word: str) -> int:
+        """The row of a kind of word in the tables of scores: as the word itself, as the one before, as the one before that."""
+        if key not in self.row:
+            at = self.row[key] = len(self.row)
+            if at == self.tables.shape[1]:
+                self.tables = np.concatenate((self.tables, np.zeros_like(self.tables)), axis=1)
+            b = (f"b={cue(word)}", f"bs={shape(word)[:8] if any(c in _DIGITS for c in word) else '-'}")
+            for k, found in enumerate((word_features(word), b, (f"f={cue(word)}",))):
+                self.tables[k, at] = self.weights[[self.index[f] for f in found if f in self.index]].sum(axis=0)
+        return self.row[key]
+
+    def rows(self, data: np.ndarray, w) -> np.ndarray:
+        """The row of each word, and last that of the missing word before a text's first."""
+        if len(self.row) > 100_000:
+            self._clear()
+        out = np.empty(len(w.start) + 1, np.int64)
+        out[-1] = self._row("", "")
+        raw = data.tobytes()
+        marked = np.diff(np.concatenate(([0], np.cumsum(_MARK[data])))[np.concatenate((w.start[:, None], w.end[:, None]), axis=1)], axis=1)[:, 0] > 0
+        for i in np.flatnonzero(marked).tolist():
+            word = raw[w.start[i] : w.end[i]].decode()
+            out[i] = self._row(word, word)
+        plain = np.flatnonzero(~marked)
+        start, end = w.start[plain], w.end[plain]
+        keys, first, of = np.unique(_plain_keys(data, start, end), return_index=True, return_inverse=True)
+        known = np.array([self._row(key, raw[start[i] : end[i]].decode()) for key, i in zip(keys.tolist(), first.tolist(), strict=True)], np.int64)
+        out[plain] = known[of]
+        return out
+
+    def open_words(self, rows: np.ndarray, first: np.ndarray, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+        """The words that aren't surely O, and their emissions; first: where each text's words begin."""
+        at, scores = [np.zeros(0, np.int64)], [np.zeros((0, len(LABELS)))]
+        own, before, further = self.tables
+        for lo in range(0, len(rows) - 1, most):
+            i = np.arange(lo, min(lo + most, len(rows) - 1))
+            place = i - first[np.searchsorted(first, i, "right") - 1]
+            e = own[rows[i]] + before[rows[np.where(place > 0, i - 1, -1)]] + further[rows[np.where(place > 1, i - 2, -1)]]
+            unsure = ~(e[:, :1] - e[:, 1:] > self.gain[1:]).all(axis=1)
+            at.append(i[unsure])
+            scores.append(e[unsure])
+        return self._peeled(np.concatenate(at), np.concatenate(scores), first)
+
+    def _peeled(self, at: np.ndarray, scores: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without runs of which every stretch surely loses to O's, and words that are O because what is beside them is."""
+        for _ in range(PEELS):
+            if not len(at):
+                break
+            doc = np.searchsorted(first, at, "right") - 1
+            joined = np.concatenate(([False], np.diff(at) == 1, [False]))
+            joined[1:-1] &= doc[1:] == doc[:-1]
+            before = np.where(joined[:-1], 0, np.where(at == first[doc], 2, 1))
+            behind = np.where(joined[1:], 0, np.where(at + 1 == first[doc + 1], 2, 1))
+            ahead = scores[:, :1] - scores[:, 1:]
+            unsure = ~(ahead > (self.into[before] + self.after[behind])[:, 1:]).all(axis=1)
+            heads = np.flatnonzero(~joined[:-1])
+            risky = np.logical_or.reduceat((ahead <= self.stretch[1:]).any(axis=1), heads)
+            unsure &= np.repeat(risky, np.diff(np.append(heads, len(at))))
+            if unsure.all():
+                break
+            at, scores = at[unsure], scores[unsure]
+        return at, scores
+
+    def viterbi(self, runs: list[np.ndarray], heads: np.ndarray | None = None, tails: np.ndarray | None = None) -> list[np.ndarray]:
+        """The best labels of each run of emissions, each between O's, or at its text's start (heads) or end (tails).
+
+        Runs of like length share a numpy batch.
+        """
         out: list[np.ndarray] = [np.zeros(0, int)] * len(runs)
+        heads, tails = (np.zeros(len(runs), bool) if x is None else x for x in (heads, tails))
         order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
         lo = 0
         while lo < len(order):
@@ -212,7 +290,7 @@ class Crf:
             lengths = np.array([len(runs[i]) for i in part])
             for row, i in enumerate(part):
                 scores[row, : len(runs[i])] = runs[i]
-            best = scores[:, 0] + self.moves[0]
+            best = scores[:, 0] + np.where(heads[part][:, None], self.starts, self.moves[0])
             back = np.zeros((n, most, len(LABELS)), np.int8)
             final = np.where((lengths == 1)[:, None], best, 0.0)
             for t in range(1, most):
@@ -220,7 +298,7 @@ class Crf:
                 back[:, t] = step.argmax(axis=1)
                 best = step.max(axis=1) + scores[:, t]
                 final[lengths == t + 1] = best[lengths == t + 1]
-            label = (final + self.moves[:, 0]).argmax(axis=1)
+            label = (final + np.where(tails[part][:, None], 0.0, self.moves[:, 0])).argmax(axis=1)
             path = np.zeros((n, most), int)
             for t in range(most - 1, -1, -1):
                 live = lengths > t
@@ -232,6 +310,53 @@ class Crf:
         return out
 
 
+_KIND = np.arange(256, dtype=np.uint8)
+_KIND[97:123], _KIND[65:91], _KIND[128:] = 97, 65, 117
+_LETTER = np.isin(_KIND, (97, 65, 117))
+_HEX = np.isin(np.arange(256), list(b"abcdefABCDEF"))
+_TRIMMED = np.isin(np.arange(256), list(_TRIM.encode()))
+_CUE_HASHES = None
+
+
+def _cue_numbers(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each word the number of the cue that it is without signs, from 1, or 0."""
+    global _CUE_HASHES
+    if _CUE_HASHES is None:
+        raw = np.frombuffer(" ".join(sorted(CUES)).encode(), np.uint8)
+        c = words(raw, np.array([0, len(raw)]))
+        _CUE_HASHES = np.sort(span_hashes(raw, c.start, c.end))
+    lo, hi = start.copy(), end.copy()
+    while (more := (lo < hi) & _TRIMMED[data[np.minimum(lo, len(data) - 1)]]).any():
+        lo += more
+    while (more := (lo < hi) & _TRIMMED[data[hi - 1]]).any():
+        hi -= more
+    h = span_hashes(data, lo, hi, lower=True)
+    at = np.minimum(np.searchsorted(_CUE_HASHES, h), len(_CUE_HASHES) - 1)
+    return np.where(_CUE_HASHES[at] == h, at + 1, 0)
+
+
+def _plain_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One key for all words without digit or @ that have the same features: shape, length, cue, hex letters, first sign."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    kind = _KIND[data]
+    keep = np.ones(len(data), bool)
+    keep[1:] = (kind[1:] != kind[:-1]) | ~_LETTER[data[1:]]
+    keep[start] = True
+    place = np.concatenate(([0], np.cumsum(keep)))
+    shapes = span_hashes(kind[keep], place[start], place[end])
+    length = code_points(data)
+    size = np.minimum(length[end] - length[start], 1000)
+    hexes = np.concatenate(([0], np.cumsum(_HEX[data])))
+    hexes = np.where(size >= 16, np.minimum(hexes[end] - hexes[start], 1000), 0)
+    # of a first sign beyond ASCII, whether it is a letter matters: those of Latin-1 are all but two
+    lead, follow = data[start], data[np.minimum(start + 1, len(data) - 1)]
+    latin = (lead == 0xC3) & (follow != 0x97) & (follow != 0xB7)
+    padded = np.concatenate((data, np.zeros(4, np.uint8)))
+    sign = np.where((lead >= 0x80) & ~latin, padded[start].astype(np.uint64) | padded[start + 1].astype(np.uint64) << np.uint64(8) | padded[start + 2].astype(np.uint64) << np.uint64(16) | padded[start + 3].astype(np.uint64) << np.uint64(24), np.uint64(1) * latin)
+    return combine(shapes, size.astype(np.uint64) | hexes.astype(np.uint64) << np.uint64(10) | _cue_numbers(data, start, end).astype(np.uint64) << np.uint64(20), sign)
+
+
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
@@ -297,35 +422,24 @@ _MARK[[*range(48, 58), 64]] = True
 def find_spans(texts: list[str], data: np.ndarray, offs: np.ndarray, crf: Crf) -> list[tuple[list[Span], list[Span]]]:
     """For each text its base spans and all spans, each sorted by kind and start."""
     out: list[tuple[list[Span], list[Span]]] = [([], []) for _ in texts]
-    marks = np.flatnonzero(_MARK[data])
-    if not len(marks):
-        return out
+    base: dict[int, list[Span]] = {}
+    for d in np.unique(np.searchsorted(offs, np.flatnonzero(_MARK[data]), "right") - 1).tolist():
+        if spans := base_spans(texts[d]):
+            base[d] = spans
+            out[d] = sorted(spans), sorted(spans)
     w = words(data, offs)
-    marked = np.unique(np.searchsorted(w.start, marks, "right") - 1)
-    base = {}
-    for d in np.unique(w.doc[marked]).tolist():
-        base[d] = base_spans(texts[d])
-    # runs of marked words that follow each other in a text
-    cuts = np.flatnonzero((np.diff(marked) > 1) | (np.diff(w.doc[marked]) > 0)) + 1
-    runs = np.split(marked, cuts)
-    raw = data.tobytes()
-
-    def word(i: int, doc: int) -> str:
-        return raw[w.start[i] : w.end[i]].decode() if i >= w.first[doc] else ""
-
-    emissions = []
-    for run in runs:
-        doc, e = int(w.doc[run[0]]), []
-        further, before = word(run[0] - 2, doc), word(run[0] - 1, doc)
-        for i in run.tolist():
-            now = word(i, doc)
-            e.append(crf.emission(features(now, before, further)))
-            further, before = before, now
-        emissions.append(np.array(e))
+    if not len(w.start):
+        return out
+    unsure, scores = crf.open_words(crf.rows(data, w), w.first)
+    if not len(unsure):
+        return out
+    cuts = np.flatnonzero((np.diff(unsure) > 1) | (np.diff(w.doc[unsure]) > 0)) + 1
+    runs = np.split(unsure, cuts)
+    heads, tails = (np.array(x) for x in zip(*((r[0] == w.first[w.doc[r[0]]], r[-1] + 1 == w.first[w.doc[r[0]] + 1]) for r in runs), strict=True))
     added: dict[int, list[tuple[int, int, int]]] = {}
-    for run, labels in zip(runs, crf.viterbi(emissions), strict=True):
+    for run, labels in zip(runs, crf.viterbi(np.split(scores, cuts), heads, tails), strict=True):
         at = 0
-        while at < len(run):
+        while labels.any() and at < len(run):
             if not labels[at]:
                 at += 1
                 continue
@@ -334,18 +448,24 @@ def find_spans(texts: list[str], data: np.ndarray, offs: np.ndarray, crf: Crf) -
                 end += 1
             added.setdefault(int(w.doc[run[at]]), []).append((int(kind), int(w.start[run[at]]), int(w.end[run[end - 1]])))
             at = end
-    for d, spans in base.items():
-        every = list(spans)
-        taken = sorted((a, b) for _, a, b in spans)
-        for kind, lo, hi in added.get(d, ()):
-            begin = len(raw[offs[d] : lo].decode())
+    raw, points = data.tobytes(), code_points(data) if added else None
+    for d, more in added.items():
+        spans = base.get(d, [])
+        every, taken, at, last = list(spans), sorted((a, b) for _, a, b in spans), 0, 0
+        reach = np.maximum.accumulate([0, *(b for _, b in taken)])
+        begins = [a for a, _ in taken]
+        for kind, lo, hi in more:  # in the order of their starts, none inside of another
+            begin = int(points[lo] - points[offs[d]])
             found = raw[lo:hi].decode()
             open_signs = _TRIM.replace("(", "") if kind == 3 else _TRIM
             begin += len(found) - len(found.lstrip(open_signs))
             found = found.strip(open_signs).rstrip(_TRIM)
-            if found and _passes(kind, found) and not any(a < begin + len(found) and begin < b for a, b in taken):
-                every.append((kind, begin, begin + len(found)))
-                taken.append((begin, begin + len(found)))
+            end = begin + len(found)
+            while at < len(begins) and begins[at] < end:
+                at += 1
+            if found and begin >= last and reach[at] <= begin and _passes(kind, found):
+                every.append((kind, begin, end))
+                last = end
         out[d] = sorted(spans), sorted(every)
     return out
 
@@ -368,7 +488,7 @@ def find(docs: DataFrame) -> DataFrame:
                 digests = [hashlib.sha256(_text(base).encode()).hexdigest() for base, _ in found]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *numbers, pa.array(digests), pa.array([_text(every) for _, every in found])], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(released(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -389,14 +509,17 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = Crf(*model)
         for batch in batches:
-            at, nulls = batch.schema.get_field_index(text), batch.column(batch.schema.get_field_index(text)).is_null()
-            done = []
+            at = batch.schema.get_field_index(text)
+            null, done = batch.column(at).is_null(), 0
             for rows, data, offs in text_slices(batch, text):
                 own = rows.column(at).to_pylist()
-                done += [redacted(t, every) if every else t for t, (_, every) in zip(own, find_spans(own, data, offs, crf), strict=True)]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(done, pa.string(), mask=nulls.to_numpy(zero_copy_only=False)))
+                new = [redacted(t, every) if every else t for t, (_, every) in zip(own, find_spans(own, data, offs, crf), strict=True)]
+                mask = null.slice(done, len(own)).to_numpy(zero_copy_only=False)
+                done += len(own)
+                yield rows.set_column(at, batch.schema.field(at), pa.array(new, pa.string(), mask=mask))
 
-    return docs.mapInArrow(run, docs.schema)
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
