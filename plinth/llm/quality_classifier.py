@@ -6,12 +6,14 @@ only until the compressor has its own history. The difference of the sizes over
 of its worst and of its best block) becomes a probability by logistic calibration on labelled rows that the
 dictionaries were not built from.
 
-Fitting uses a bounded sample (samples.ROWS_PER_CLASS rows a class); scoring covers every text whole. A model is
-some 70 kB and goes out with the tasks.
+Fitting uses a bounded sample (samples.ROWS_PER_CLASS rows a class, of long texts windows); the intercept is then moved
+from the sample's share of good rows to samples.REFERENCE_SHARE, so scores don't move with the table's size. Scoring
+covers every text whole, block by block. A model is some 70 kB and goes out with the tasks.
 
 Defined results: a null or empty text has differences of 0 and the score that the calibration gives those; with
 fewer than MIN_ROWS rows of either class, or texts too few for a dictionary, every score is the share of good labels
-(0.5 without labels). Repeated rows are scored each; input columns that clash with the added ones are replaced.
+(0.5 without labels). Repeated rows are scored each; score() replaces an input column of the score's name, accept() keeps
+every input column. A very long text takes time and memory in proportion.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from plinth.llm.common import table, text_slices
-from plinth.llm.samples import held_out, labelled_sample, logistic, sigmoid
+from plinth.llm.common import fresh_name, released, table, text_slices
+from plinth.llm.samples import Sample, held_out, labelled_sample, logistic, shift, sigmoid
 
 BLOCK = 1024
 DICTIONARY_BYTES = 32_768
@@ -71,10 +73,11 @@ def differences(texts: list[bytes], good: bytes, bad: bytes) -> np.ndarray:
     return out
 
 
-def fit(rows) -> Model:
-    """A model from rows with doc_id, text and y; half of them (by crc32 of doc_id) build the dictionaries."""
+def fit(sample: Sample) -> Model:
+    """A model from a labelled sample; half of it (by crc32 of doc_id) builds the dictionaries."""
+    rows = sample.rows
     y = rows["y"].to_numpy(int) if len(rows) else np.zeros(0, int)
-    prior = float(y.mean()) if len(y) else 0.5
+    prior = 0.5 if sample.share is None else float(sample.share)
     texts = [t.encode() for t in rows["text"]]
     build = np.array([zlib.crc32(f"half {i}".encode()) % 2 == 0 for i in rows["doc_id"]], bool)
     if min((y[build] == 0).sum(), (y[build] == 1).sum(), (y[~build] == 0).sum(), (y[~build] == 1).sum()) < MIN_ROWS // 2:
@@ -84,8 +87,9 @@ def fit(rows) -> Model:
     except zstandard.ZstdError:
         return Model(b"", b"", (), prior)
     x = differences([t for t, k in zip(texts, ~build, strict=True) if k], *made)
-    # the sample holds each class up to its bound: the intercept is for the sample's share of good rows
-    return Model(made[0], made[1], tuple(logistic(x * 10, y[~build])), prior)
+    weights = logistic(x * 10, y[~build])
+    weights[-1] += shift(y[~build])
+    return Model(made[0], made[1], tuple(weights), prior)
 
 
 def score_texts(texts: list[bytes], model: Model) -> np.ndarray:
@@ -107,7 +111,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
                 s = score_texts([raw[i:j] for i, j in zip(offs[:-1], offs[1:], strict=True)], model)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(s)], [*rows.schema.names, column])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(released(run), schema)
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, **bounds) -> Model:
@@ -117,7 +121,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, **bounds) -> Model:
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored below THRESHOLD go; the columns stay those of docs."""
     model = fit_on(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, column="_quality_score").where(F.col("_quality_score") >= THRESHOLD).select(*docs.columns)
+    column = fresh_name("quality_score", docs.columns)
+    return score(docs, model, column=column).where(F.col(column) >= THRESHOLD).select(*docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

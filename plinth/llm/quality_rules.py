@@ -1,13 +1,14 @@
 """Quality rules: fixed counts of a text, and a calibrated logistic regression over hashed n-grams.
 
-Features are hashed word unigrams and bigrams and byte 4-grams, as shares of their kind in the text; the weights
+Features are hashed word unigrams and bigrams and 4-grams of characters, as shares of their kind in the text; the weights
 are fitted on a bounded sample of labelled rows by Adam over sparse counts, the probability is calibrated on the
 other half of it, and texts are scored in Arrow batches against fixed thresholds. The counts follow their exact
 definitions over the whole text (see counts()).
 
 Defined results: a null or empty text has counts of 0, fails the base rules and has the probability of the
 intercept; with fewer than MIN_ROWS rows of a class the probability is the share of good labels (1 without labels, so
-that the base rules alone decide). Repeated rows get a row each; further columns are not read.
+that the base rules alone decide). Repeated rows get a row each; a very long text takes time and memory in proportion;
+further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm.common import code_points, combine, mix, span_hashes, table, text_slices, words
-from plinth.llm.samples import labelled_sample, logistic, sigmoid
+from plinth.llm.common import code_points, combine, mix, released, span_hashes, table, text_slices, words
+from plinth.llm.samples import Sample, labelled_sample, logistic, shift, sigmoid
 
 BITS = 17
 CHARS = 4
@@ -55,13 +56,16 @@ def features(data: np.ndarray, offs: np.ndarray, w, hashes: np.ndarray) -> list[
     pairs = combine(hashes[:-1], hashes[1:])[w.doc[:-1] == w.doc[1:]] if len(hashes) else hashes
     n = np.maximum(w.counts() - 1, 0)
     out.append(((pairs >> shift).astype(np.int32) + size, np.concatenate(([0], np.cumsum(n)))))
-    at = np.arange(max(0, len(data) - CHARS + 1))
-    n = np.maximum(np.diff(offs) - CHARS + 1, 0)
+    chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    first = code_points(data)[offs]
+    n = np.maximum(np.diff(first) - CHARS + 1, 0)
     bounds = np.concatenate(([0], np.cumsum(n)))
-    inside = np.repeat(offs[:-1] - bounds[:-1], n) + np.arange(bounds[-1])
-    quad = data.astype(np.uint32)
-    packed = (quad[:-3] | quad[1:-2] << 8 | quad[2:-1] << 16 | quad[3:] << 24)[inside] if len(at) else np.zeros(0, np.uint32)
-    out.append((((packed * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32) + 2 * size, bounds))
+    inside = np.repeat(first[:-1] - bounds[:-1], n) + np.arange(bounds[-1])
+    mixed = np.zeros(max(0, len(chars) - CHARS + 1), np.uint32)
+    for k in range(CHARS):
+        mixed = (mixed ^ chars[k : k + len(mixed)]) * np.uint32(0x9E3779B1)
+        mixed ^= mixed >> np.uint32(15)
+    out.append((((mixed[inside] * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS)).astype(np.int32) + 2 * size, bounds))
     return out
 
 
@@ -69,9 +73,10 @@ def raw_scores(found: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray)
     return sum(_segment_sums(weights[f], b) / np.maximum(1, np.diff(b)) for f, b in found)
 
 
-def fit(rows, epochs: int = 40, rate: float = 1.0, ridge: float = 1e-6) -> Model:
+def fit(sample: Sample, epochs: int = 40, rate: float = 1.0, ridge: float = 1e-6) -> Model:
+    rows = sample.rows
     y = rows["y"].to_numpy(int) if len(rows) else np.zeros(0, int)
-    prior = float(y.mean()) if len(y) else 1.0
+    prior = 1.0 if sample.share is None else float(sample.share)
     build = np.array([zlib.crc32(f"half {i}".encode()) % 2 == 0 for i in rows["doc_id"]], bool)
     none = np.zeros(0, np.float32)
     if min((y[build] == 0).sum(), (y[build] == 1).sum(), (y[~build] == 0).sum(), (y[~build] == 1).sum()) < MIN_ROWS // 2:
@@ -100,7 +105,7 @@ def fit(rows, epochs: int = 40, rate: float = 1.0, ridge: float = 1e-6) -> Model
         bias -= r.sum()
     raw = np.bincount(owner, weights[cols] * vals, len(y))
     slope, intercept = logistic(raw[~build, None], y[~build])
-    return Model(weights.astype(np.float32), float(slope), float(intercept), prior)
+    return Model(weights.astype(np.float32), float(slope), float(intercept) + shift(y[~build]), prior)
 
 
 def repeated_words(doc: np.ndarray, hashes: np.ndarray, window: int = 3) -> np.ndarray:
@@ -160,7 +165,7 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 arrays = [rows.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in cols.values()), pa.array(failed), pa.array(p.astype(float)), pa.array(~failed & (p >= threshold))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *cols, "base_failed", "probability", "kept"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(released(run), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

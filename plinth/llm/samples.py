@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,8 +11,12 @@ from pyspark.sql import functions as F
 
 #: Labelled rows of each class that a classifier is fitted on, at most.
 ROWS_PER_CLASS = 1500
-#: Longer texts (in bytes) are not sampled for fitting, so the sample is below 200 MB; they are scored whole.
-SAMPLE_TEXT_BYTES = 65_536
+#: Of a sampled text of more code points, so many windows of so many code points, evenly spaced, are fitted on, so the
+#: sample is bounded whatever the texts' lengths. Texts are scored whole.
+WINDOWS, WINDOW = 16, 4096
+#: The share of label 1 that scores are calibrated for. Fixed, so that they move neither with the table's size, which
+#: decides how far a sample evens out the classes, nor with how many labels of each kind were collected.
+REFERENCE_SHARE = 0.5
 #: Labels with crc32(doc_id as text) mod FOLDS = 0 are never learnt from.
 FOLDS = 5
 
@@ -19,8 +25,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = ROWS_PER_CLASS) -> pd.DataFrame:
-    """doc_id, text and y of at most per_class labelled rows a class, in the order of a hash of doc_id.
+@dataclass(frozen=True)
+class Sample:
+    """rows: doc_id, text and y; share: of label 1 among all the labelled rows that rows were drawn from (None: no rows)."""
+
+    rows: pd.DataFrame
+    share: float | None
+
+
+def excerpt(text: Column) -> Column:
+    """The whole text, or of a longer one WINDOWS windows, the first and the last included."""
+    step = (F.char_length(text) - WINDOW) / (WINDOWS - 1)
+    windows = [F.substr(text, (step * k).cast("int") + 1, F.lit(WINDOW)) for k in range(WINDOWS)]
+    return F.when(F.char_length(text) <= WINDOWS * WINDOW, text).otherwise(F.concat(*windows))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = ROWS_PER_CLASS) -> Sample:
+    """At most per_class labelled rows a class, in the order of a hash of doc_id, and the true share of label 1.
 
     Rows without an id, a label or a text, and ids with both labels, are not used. Ids are chosen from the
     labels alone; the texts come by one pass over docs.
@@ -29,10 +50,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality",
     order = F.xxhash64("doc_id")
     ids = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class).collect()]
     if not ids:
-        return pd.DataFrame({"doc_id": [], "text": [], "y": []})
+        return Sample(pd.DataFrame({"doc_id": [], "text": [], "y": []}), None)
+    share = known.agg(F.avg("y")).first()[0]
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")  # at most 2 * per_class rows
-    texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES)).join(F.broadcast(chosen), "doc_id")
-    return texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id", ignore_index=True)
+    texts = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return Sample(texts.select("doc_id", excerpt(F.col("text")).alias("text"), "y").toPandas().sort_values("doc_id", ignore_index=True), share)
+
+
+def shift(y: np.ndarray, share: float = REFERENCE_SHARE) -> float:
+    """What the intercept of a model fitted on labels y lacks for that share of label 1: the difference of log-odds."""
+    if not 0 < y.sum() < len(y):
+        return 0.0
+    return float(np.log(share / (1 - share)) - np.log(y.sum() / (len(y) - y.sum())))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
