@@ -6,8 +6,10 @@ Words are folded (A-Z and Latin-1 capitals lower-cased, ASCII signs parting word
 2. Terms are the benchmark's informative words: in at most MAX_SHARE of documents, and in any case the rarest
    TERMS_EACH of each item. Passages are windows of WINDOW words, weighted by TF-IDF.
 3. A randomised SVD of the passage-term matrix (windows side by side over the whole corpus, all that hold MIN_TERMS
-   terms or more, and the benchmark's own) gives the latent space: two sketching products X'(XQ), each summed over
-   tasks; the matrix itself, terms by RANK, is bounded by the benchmark. Items are kept in blocks of MAX_ITEMS, so a
+   terms or more, and the benchmark's own) gives the latent space. A product X'(XQ) with RANK + OVER random columns,
+   summed over tasks in a tree, gives an orthonormal range Q; a second one gives the small matrix Q'X'XQ, whose
+   eigenvectors turn Q into singular vectors, of which the RANK of largest singular values stay. The matrices, terms by
+   RANK + OVER, are bounded by the benchmark. Items are kept in blocks of MAX_ITEMS, so a
    large benchmark is a query set against all rows, in blocks.
 4. In one pass over the texts, two sets of candidates: windows at every STRIDE-th word are projected, and those with a
    cosine of at least COSINE to a benchmark passage are taken; and, exactly, every place that shares a run of RUN words
@@ -17,8 +19,9 @@ Words are folded (A-Z and Latin-1 capitals lower-cased, ASCII signs parting word
    (subsequences, answers) depends on it.
 
 Nothing of the corpus goes to the driver but counts and sums over the benchmark's terms. Defined results: null or empty
-texts match nothing; items without a word are left out; repeated rows are judged each; with an empty
-benchmark nothing matches; further columns are kept by drop_contaminated().
+texts match nothing; items without a word are left out; repeated rows are judged each; an empty table gives no rows, with an
+empty benchmark nothing matches; a very long text is searched whole, in memory in proportion to its words; further columns
+are kept by drop_contaminated(), whatever their names, and not read by matches().
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm.common import _LOWER, combine, materialise, span_hashes, table, text_slices, words
+from plinth.llm.common import _LOWER, combine, materialise, released, span_hashes, table, text_slices, words
 
 WINDOW, STRIDE = 64, 16
 #: Longer items are cut into passages of this many words; each stands for the item.
@@ -40,6 +43,10 @@ ITEM_WORDS = 48
 MAX_SHARE = 0.01
 TERMS_EACH = 8
 RANK = 256
+#: Columns that the sketch has besides, which the small decomposition drops again.
+OVER = 32
+#: Partial sums that one task adds up at a time.
+FAN_IN = 64
 COSINE = 0.4
 #: Terms that a corpus passage holds at least (or as many as the poorest benchmark passage has, if fewer).
 MIN_TERMS = 3
@@ -175,7 +182,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], ["word", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    sums = docs.select("text").mapInArrow(released(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(vocabulary), np.int64)
     words_ = sums[sums.word >= 0]
     out[words_.word.to_numpy()] = words_.n.to_numpy()
@@ -196,7 +203,7 @@ def corpus_passages(docs: DataFrame, terms: np.ndarray, least: int) -> DataFrame
                     if len(p):
                         yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (p, t, np.minimum(c, WINDOW))], ["passage", "term", "count"])
 
-    return docs.select("text").mapInArrow(run, "passage binary, term binary, count binary")
+    return docs.select("text").mapInArrow(released(run), "passage binary, term binary, count binary")
 
 
 def _summed(found: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -215,13 +222,18 @@ def _summed(found: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([total[i : i + strip].tobytes() for i in parts], pa.binary())], ["strip", "part"])
 
     def add(strips: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, "<f4") for x in strips.column("part").to_pylist()]
-        return pa.table({"strip": strips.column("strip")[:1].combine_chunks(), "part": pa.array([np.sum(parts, axis=0, dtype=np.float64).astype("<f4").tobytes()], pa.binary())})
-
+        total = np.zeros(len(strips.column("part")[0].as_buffer()) // 4)
+        for x in strips.column("part"):
+            total += np.frombuffer(x.as_buffer(), "<f4")
+        return pa.table({"strip": strips.column("strip")[:1].combine_chunks(), "branch": strips.column("branch")[:1].combine_chunks(), "part": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+
+    level, branches = found.mapInArrow(released(run), "strip long, part binary").withColumn("branch", F.spark_partition_id().cast("long")), found.rdd.getNumPartitions()
+    while branches > 1:
+        level, branches = level.withColumn("branch", F.expr(f"branch div {FAN_IN}")).groupBy("strip", "branch").applyInArrow(add, "strip long, branch long, part binary"), -(-branches // FAN_IN)
     out = np.zeros(shape)
-    for row in found.mapInArrow(run, "strip long, part binary").groupBy("strip").applyInArrow(add, "strip long, part binary").collect():
+    for row in level.collect():
         part = np.frombuffer(row["part"], "<f4").reshape(-1, shape[1])
-        out[row["strip"] : row["strip"] + len(part)] = part
+        out[row["strip"] : row["strip"] + len(part)] += part
     return out
 
 
@@ -249,12 +261,13 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> Late
     terms, idf = vocabulary[informative], np.log((n + 1) / (df[informative] + 1)) + 1
     p, t, c = _rows_of(passages, Lookup(terms))
     own = weighted(p, t, c, idf)
-    rank = min(rank, len(terms))
+    rank, wide = min(rank, len(terms)), min(rank + OVER, len(terms))
     least = min(MIN_TERMS, int(np.bincount(p, minlength=len(passages)).min()))
     found = materialise(corpus_passages(docs, terms, least))
-    q = np.linalg.qr(np.random.default_rng(11).standard_normal((len(terms), rank)))[0]
-    for _ in range(2):
-        q = np.linalg.qr(_summed(found, idf, q) + _products(p, t, own, q))[0]
+    q = np.linalg.qr(np.random.default_rng(11).standard_normal((len(terms), wide)))[0]
+    q = np.linalg.qr(_summed(found, idf, q) + _products(p, t, own, q))[0]
+    small = q.T @ (_summed(found, idf, q) + _products(p, t, own, q))
+    q = q @ np.linalg.eigh((small + small.T) / 2)[1][:, : -rank - 1 : -1]  # by falling singular value
     vectors = np.zeros((len(passages), rank))
     np.add.at(vectors, p, q[t] * own[:, None])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
@@ -371,6 +384,7 @@ class Matcher:
                 if found := self._verified(w, h, doc, first, k):
                     yield doc, int(k), float(cosines[row, k]), *found
 
+
 def blocks_of(items: DataFrame, id_column: str = "item_id") -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks of at most MAX_ITEMS items, by a hash of id and text."""
     rows = items.select(F.col(id_column).cast("long").alias("item_id"), "text").where("text is not null").dropDuplicates()
@@ -402,7 +416,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                         cols = list(zip(*((ids[d], i, *v) for (d, i), v in best.items()), strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()), strict=True)], ["doc_id", "item_id", "cosine", "lcs_share", "shared_run", "answer_found"])
 
-        out = out.unionAll(rows.mapInArrow(run, schema))
+        out = out.unionAll(rows.mapInArrow(released(run), schema))
     return out
 
 
@@ -422,7 +436,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
                     clean[[doc for doc, *_ in m.slice(data, offs)]] = False
                     yield part.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(released(run), docs.schema)
     return out
 
 
