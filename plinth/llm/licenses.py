@@ -10,7 +10,8 @@ of a longer matched rule's run are left out.
 All of it is one projection: no shuffle and no Python. Texts without any of the anchor words, one of which
 every known sentence holds, skip the lookup; that changes no result.
 
-Defined results: a null or empty text has no licence; repeated rows each get a row; further columns are kept.
+Defined results: a null or empty text has no licence; repeated rows each get a row; an empty table gives no rows; a very
+long text is split once and takes time in proportion; further columns are kept, but those of scan()'s own names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.llm.common import fresh_name
+
 #: Known licence sentences, normalised, as identifier and sentence: fixed values from the public licence texts.
 SENTENCES = (
     ("mit-short", "released under the mit license"),
@@ -130,9 +133,10 @@ def scan(docs: DataFrame, text: str = "text", sentences=SENTENCES, rules=RULES)
     # lower() maps A-Z as the lookup does, and only adds letters beyond ASCII, so no known sentence is missed
     possible = _let(F.lower(F.col(text)), lambda low: reduce(or_, [low.contains(a) for a in anchors]))
     keep = [c for c in docs.columns if c.lower() not in ("sentence_ids", "matched", "n_matches", "licences")]
-    out = docs.select(*keep, F.when(possible, _let(identifiers(F.col(text), sentences), recognise)).alias("_found"))
+    found = fresh_name("found", docs.columns)
+    out = docs.select(*keep, F.when(possible, _let(identifiers(F.col(text), sentences), recognise)).alias(found))
     nothing = F.filter(all_rules, lambda r: F.lit(False))
-    out = out.select(*keep, F.coalesce("_found.ids", F.lit(" ")).alias("sentence_ids"), F.coalesce("_found.matched", nothing).alias("matched"))
+    out = out.select(*keep, F.coalesce(F.col(found)["ids"], F.lit(" ")).alias("sentence_ids"), F.coalesce(F.col(found)["matched"], nothing).alias("matched"))
     return out.withColumns({"n_matches": F.size("matched").cast("long"), "licences": F.array_join(F.array_sort(F.array_distinct(F.transform("matched", lambda r: r["licence"]))), ",")})
 
 

@@ -10,7 +10,9 @@ which removes the filter's false positives. The filter is a table of 256-bit blo
 it is broadcast only while its number of blocks is below a bound, and joined by a shuffle beyond.
 
 Defined results: a null url, or one without ``://``, has empty host and path and fits nothing. Repeated rows each
-get their own row. Further columns of the input are not read. An empty listing fits nothing.
+get their own row. Of listed keys of one rank and length that fit one url (``a.b.c/`` and ``b.c/xy``), the greater in byte order
+wins; of one key's entries, the least rank, then the least verdict. Input columns are kept, but those of the names that are
+added. A very long url has one key for each parent domain and listed length. An empty listing fits nothing.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.llm.common import fresh_name
+
 #: Keys per 256-bit block: 16 bits a key, with 4 of them set.
 KEYS_PER_BLOCK = 16
 #: Blocks of 40 bytes that may be broadcast: about 2.6 MB.
@@ -100,9 +104,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default:
     keys = _with_bits(lookup_keys(urls, lengths), blocks)
     possible = keys.join(filt, "block").where(reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}") for i in range(WORDS)])).select("url", "key")
     hits = possible.join(listed, "key")
-    best = hits.groupBy("url").agg(F.max_by("key", F.when(F.col("rank") == 0, F.length("key"))).alias("rule"), F.max_by("verdict", F.when(F.col("rank") == 0, F.length("key"))).alias("rule_verdict"), F.max_by("key", F.when(F.col("rank") > 0, F.struct(-F.col("rank"), F.length("key")))).alias("listed_key"), F.max_by("verdict", F.when(F.col("rank") > 0, F.struct(-F.col("rank"), F.length("key")))).alias("listed_verdict"))
-    best = best.select(F.col("url").alias("_url"), "rule", "listed_key", F.coalesce("rule_verdict", "listed_verdict").alias("_verdict"))
-    return pages.join(best, pages[url] == best["_url"], "left").withColumn("verdict", F.coalesce("_verdict", F.lit(default))).drop("_url", "_verdict")
+    best = hits.groupBy("url").agg(F.max_by("key", F.when(F.col("rank") == 0, F.struct(F.length("key"), "key"))).alias("rule"), F.max_by("verdict", F.when(F.col("rank") == 0, F.struct(F.length("key"), "key"))).alias("rule_verdict"), F.max_by("key", F.when(F.col("rank") > 0, F.struct(-F.col("rank"), F.length("key"), "key"))).alias("listed_key"), F.max_by("verdict", F.when(F.col("rank") > 0, F.struct(-F.col("rank"), F.length("key"), "key"))).alias("listed_verdict"))
+    key, judged = fresh_name("url", pages.columns), fresh_name("verdict", pages.columns)
+    best = best.select(F.col("url").alias(key), "rule", "listed_key", F.coalesce("rule_verdict", "listed_verdict").alias(judged))
+    return pages.join(best, pages[url] == best[key], "left").withColumn("verdict", F.coalesce(judged, F.lit(default))).drop(key, judged)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,20 @@ def test_equal_words_hash_alike_wherever_they_are():
     assert h[0] == h[2] != h[3] and low[0] == low[3] and len(set(h.tolist())) == 4
 
 
+def test_long_slices_hash_like_short_ones(monkeypatch):
+    from plinth.llm import common
+
+    rng = random.Random(2)
+    parts = ["x" * rng.randint(1, 400) if rng.random() < 0.05 else "".join(rng.choice("abé") for _ in range(rng.randint(1, 9))) for _ in range(900)]
+    data = np.frombuffer(" ".join(parts).encode(), np.uint8)
+    w = words(data, np.array([0, len(data)]))
+    want = span_hashes(data, w.start, w.end)
+    monkeypatch.setattr(common, "SLICE_BYTES", 256)
+    common._powers.clear()
+    assert (span_hashes(data, w.start, w.end) == want).all()
+    common._powers.clear()
+
+
 # --- 1 and 9: quality ------------------------------------------------------------------------------------------
 
 
@@ -84,10 +98,37 @@ def test_op1_odd_input(spark, graded):
     empties = {r["score"] for r in out.where("text is null or text = ''").collect()}
     assert len(empties) == 1
     assert quality_classifier.score(table(spark, []), model).isEmpty()
+    clash = table(spark, ["a b c"] * 3).withColumnsRenamed({"lang": "_quality_score", "source": "_QUALITY_SCORE1"})
+    assert quality_classifier.accept.__doc__ and quality_classifier.score(clash, model, column="score").columns[:2] == ["doc_id", "text"]
     nothing = quality_classifier.fit_on(table(spark, ["a"]), spark.createDataFrame([], "doc_id long, quality int"))
     assert quality_classifier.score(table(spark, ["a"]), nothing).first()["score"] == 0.5
 
 
+def test_scores_do_not_move_with_the_share_that_is_sampled(graded):
+    """Fitted on all of 20:1 labels, or on a sample that evens them out, a text has nearly the same odds."""
+    docs, labels = graded
+    for keep in (20, 2):
+        few = labels.where(f"doc_id is not null and quality is not null and (quality = 1 or doc_id % {keep} = 0) and not (doc_id = 1 and quality = 0)")
+        whole, even = (samples.labelled_sample(docs, few, per_class=n) for n in (1000, 40))
+        assert whole.share == even.share and abs(whole.share - whole.rows.y.mean()) < 1e-9
+        y = np.array([1] * 40 + [0] * 20)
+        assert abs(samples.shift(y) - math.log(0.5)) < 1e-9
+        a, b = (quality_rules.fit(x) for x in (whole, even))
+        texts = [r["text"] for r in docs.where("doc_id < 20").collect()]
+        scores = [quality_rules.judge(docs.where("doc_id < 20"), m).agg(F.avg("probability")).first()[0] for m in (a, b)]
+        assert len(texts) == 20 and abs(scores[0] - scores[1]) < 0.15, (keep, scores)
+
+
+def test_long_labelled_texts_take_part(spark, prose):
+    long = " ".join([prose(2000)] * 12)
+    assert len(long) > samples.WINDOWS * samples.WINDOW
+    docs = table(spark, [long, "short"], [1, 2])
+    got = samples.labelled_sample(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")).rows
+    if len(got) == 2:
+        text = got.text[0]
+        assert len(text) == samples.WINDOWS * samples.WINDOW and text[: samples.WINDOW] == long[: samples.WINDOW] and text[-samples.WINDOW :] == long[-samples.WINDOW :]
+
+
 def brute_counts(t):
     w = WORD.findall(t)
     seen, grams, dup = set(), {}, 0
@@ -151,15 +192,46 @@ def test_crf_adds_what_patterns_miss():
 
 def test_viterbi_is_the_best_path():
     crf, rng = pii.train(), np.random.default_rng(1)
-    runs = [rng.normal(size=(n, len(pii.LABELS))) * 3 for n in (1, 2, 3)]
+    runs = [rng.normal(size=(n, len(pii.LABELS))) * 3 for n in (1, 2, 3) for _ in range(4)]
+    heads, tails = np.array([False, True, False, True] * 3), np.array([False, False, True, True] * 3)
     from itertools import product
 
-    for run, got in zip(runs, crf.viterbi(runs)):
-        score = lambda p: sum(run[i, x] for i, x in enumerate(p)) + sum(crf.moves[a, b] for a, b in zip((0, *p), (*p, 0)))
+    for run, got, head, tail in zip(runs, crf.viterbi(runs, heads, tails), heads, tails):
+        ends = lambda p: (crf.starts[p[0]] if head else crf.moves[0, p[0]]) + (0 if tail else crf.moves[p[-1], 0])
+        score = lambda p: sum(run[i, x] for i, x in enumerate(p)) + sum(crf.moves[a, b] for a, b in zip(p, p[1:])) + ends(p)
         best = max(product(range(len(pii.LABELS)), repeat=len(run)), key=score)
         assert tuple(got) == best
 
 
+def test_crf_decodes_every_word_of_a_text(prose):
+    """The numpy scores are those of the features, and the words left out as surely O are O on the best path of the whole text."""
+    crf, rng = pii.train(), random.Random(7)
+    parts = ["token", "Élan", "×y", "“z”", "deadbeefdeadbeefdead", "(card)", "4111", "1111", "+1", "555-0187", "é", "²³", "12.", "a1@b2.c", "tel", "=", "K!!", "10.0.0.1", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"]
+    texts = [" ".join(rng.choice(parts) if rng.random() < 0.5 else prose(1) for _ in range(rng.randint(1, 60))) for _ in range(40)] + [""]
+    data, offs = utf8(texts)
+    w = words(data, offs)
+    rows = crf.rows(data, w)
+    unsure, _ = crf.open_words(rows, w.first)
+    own, before, further = crf.tables
+    for d, text in enumerate(texts[:-1]):
+        ws, k = text.split(" "), int(w.first[d])
+        scores = np.array([crf.weights[[crf.index[f] for f in pii.features(x, ws[i - 1] if i else "", ws[i - 2] if i > 1 else "") if f in crf.index]].sum(axis=0) for i, x in enumerate(ws)])
+        fast = np.array([own[rows[k + i]] + before[rows[k + i - 1 if i else -1]] + further[rows[k + i - 2 if i > 1 else -1]] for i in range(len(ws))])
+        assert np.allclose(scores, fast)
+        labels = crf.viterbi([scores], np.array([True]), np.array([True]))[0]
+        assert set((np.flatnonzero(labels) + k).tolist()) <= set(unsure.tolist())
+
+
+def test_many_added_spans_take_linear_time():
+    import time
+
+    text = "call 212-555-0187 or " * 20_000
+    data, offs = utf8([text])
+    began = time.perf_counter()
+    ((base, every),) = pii.find_spans([text], data, offs, pii.train())
+    assert not base and len(every) == 20_000 and time.perf_counter() - began < 20
+
+
 def test_op2_rows_and_redaction(spark):
     texts = [*ODD, "é mail me: jo.x@ex-a.org, +1 (017) 555-7713 ok 10.0.0.1, 4111 1111 1111 1111."]
     out = {r["doc_id"]: r for r in pii.find(table(spark, texts)).collect()}
@@ -197,6 +269,73 @@ def test_op3_repeated_runs_go_and_unique_runs_stay(spark):
     assert html_extract.extract(pages.limit(0)).isEmpty()
 
 
+def test_op3_names_never_hide_an_article():
+    page = html_extract.Page('<article class="post social-post share"><p>one</p><div class="news-alert side"><p>two</p></div><div class="comment-list"><p>c</p></div><div id=ad-box>a</div><p class="sharing-economy">three</article>')
+    assert page.article == ["one", "two", "three"] and page.chrome == ["c", "a"]
+    assert html_extract.Page("<main class=sidebar>x<nav>n</nav></main>").article == ["x"]
+
+
+@pytest.mark.parametrize("source, text", [
+    ("<article>a < b & c &lt;p&gt; <", "a < b & c <p> <"), ("<article>a<!-- x", "a"), ("<article>a<script>x", "a"), ("<article>a<p title='x>y", "a"),
+    ("<article>a<svg><p>x</p>", "a x"), ("<article>a</nope></ >b<?x?>c<![CDATA[d]]>e", "abce"), ("</article>a<article>b</article></article>", "b"), ("<ARTICLE>a<P>b<BR/>c", "a\nb c"), ('<article data-x="a>b">c', "c"),
+])
+def test_op3_malformed_markup(source, text):
+    page = html_extract.Page(source)
+    assert "\n".join(page.article).replace("\n", " ") == text.replace("\n", " ")
+
+
+def test_op3_hostile_markup_takes_linear_time():
+    import time
+
+    for unit in ("<div x=", "<script ", "<", "<!--", "<a b='", '<p class="', "</div", "<div>", "</div>", "<svg>", "<select>", "&amp", "<article><p>x</article>", "=\"'", "<![CDATA["):
+        began = time.perf_counter()
+        html_extract.Page(unit * (1_000_000 // len(unit)))
+        assert time.perf_counter() - began < 5, unit
+
+
+def test_op3_against_brute_force(spark):
+    rng = random.Random(9)
+    shared = [" ".join(f"s{k}w{j}" for j in range(rng.randint(7, 12))) for k in range(6)]
+    rows, parts = [], []
+    for i in range(40):
+        def some(n):
+            return [rng.choice(shared[: 1 + i % 6]) if rng.random() < 0.7 else " ".join(f"p{i}x{rng.randint(0, 99)}" for _ in range(rng.randint(1, 9))) for _ in range(n)]
+
+        marked, host = rng.random() < 0.5, f"h{i % 4}.org"
+        own, chrome = some(rng.randint(0, 4)), some(rng.randint(0, 2))
+        inner = "".join(f"<p>{b}</p>" for b in own)
+        rows.append((i, f"http://{host}/{i}", "".join(f"<nav>{b}</nav>" for b in chrome) + (f"<article>{inner}</article>" if marked else inner)))
+        parts.append((host, marked, own, chrome))
+    grams = lambda blocks: [tuple(t[k : k + html_extract.RUN]) for t in [" ".join(blocks).split()] for k in range(len(t) - html_extract.RUN + 1)]
+    want = {}
+    for i, (host, marked, own, _) in enumerate(parts):
+        outside = {j: {*grams(c), *([] if m else grams(o))} for j, (h, m, o, c) in enumerate(parts) if h == host}
+        known = {g for j in outside if j != i for g in outside[j]}
+        if marked:
+            shown = lambda g: sum(g in found for found in outside.values())
+            known = {g for g in known if shown(g) >= html_extract.SHOWN and 2 * shown(g) >= len(outside)}
+        hit = {k + n for k, g in enumerate(grams(own)) if g in known for n in range(html_extract.RUN)}
+        at, kept = 0, []
+        for b in own:
+            words_ = b.split()
+            runs, k = [], 0
+            flags = [at + n in hit for n in range(len(words_))]
+            at += len(words_)
+            while k < len(words_):
+                end = k
+                while end < len(words_) and flags[end] == flags[k]:
+                    end += 1
+                if not flags[k] or (end - k < html_extract.RUN and end - k < len(words_)):
+                    runs += words_[k:end]
+                k = end
+            kept += [" ".join(runs)] if runs else []
+        want[i] = "\n".join(kept)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    out = html_extract.extract(pages.unionAll(pages.where("page_id = 3"))).collect()
+    assert {r["page_id"]: r["text"] for r in out} == want and len(out) == 41
+    assert all(r["n_chars"] == len(r["text"]) for r in out) and any(r["boilerplate_tokens"] for r in out)
+
+
 def test_suffix_ranks_equal_where_runs_equal():
     rng = np.random.default_rng(2)
     tokens_ = rng.integers(0, 3, 400).astype(np.uint64)
@@ -209,13 +348,43 @@ def test_suffix_ranks_equal_where_runs_equal():
 # --- 4 and 10: tokens ------------------------------------------------------------------------------------------
 
 
+SPECIAL = ["<|endoftext|>", "a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<| x", "İstanbul İ. x"]
+
+
+def stock(name):
+    """The library's tokenizer as its file makes it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.vocabulary(name))
+
+
+def utf8(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_ids_are_those_of_whole_texts(name):
+def test_ids_are_those_of_whole_texts(name, monkeypatch):
     rng = random.Random(4)
-    enc = tokens.Encoder(tokens.vocabulary(name))
-    texts = ["".join(rng.choice(" \n\ta b1!é\x85\x1c　'sT<|endoftext|>Z.,") for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [t or "" for t in ODD]
-    want = [e.ids for e in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+    enc, tok = tokens.Encoder(tokens.vocabulary(name)), stock(name)
+    parts = [*" \n\tab1!é\x85\x1c\u00a0\u2009\u3000“—\u0301İßZ.,", "'s", "<|endoftext|>", "<|startoftext|>", "中文"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [t or "" for t in ODD] + SPECIAL
+    want = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    data, offs = utf8(texts)
+    for chunk in (tokens.CHUNK_BYTES, 50):  # long texts are cut at blanks, wherever the cuts are
+        monkeypatch.setattr(tokens, "CHUNK_BYTES", chunk)
+        ids, bounds = enc.encode(data, offs)
+        assert [ids[i:j].tolist() for i, j in zip(bounds[:-1], bounds[1:])] == want
+    assert enc.encode(data[:0], np.zeros(1, np.int64))[0].size == 0
+
+
+def test_the_table_of_pieces_may_fill_up(monkeypatch):
+    monkeypatch.setattr(tokens, "SLOTS", 64)
+    enc, tok = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json")), stock("byte_bpe_50k.json")
+    for k in range(4):
+        texts = [" ".join(f"w{i % 97}x{k}" for i in range(300)), f"w{k}x0 w1x0"]
+        ids, bounds = enc.encode(*utf8(texts))
+        assert [ids[i:j].tolist() for i, j in zip(bounds[:-1], bounds[1:])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_supersteps_place_every_piece_once():
@@ -238,10 +407,10 @@ def test_supersteps_place_every_piece_once():
 
 
 def test_op4_against_brute_force(spark, prose):
-    texts = [*ODD, *[prose(n) for n in (3, 3, 3, 700, 5000)]]
+    texts = [*ODD, *SPECIAL, *[prose(n) for n in (3, 3, 3, 700, 5000)]]
     path = tokens.vocabulary("word_bpe_49k.json")
     out = packing.pack_documents(table(spark, texts, [*range(len(texts) - 1), 0]).repartition(3), path).toPandas()
-    tok, want = tokens.Encoder(path).tokenizer, []
+    tok, want = stock("word_bpe_49k.json"), []
     for i, t in zip([*range(len(texts) - 1), 0], texts):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         want += [(i, p // 2048, p, len(ids[p : p + 2048]), zlib.crc32(ids[p : p + 2048].tobytes())) for p in range(0, len(ids), 2048)]
@@ -252,11 +421,11 @@ def test_op4_against_brute_force(spark, prose):
 
 
 def test_op10_round_trip(spark, tmp_path, prose):
-    texts = [*ODD, *[prose(n) for n in (3, 3, 900)]]
+    texts = [*ODD, *SPECIAL, *[prose(n) for n in (3, 3, 900)]]
     ids = [*range(len(texts) - 2), 5, None]
     path, out = tokens.vocabulary("byte_bpe_50k.json"), f"{tmp_path}/out"
     index = records.starts(records.write(table(spark, texts, ids).repartition(3), out, path, 2))
-    tok, at, want, seqs = tokens.Encoder(path).tokenizer, 0, [], []
+    tok, at, want, seqs = stock("byte_bpe_50k.json"), 0, [], []
     ties = {r["text"]: r["h"] for r in table(spark, texts, ids).select("text", F.xxhash64("text").alias("h")).collect()}
     for i, t in sorted(zip(ids, texts), key=lambda x: (x[0] is not None, x[0] or 0, ties[x[1]])):
         s = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -326,6 +495,23 @@ def test_op5_odd_ids_and_the_stage(spark, prose):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "4", "None"]
     assert near_dedup.find(table(spark, []), 5).isEmpty()
+    clash = docs.withColumnsRenamed({"lang": "_n", "source": "_id"})
+    assert near_dedup.keep_one(spark, clash, "").columns == clash.columns
+
+
+def test_op5_open_groups_against_brute_force(spark, prose, monkeypatch):
+    """Texts around one common passage, chains of near copies, and leaders that settle little."""
+    monkeypatch.setattr(near_dedup, "DRAWN", 1)
+    rng, passage = random.Random(3), prose(60)
+    texts = [f"{passage} {prose(rng.randint(4, 40))}" for _ in range(60)]
+    for start in range(3):
+        chain = prose(70).split()
+        for _ in range(30):
+            texts.append(" ".join(chain))
+            chain[rng.randrange(len(chain))] = prose(1)
+    ids = list(range(len(texts)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.find(table(spark, texts, ids), 2).collect()}
+    assert got == brute_components(ids, texts, 2)
 
 
 def test_odd_sketches_estimate():
@@ -359,6 +545,19 @@ def test_op6_rules(spark):
     assert none.where("verdict <> 'allow' or rule is not null").isEmpty() and none.count() == len(urls)
 
 
+def test_op6_clashing_names_and_ties(spark):
+    pages = spark.createDataFrame([("http://a.b.c/xy/z", 1, "u", "v", "w")], "url string, page_id long, _url string, _verdict string, KEY string")
+    listed = url_filter.listing(spark, [("a.b.c/", "allow", 0), ("b.c/xy", "block", 0), ("b.c/xy", "allow", 0)])
+    row = url_filter.filter_urls(pages, listed).first()
+    assert (row["rule"], row["verdict"], row["_url"], row["_verdict"], row["KEY"]) == ("b.c/xy", "allow", "u", "v", "w")
+
+
+def test_op7_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License.", "x", "y")], "doc_id long, text string, _found string, matched string")
+    row = licenses.scan(docs).first()
+    assert row["licences"] == "MIT" and row["_found"] == "x"
+
+
 def test_bloom_lets_every_listed_key_pass(spark):
     keys = spark.range(5000).selectExpr("concat('h', id, '.org/') as key")
     bits = url_filter._with_bits(keys, 313)
