@@ -29,6 +29,7 @@ MAGNITUDES = (
     ("l", 100_000), ("lac", 100_000), ("lakh", 100_000), ("lakhs", 100_000),
     ("cr", 10_000_000), ("crore", 10_000_000), ("crores", 10_000_000),
 )
+#: The shape of an amount: fixed value.
 _AMOUNT = r"^([-+])?([^0-9\s]{0,6}?)\s*([0-9][0-9.,]*)\s*([^0-9\s]{0,8})$"
 #: Compatibility forms that money text is seen with: other digits, dashes and blanks, and the rupee sign's long form.
 _FROM = "०१२३४५६७८९０１２３４５６７８９−–—－    　．，"
@@ -40,21 +41,38 @@ def fold(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.translate(raw, _FROM, _TO), "₨", "Rs"), r"\s+", " "))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value) with value evaluated once: a lambda's variable is bound, where a column's expression would be repeated."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _bound(fields: dict[str, Column], then) -> Column:
+    """then(struct of fields), each evaluated once."""
+    return _let(F.struct(*[c.alias(k) for k, c in fields.items()]), then)
+
+
 def resolve_separators(number: Column) -> Column:
     """Grouping marks dropped and the decimal mark a point; a lone mark before three digits is grouping."""
+
+    def resolved(n: Column) -> Column:
+        number, head, tail = n["number"], n["head"], n["tail"]
+        plain = F.translate(number, ".,", "")
+        pointed = F.concat(F.coalesce(F.nullif(F.translate(head, ".,", ""), F.lit("")), F.lit("0")), F.lit("."), tail)
+        return (
+            F.when(n["dots"] + n["commas"] == 0, number)
+            .when((n["dots"] > 0) & (n["commas"] > 0), pointed)
+            .when(n["dots"] + n["commas"] > 1, plain)
+            .when((F.length(tail) == 3) & (head != ""), plain)
+            .when(F.length(tail).isin(1, 2) | (head == ""), pointed)
+            .otherwise(plain)
+        )
+
+    def cut(n: Column) -> Column:
+        last = F.length(n["number"]) - F.length(n["tail"])
+        return _bound({"number": n["number"], "tail": n["tail"], "dots": n["dots"], "commas": n["commas"], "head": F.substring(n["number"], F.lit(1), last - 1)}, resolved)
+
     dots, commas = (F.length(number) - F.length(F.replace(number, F.lit(c), F.lit(""))) for c in ".,")
-    plain = F.regexp_replace(number, "[.,]", "")
-    tail = F.regexp_extract(number, r"[.,]([^.,]*)$", 1)
-    head = F.regexp_extract(number, r"^(.*)[.,][^.,]*$", 1)
-    pointed = F.concat(F.coalesce(F.nullif(F.regexp_replace(head, "[.,]", ""), F.lit("")), F.lit("0")), F.lit("."), tail)
-    return (
-        F.when(dots + commas == 0, number)
-        .when((dots > 0) & (commas > 0), pointed)
-        .when(dots + commas > 1, plain)
-        .when((F.length(tail) == 3) & (head != ""), plain)
-        .when(F.length(tail).isin(1, 2) | (head == ""), pointed)
-        .otherwise(plain)
-    )
+    return _bound({"number": number, "dots": dots, "commas": commas, "tail": F.substring_index(F.translate(number, ",", "."), ".", -1)}, cut)
 
 
 def _first(pairs, test, otherwise: Column) -> Column:
@@ -62,43 +80,52 @@ def _first(pairs, test, otherwise: Column) -> Column:
     return out.otherwise(otherwise)
 
 
-def _let(value: Column, then) -> Column:
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def parse_money(raw: Column, expected: str | None = None, allow_negative: bool = False) -> Column:
     default = F.lit(expected).cast("string")
 
     def result(status: Column | str, value: Column | None = None, currency: Column = default) -> Column:
         return F.struct((F.lit(None) if value is None else value).cast("decimal(12,2)").alias("value"), (F.lit(status) if isinstance(status, str) else status).alias("status"), currency.cast("string").alias("currency"))
 
-    def amount(text: Column, bracketed: Column, currency: Column, compact: Column) -> Column:
-        matched = F.regexp_like(compact, F.lit(_AMOUNT))
-        digits = F.regexp_replace(compact, r"[^0-9.,\-]", "")
-        source = F.when(matched, compact).otherwise(digits)
-        sign, number, suffix = (F.regexp_extract(source, _AMOUNT, g) for g in (1, 3, 4))
-        word = F.lower(F.regexp_replace(suffix, r"^[. ]+|[. ]+$", ""))
-        times = _first(MAGNITUDES, lambda w: word == w, F.lit(1))
-        is_code = F.upper(word).isin(*sorted({c for _, c in CURRENCIES}))
-        known = (word == "") | is_code | word.isin(*(w for w, _ in MAGNITUDES), *(t for t, _ in CURRENCIES))
-        final = F.when(is_code & ~word.isin(*(w for w, _ in MAGNITUDES)), F.upper(word)).otherwise(currency)
-        value = resolve_separators(number).try_cast("decimal(30,10)") * times.cast("decimal(10,0)")
-        negative = (bracketed | (sign == "-")) & (value != 0)
-        signed = F.when(negative, -value).otherwise(value)
+    # each step is bound once, with what later steps need of the ones before
+    def judge(a: Column) -> Column:
+        is_code, magnitude = F.upper(a["word"]).isin(*sorted({c for _, c in CURRENCIES})), a["word"].isin(*(w for w, _ in MAGNITUDES))
+        known = (a["word"] == "") | is_code | magnitude | a["word"].isin(*(t for t, _ in CURRENCIES))
+        final = F.when(is_code & ~magnitude, F.upper(a["word"])).otherwise(a["currency"])
+        negative = (a["bracketed"] | (a["sign"] == "-")) & (a["value"] != 0)
         status = (
-            F.when(~F.regexp_like(digits, F.lit("[0-9]")) & ~matched, F.lit("missing"))
-            .when(~F.regexp_like(source, F.lit(_AMOUNT)) | value.isNull() | ~known, F.lit("unparseable"))
+            F.when(~a["digit"] & ~a["matched"], F.lit("missing"))
+            .when(~a["fits"] | a["value"].isNull() | ~known, F.lit("unparseable"))
             .when(negative & F.lit(not allow_negative), F.lit("negative_rejected"))
             .when(final != F.lit(expected), F.lit("wrong_currency"))
             .otherwise(F.lit("ok"))
         )
-        return result(status, F.when(status == "ok", F.round(signed, 2).try_cast("decimal(12,2)")), F.coalesce(final, default))
+        signed = F.when(negative, -a["value"]).otherwise(a["value"])
+        return _bound({"status": status, "signed": signed, "final": final}, lambda j: result(j["status"], F.when(j["status"] == "ok", F.round(j["signed"], 2).try_cast("decimal(12,2)")), F.coalesce(j["final"], default)))
+
+    def value(a: Column) -> Column:
+        times = _first(MAGNITUDES, lambda w: a["word"] == w, F.lit(1))
+        made = resolve_separators(a["number"]).try_cast("decimal(30,10)") * times.cast("decimal(10,0)")
+        return _bound({"value": made} | {k: a[k] for k in ("sign", "word", "fits", "digit", "matched", "bracketed", "currency")}, judge)
+
+    def split(a: Column) -> Column:
+        sign, number, suffix = (F.regexp_extract(a["source"], _AMOUNT, g) for g in (1, 3, 4))
+        word = F.lower(F.regexp_replace(suffix, r"^[. ]+|[. ]+$", ""))
+        fits = a["matched"] | F.regexp_like(a["source"], F.lit(_AMOUNT))
+        return _bound({"sign": sign, "number": number, "word": word, "fits": fits} | {k: a[k] for k in ("digit", "matched", "bracketed", "currency")}, value)
+
+    def source(a: Column) -> Column:
+        digits = F.regexp_replace(a["compact"], r"[^0-9.,\-]", "")
+        chosen = F.when(a["matched"], a["compact"]).otherwise(digits)
+        return _bound({"source": chosen, "digit": a["matched"] | F.regexp_like(a["compact"], F.lit("[0-9]"))} | {k: a[k] for k in ("matched", "bracketed", "currency")}, split)
+
+    def compact(a: Column) -> Column:
+        currency = _first(CURRENCIES, lambda t: a["low"].startswith(t) | a["low"].endswith(t), default)
+        return _bound({"compact": a["compact"], "matched": F.regexp_like(a["compact"], F.lit(_AMOUNT)), "currency": currency, "bracketed": a["bracketed"]}, source)
 
     def of_text(text: Column) -> Column:
         bracketed = text.startswith("(") & text.endswith(")")
         inner = F.when(bracketed, F.trim(F.regexp_replace(text, r"^\(|\)$", ""))).otherwise(text)
-        low = F.lower(inner)
-        currency = _first(CURRENCIES, lambda t: low.startswith(t) | low.endswith(t), default)
-        return F.when(F.lower(text).isin(*MISSING), result("missing")).otherwise(_let(inner, lambda t: amount(t, bracketed, currency, F.replace(t, F.lit(" "), F.lit("")))))
+        parts = _let(inner, lambda t: _bound({"low": F.lower(t), "compact": F.replace(t, F.lit(" "), F.lit("")), "bracketed": bracketed}, compact))
+        return F.when(F.lower(text).isin(*MISSING), result("missing")).otherwise(parts)
 
     return F.when(raw.isNull(), result("missing")).otherwise(_let(fold(raw), of_text))

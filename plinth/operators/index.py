@@ -70,10 +70,13 @@ def weights_in_force(weights: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def overlapping_weights(weights: DataFrame, by: list[str]) -> DataFrame:
-    """Versions that begin before the version before them ends."""
-    order = Window.partitionBy(*by).orderBy("valid_from", F.col("valid_to").asc_nulls_last())
-    before = F.lag(F.struct("valid_from", "valid_to")).over(order)
-    return weights.withColumn("before", before).where("before is not null and (before.valid_to is null or before.valid_to > valid_from)").drop("before")
+    """Versions that begin before some version before them (in the order of their starts, then ends) has ended."""
+    order = Window.partitionBy(*by).orderBy("valid_from", F.col("valid_to").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    names = [c for c in ("latest", "open") if c in weights.columns]
+    if names:
+        raise ValueError(f"weights have columns that are needed here: {names}")
+    ends = weights.withColumns({"latest": F.max("valid_to").over(order), "open": F.coalesce(F.bool_or(F.col("valid_to").isNull()).over(order), F.lit(False))})
+    return ends.where("open or latest > valid_from").drop("latest", "open")
 
 
 def laspeyres(elementary: DataFrame, weights: DataFrame, by: list[str], unit: str) -> DataFrame:

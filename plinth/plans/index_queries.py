@@ -102,6 +102,13 @@ def weight_overlap_check(spark, d):
     return index.overlapping_weights(moved, ["route"]).select("route", "valid_from", "valid_to")
 
 
+def weight_overlap_nested(spark, d):
+    """Versions of a table in which each route's first version goes on for five years, over those inside of it."""
+    first = F.year("valid_from") == BASE_YEAR
+    longer = weight_versions(spark, d).withColumn("valid_to", F.when(first, F.add_months("valid_from", 60)).otherwise(F.col("valid_to")))
+    return index.overlapping_weights(longer, ["route"]).select("route", "valid_from", "valid_to")
+
+
 def chain_link_series(spark, d):
     yearly = fares(spark, d).groupBy("route", "year").agg(index.geomean(F.col("total")).alias("mean"))
     before = F.lag("mean").over(index.Window.partitionBy("route").orderBy("year"))
@@ -183,7 +190,8 @@ QUERIES = {
     "laspeyres_direct": (laspeyres_direct, f"with {_PAIRS}, q as (select route, lead_window, item, sum(quantity) as quantity from fares where year = {BASE_YEAR} group by all) select p.lead_window, p.year, round_even(round_even(case when sum(base_price * quantity) > 0 then 100 * sum(current_price * quantity) / sum(base_price * quantity) end, 8), 6) as level, count(*) as n_items from pairs p join q on q.route = p.route and q.lead_window = p.lead_window and q.item = p.item group by p.lead_window, p.year"),
     "weight_renormalise": (weight_renormalise, f"with {FARES_SQL}, {_WEIGHTS} select route, passengers, round_even(share, 8) as share from shares"),
     "weight_effective_on": (weight_effective_on, f"with {_VERSIONS} select d.day, v.route, v.passengers from (values (date '1995-06-30'), (date '1998-01-01'), (date '2001-12-31')) d(day) join versions v on v.valid_from <= d.day and (v.valid_to is null or v.valid_to > d.day)"),
-    "weight_overlap_check": (weight_overlap_check, f"with {_VERSIONS}, moved as (select route, case when year(valid_from) = 1997 then date '1996-07-01' else valid_from end as valid_from, valid_to from versions), o as (select *, lag(valid_to) over w as before_to, row_number() over w as rn from moved window w as (partition by route order by valid_from, valid_to nulls last)) select route, valid_from, valid_to from o where rn > 1 and (before_to is null or before_to > valid_from)"),
+    "weight_overlap_check": (weight_overlap_check, f"with {_VERSIONS}, moved as (select route, case when year(valid_from) = 1997 then date '1996-07-01' else valid_from end as valid_from, valid_to from versions), o as (select *, row_number() over (partition by route order by valid_from, valid_to nulls last) as rn from moved) select route, valid_from, valid_to from o where exists (select 1 from o e where e.route = o.route and e.rn < o.rn and (e.valid_to is null or e.valid_to > o.valid_from))"),
+    "weight_overlap_nested": (weight_overlap_nested, f"with {_VERSIONS}, moved as (select route, valid_from, case when year(valid_from) = {BASE_YEAR} then cast(valid_from + interval '5 years' as date) else valid_to end as valid_to from versions), o as (select *, row_number() over (partition by route order by valid_from, valid_to nulls last) as rn from moved) select route, valid_from, valid_to from o where exists (select 1 from o e where e.route = o.route and e.rn < o.rn and (e.valid_to is null or e.valid_to > o.valid_from))"),
     "chain_link_series": (chain_link_series, f"with {FARES_SQL}, y as (select route, year, exp(avg(ln(cast(total as double)))) as mean from fares where total > 0 group by route, year), l as (select route, year, coalesce(mean / lag(mean) over (partition by route order by year), 1.0) as relative from y) select route, year, round_even(round_even(100 * exp(sum(ln(relative)) over (partition by route order by year)), 8), 6) as level from l"),
     "growth_rates": (growth_rates, f"with {FARES_SQL}, p as (select route, observed_on, round_even(exp(avg(ln(cast(total as double)))), 2) as price from fares where total > 0 group by route, observed_on) select a.route, a.observed_on, round_even(case when b.price > 0 then (a.price / b.price - 1) * 100 end, 6) as day_on_day, round_even(case when c.price > 0 then (a.price / c.price - 1) * 100 end, 6) as year_on_year from p a left join p b on b.route = a.route and b.observed_on = a.observed_on - 1 left join p c on c.route = a.route and c.observed_on = a.observed_on - 365"),
     "publishability": (publishability, f"with {_contrib(20)} select lead_window, year, level is not null and level > 0 and coverage >= 0.8 as is_published, case when level is null then 'no level' when level <= 0 or coverage < 0.8 then 'coverage' end as why, n_included, n_excluded from national"),

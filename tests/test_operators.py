@@ -286,3 +286,10 @@ def test_late_data_is_flagged_not_dropped(spark):
     t = lambda x: datetime.fromisoformat(x)
     rows = spark.createDataFrame([(t("2024-01-10 00:00"), t("2024-01-03 00:00")), (t("2024-01-01 00:00"), t("2024-01-03 00:00")), (t("2024-03-10 00:00"), t("2024-01-03 00:00"))], "d timestamp, o timestamp")
     assert [r["f"] for r in rows.select(events.flag_timing(F.col("d"), F.col("o"), F.lit(7)).alias("f")).collect()] == ["ok", "rejected", "stale"]
+
+
+def test_overlaps_reach_beyond_the_version_just_before(spark):
+    rows = [("a", 1, 10), ("a", 2, 3), ("a", 5, 6), ("a", 10, 12), ("b", 1, None), ("b", 4, 5), ("b", 9, None), ("c", 1, 2), ("c", 2, 3)]
+    weights = spark.createDataFrame(rows, "route string, valid_from int, valid_to int")
+    got = {tuple(r) for r in index.overlapping_weights(weights, ["route"]).collect()}
+    assert got == {("a", 2, 3), ("a", 5, 6), ("b", 4, 5), ("b", 9, None)}
