@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Defined results: null and empty texts are scored like any other, linked with nothing, hold no benchmark item and no
+personal data, and pack as the end id alone; of rows that repeat a doc_id one is kept by the second stage, rows without
+doc_id all are; further columns go along under their names; an empty table gives no rows; texts are never cut.
 """
 
 from __future__ import annotations
