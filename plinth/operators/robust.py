@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +15,56 @@ MAD_SCALE, MEAN_SCALE = 0.6745, 1.253314
 THRESHOLD, MIN_SAMPLES, CAP = 3.5, 5, 0.25
 
 
-def median(c: str | Column) -> Column:
-    """The exact median, the mean of the two middle values for an even count."""
-    return F.percentile(c, F.lit(0.5))
+#: Slots a unit of log1p: only how finely ranks are sought, never what is found.
+SLOTS = 1024
+
+
+def value_counts(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, x (value as a double) and k: how often each value occurs. Partial counts leave little of a hot group to shuffle."""
+    x = F.col(value).cast("double")
+    return rows.where(x.isNotNull()).groupBy(*by, x.alias("x")).agg(F.count("*").alias("k"))
+
+
+def _of_same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A null-safe join that keeps left's keys."""
+    named = right.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    joined = left.join(named, reduce(and_, [left[c].eqNullSafe(named[f"_of_{c}"]) for c in on]), how)
+    return joined.drop(*[f"_of_{c}" for c in on])
+
+
+def quantiles_of_counts(counts: DataFrame, by: list[str], value: str, weight: str, at: dict[str, float]) -> DataFrame:
+    """by, n, mean and one exact quantile (linear between ranks) for each name of at, over values with weights.
+
+    No group is ever in one task: values fall into slots in their order, the slots' sums say which ones hold the wanted ranks,
+    and only those slots' values are put in order, slot by slot. NaN is the highest value.
+    """
+    x = F.col(value)
+    slot = F.when(F.isnan(x), F.lit(2**62)).otherwise(F.floor(F.signum(x) * F.log1p(F.abs(x)) * SLOTS).cast("long"))
+    placed = counts.select(*(by or [F.lit(0).alias("_all")]), x.alias("_v"), F.col(weight).alias("_k"), slot.alias("_slot"))
+    keys = by or ["_all"]
+    slots = placed.groupBy(*keys, "_slot").agg(F.sum("_k").alias("_inside"), F.sum(F.col("_v") * F.col("_k")).alias("_sum"))
+    whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumns({"n": F.sum("_inside").over(whole), "mean": F.sum("_sum").over(whole) / F.sum("_inside").over(whole), "_before": F.coalesce(F.sum("_inside").over(before), F.lit(0))})
+    rank = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in at.items()}
+    ranks = F.array_distinct(F.array(*[f(r).cast("long") for r in rank.values() for f in (F.floor, F.ceil)]))
+    slots = slots.withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_inside")))).where(F.size("_ranks") > 0)
+    inside = Window.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    near = _of_same(placed, slots.drop("_inside", "_sum"), [*keys, "_slot"])
+    near = near.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_k").over(inside), F.lit(0)))
+    hit = near.select(*keys, "n", "mean", "_v", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_k")))).alias("_rank"))
+    found = hit.groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+
+    def between(r: Column) -> Column:
+        low, high = F.floor(r).cast("long"), F.ceil(r).cast("long")
+        a, b = F.col("_at")[low], F.col("_at")[high]
+        return F.when(a.eqNullSafe(b), a).otherwise((high - r) * a + (r - low) * b)
+
+    return found.select(*by, "n", "mean", *[between(r).alias(name) for name, r in rank.items()])
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles of a column by group; nulls are left out, a group of nulls alone has no row."""
+    return quantiles_of_counts(value_counts(rows, by, value), by, "x", "k", at)
 
 
 def median_by_rank(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -27,15 +77,18 @@ def median_by_rank(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 def centres(rows: DataFrame, by: list[str], value: str, log: bool | None = None) -> DataFrame:
     """Per stratum: n, whether logs are used (only where all values are positive), median, MAD and mean deviation.
 
-    Two aggregations over the strata; rows are not sorted.
+    Rows are read once, into counts of values; all else works on those, and no stratum is sorted in one task.
     """
-    x = F.col(value).cast("double")
-    level = rows.where(x.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), (F.min(x) > 0).alias("positive"))
-    level = level.withColumn("uses_log", F.col("positive") if log is None or log else F.lit(False)).drop("positive")
-    work = rows.where(x.isNotNull()).join(level, by).withColumn("w", F.when(F.col("uses_log"), F.ln(x)).otherwise(x))
-    mid = work.groupBy(*by).agg(F.first("n").alias("n"), F.first("uses_log").alias("uses_log"), median("w").alias("centre"))
-    off = work.select(*by, "w").join(mid, by).withColumn("d", F.abs(F.col("w") - F.col("centre")))
-    return off.groupBy(*by).agg(F.first("n").alias("n"), F.first("uses_log").alias("uses_log"), F.first("centre").alias("centre"), median("d").alias("mad"), F.avg("d").alias("mean_deviation"))
+    counts = value_counts(rows, by, value)
+    if log is None or log:
+        level = counts.groupBy(*by).agg((F.min("x") > 0).alias("uses_log"))
+        work = counts.join(level, by).select(*by, "uses_log", F.when(F.col("uses_log"), F.ln("x")).otherwise(F.col("x")).alias("w"), "k")
+    else:
+        work = counts.select(*by, F.lit(False).alias("uses_log"), F.col("x").alias("w"), "k")
+    mid = quantiles_of_counts(work, [*by, "uses_log"], "w", "k", {"centre": 0.5}).drop("n", "mean", "uses_log")
+    off = work.join(mid, by).select(*by, "uses_log", "centre", F.abs(F.col("w") - F.col("centre")).alias("d"), "k")
+    scale = quantiles_of_counts(off, [*by, "uses_log", "centre"], "d", "k", {"mad": 0.5})
+    return scale.select(*by, "n", "uses_log", "centre", "mad", F.col("mean").alias("mean_deviation"))
 
 
 def scored(rows: DataFrame, by: list[str], value: str, log: bool | None = None) -> DataFrame:

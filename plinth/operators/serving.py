@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.rounding import half_even
 from plinth.operators.index import geomean
+from plinth.operators.robust import quantiles
 
 GRADES = ("A", "B")
 PAGE, PAGE_MOST = 100, 1000
@@ -23,7 +24,7 @@ def eligible(total: str = "total", duplicate: str = "is_duplicate", outlier: str
 
 
 #: How a filter's name ends, and its test on a column.
-_TESTS = {
+TESTS = {
     "iexact": lambda c, v: F.lower(c) == str(v).lower(),
     "in": lambda c, v: c.isin(*v),
     "gte": lambda c, v: c >= v,
@@ -40,9 +41,9 @@ def filtered(rows: DataFrame, wanted: Mapping[str, Any], allowed: Mapping[str, C
     for name, value in wanted.items():
         column, _, test = name.partition("__")
         known = allowed.get(column) if allowed else (F.col(column) if column in rows.columns else None)
-        if known is None or (test or "exact") not in _TESTS:
+        if known is None or (test or "exact") not in TESTS:
             raise ValueError(f"no such filter: {name}")
-        tests.append(_TESTS[test or "exact"](known, value))
+        tests.append(TESTS[test or "exact"](known, value))
     return rows.where(reduce(lambda a, b: a & b, tests)) if tests else rows
 
 
@@ -72,9 +73,13 @@ def numbered_page(rows: DataFrame, order: list[Column], number: int, size: int =
     return rows.orderBy(*order).offset((number - 1) * min(size, 5000)).limit(min(size, 5000))
 
 
-def summary(rows: DataFrame, total: str = "total") -> DataFrame:
+def summary(rows: DataFrame, total: str = "total", marks: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row: counts, lowest, highest and exact median price, and for each name of marks how many rows it holds for."""
     priced = F.col(total).isNotNull()
-    return rows.agg(F.count("*").alias("n"), F.count_if(priced).alias("n_priced"), F.count_if(~priced).alias("n_unpriced"), F.min(total).cast("double").alias("lowest"), F.max(total).cast("double").alias("highest"), half_even(F.percentile(F.col(total).cast("double"), F.lit(0.5)), 2).alias("median"))
+    extra = [F.count_if(test).alias(name) for name, test in (marks or {}).items()]
+    counted = rows.agg(F.count("*").alias("n"), F.count_if(priced).alias("n_priced"), F.count_if(~priced).alias("n_unpriced"), *extra, F.min(total).cast("double").alias("lowest"), F.max(total).cast("double").alias("highest"))
+    middle = quantiles(rows, [], total, {"median": 0.5}).select(half_even(F.col("median"), 2).alias("median"), F.lit(0).alias("_one"))
+    return counted.withColumn("_one", F.lit(0)).join(middle, "_one", "left").drop("_one")
 
 
 def latest(series: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -85,11 +90,11 @@ def latest(series: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def lead_time_curve(rows: DataFrame, window: str, total: str = "total", sold_out: str = "is_sold_out") -> DataFrame:
-    """Per lead window: count, quartiles (linear), geometric mean and sold-out share."""
-    x = F.col(total).cast("double")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy(window).agg(F.count(total).alias("n"), q.alias("q"), half_even(geomean(F.col(total)), 4).alias("geomean"), half_even(F.avg(F.col(sold_out).cast("int")), 4).alias("sold_out_share"))
-    return out.select(window, "n", *[half_even(F.get("q", F.lit(i)), 4).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "geomean", "sold_out_share")
+    """Per lead window: count, exact quartiles (linear), geometric mean and sold-out share."""
+    out = rows.groupBy(window).agg(F.count(total).alias("n"), half_even(geomean(F.col(total)), 4).alias("geomean"), half_even(F.avg(F.col(sold_out).cast("int")), 4).alias("sold_out_share"))
+    quarters = quantiles(rows, [window], total, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("n", "mean").withColumnRenamed(window, "_window")
+    joined = out.join(quarters, out[window].eqNullSafe(quarters["_window"]), "left")
+    return joined.select(window, "n", *[half_even(F.col(q), 4).alias(q) for q in ("p25", "p50", "p75")], "geomean", "sold_out_share")
 
 
 def top_by(rows: DataFrame, by: list[str], score: Column, tie: str, k: int) -> DataFrame:

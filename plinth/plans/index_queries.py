@@ -18,7 +18,7 @@ def _prices(spark, d):
 
 
 def _base(spark, d):
-    return index.item_prices(fares(spark, d).where(F.col("year") == BASE_YEAR), ITEM)
+    return index.item_prices(fares(spark, d, BASE_YEAR), ITEM)
 
 
 def _pairs(spark, d):
@@ -82,7 +82,7 @@ def laspeyres_contributions(spark, d):
 
 def laspeyres_direct(spark, d):
     prices = _prices(spark, d)
-    quantities = fares(spark, d).where(F.col("year") == BASE_YEAR).groupBy(*ITEM).agg(F.sum("quantity").alias("quantity"))
+    quantities = fares(spark, d, BASE_YEAR).groupBy(*ITEM).agg(F.sum("quantity").alias("quantity"))
     out = index.laspeyres_direct(prices.where(F.col("year") == BASE_YEAR), prices.where(F.col("year") > BASE_YEAR), quantities, ITEM, ["lead_window", "year"])
     return _rounded(out, "level")
 

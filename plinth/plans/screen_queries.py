@@ -17,7 +17,7 @@ def _scores(spark, d, log=True):
 
 
 def exact_median(spark, d):
-    return fares(spark, d).groupBy(*CELL).agg(half_even(robust.median(F.col("total").cast("double")), 4).alias("median"))
+    return robust.quantiles(fares(spark, d), CELL, "total", {"median": 0.5}).select(*CELL, half_even(F.col("median"), 4).alias("median"))
 
 
 def median_by_rank(spark, d):

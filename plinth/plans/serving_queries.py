@@ -189,7 +189,10 @@ chain(route, year, k, body, previous_hash, chain_hash) as (select route, year, k
 _EDGES = "edges as (select 'c' || c_custkey as child, 'n' || c_nationkey as parent from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation)"
 
 QUERIES = {
-    "merkle_root": (merkle_root, None),
+    "merkle_root": (merkle_root, f"""with recursive {FARES_SQL}, leaves as (select distinct route, strftime(observed_on, '%Y-%m') as month, sha256(concat_ws(chr(31), l_orderkey, l_linenumber, l_suppkey, item)) as leaf from fares),
+tree(route, month, n_leaves, nodes) as (select route, month, count(*), list(leaf order by leaf) from leaves group by route, month
+  union all select route, month, n_leaves, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(unhex(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], nodes[2 * i + 1])))) from tree where len(nodes) > 1)
+select route, month, n_leaves, nodes[1] as root from tree where len(nodes) = 1"""),
     "canonical_json": (canonical_json, f"with {_BODIES} select * from bodies"),
     "chain_hash": (chain_hash, f"with recursive {_BODIES}, {_CHAIN} select route, year, previous_hash, chain_hash from chain"),
     "chain_verify": (chain_verify, f"with {FARES_SQL}, y as (select distinct route, cast(year as bigint) as year from fares) select route, count(*) as n, not (route like '%7' or route like '%3') as valid, case when route like '%7' then 1998 when route like '%3' then 1999 end as first_broken, case when route like '%7' then 'digest mismatch' when route like '%3' then 'broken back-link' end as reason from y group by route"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOWS = (1, 7, 15, 30, 45)
@@ -13,9 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """route, item, lead_window, total, observed_on, year, quantity and the keys of each line."""
-    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+def fares(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
+    """route, item, lead_window, total, observed_on, year, quantity and the keys of each line, of one year where it is given."""
+    line = table(spark, sf_dir, "lineitem")
+    line, part = line if year is None else line.where(years(year)), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     rows = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(
         F.col("p_brand").alias("route"), F.col("l_partkey").alias("item"),
@@ -31,9 +32,15 @@ FARES_SQL = """fares as (select p.p_brand as route, l.l_partkey as item, list_ex
   from lineitem l join part p on l.l_partkey = p.p_partkey)"""
 
 
+def years(first: int, last: int | None = None, day: str = "l_shipdate") -> Column:
+    """Days of first to last (first alone without it), as a range that reaches the scan."""
+    start, end = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (first, (last or first) + 1))
+    return (F.col(day) >= start) & (F.col(day) < end)
+
+
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passengers of the base year by route."""
-    return fares(spark, sf_dir).where(F.col("year") == BASE_YEAR).groupBy("route").agg(F.sum("quantity").alias("passengers"))
+    return fares(spark, sf_dir, BASE_YEAR).groupBy("route").agg(F.sum("quantity").alias("passengers"))
 
 
 def weight_versions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plinth.functions import canonical, challenge, robots
-from plinth.operators import audit, dedup, exact, index, provenance, robust, serving
+from plinth.operators import audit, dedup, exact, filters, index, provenance, reports, robust, serving
 from plinth.sources import payload, sinks, synthetic
 from plinth.streaming import events, policy
 
@@ -23,6 +23,48 @@ def test_median_and_mad(spark):
     assert robust.median_by_rank(strata(spark, [1, 2, 3, 10]), ["stratum"], "value").first()["median"] == 2.5
 
 
+def test_quantiles_by_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(0, 1e-3, 501), "b": rng.integers(-3, 4, 400).astype(float), "c": np.array([7.5]), "d": np.exp(rng.normal(9, 3, 1000)), None: np.array([1.0, 2.0])}
+    rows = spark.createDataFrame([(g, float(v)) for g, values in groups.items() for v in values] + [("a", None), ("e", None)], "g string, v double")
+    got = {r["g"]: r for r in robust.quantiles(rows.repartition(5), ["g"], "v", {"low": 0.1, "mid": 0.5, "high": 0.99}).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        assert got[g]["n"] == len(values) and got[g]["mean"] == pytest.approx(values.mean())
+        assert [got[g][k] for k in ("low", "mid", "high")] == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.99])))
+
+
+def test_quantiles_of_nothing_and_of_odd_values(spark):
+    rows = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (0.0,), (-0.0,)], "v double")
+    assert robust.quantiles(rows, [], "v", {"mid": 0.5}).first()["mid"] == 0
+    assert robust.quantiles(rows.where("v is null"), [], "v", {"mid": 0.5}).isEmpty()
+    empty = serving.summary(rows.where("v is null"), "v").first()
+    assert (empty["n"], empty["lowest"], empty["median"]) == (0, None, None)
+
+
+def test_filters_refuse_unknown_names_and_false_derived_ones_restrict_nothing(spark):
+    rows = spark.createDataFrame([("DEL-BOM", None), (None, 5.0), ("", 6.0)], "route string, total double")
+    assert filters.asked(rows, {"priced_only": True}, filters.FARES, filters.FARES_DERIVED).count() == 2
+    assert filters.asked(rows, {"priced_only": False}, filters.FARES, filters.FARES_DERIVED).count() == 3
+    assert filters.asked(rows, {"national": True}, filters.SERIES).count() == 1
+    with pytest.raises(ValueError, match="no such filter"):
+        filters.asked(rows, {"nothing": 1}, filters.FARES)
+
+
+def test_weight_sets_that_cannot_be_used(spark):
+    sets = {"duplicate unit": [("a", 1.0), ("a", 2.0)], "zero total": [("a", 0.0)], None: [("a", 1.0), ("b", 3.0)]}
+    for error, rows in sets.items():
+        got = reports.strict_shares(spark.createDataFrame(rows, "unit string, q double"), "unit", "q").collect()
+        assert {r["error"] for r in got} == {error} and (error is None) == all(r["share"] is not None for r in got)
+
+
+def test_a_sweep_leaves_tripped_breakers_alone(spark):
+    rows = spark.createDataFrame([("OPEN", 0.0), ("OPEN", 95.0), ("TRIPPED_PERMANENT", 0.0), ("CLOSED", 0.0)], "state string, opened double")
+    assert [r["swept"] for r in reports.swept(rows, F.lit(100.0), 10.0).collect()] == ["HALF_OPEN", "OPEN", "TRIPPED_PERMANENT", "CLOSED"]
+
+
 def test_one_outlier_is_found_and_no_row_is_lost(spark):
     rows = strata(spark, [5000] * 9 + [5100, 4900, 5200, 48000])
     out = robust.flagged(robust.scored(rows, ["stratum"], "value", log=False), ["stratum"], "row")
