@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.lineage import shared_folder
+
 
 def file_stream(spark: SparkSession, path: str, time: str = "ts", files_per_trigger: int = 64) -> DataFrame:
     """A stream of the Parquet files below path, with the time column as a timestamp that takes a watermark."""
@@ -40,7 +42,7 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     so a run that was cut off goes on where it was.
     """
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/table"
 
     def write(batch: DataFrame, number: int) -> None:

@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from plinth import lineage
 from plinth.functions import canonical, challenge, robots
 from plinth.operators import audit, dedup, exact, filters, index, provenance, reports, robust, serving
 from plinth.sources import payload, sinks, synthetic
@@ -65,6 +66,17 @@ def test_a_sweep_leaves_tripped_breakers_alone(spark):
     assert [r["swept"] for r in reports.swept(rows, F.lit(100.0), 10.0).collect()] == ["HALF_OPEN", "OPEN", "TRIPPED_PERMANENT", "CLOSED"]
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    class Session:
+        def __init__(self, **conf):
+            self.conf = conf
+
+    assert lineage.shared_folder(Session(**{"spark.master": "spark://m:7077", "spark.checkpoint.dir": "hdfs:///shared/"})) == "hdfs:///shared"
+    assert lineage.shared_folder(Session(**{"spark.master": "local[2]", "spark.sql.warehouse.dir": "/w"})) == "/w/_shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.shared_folder(Session(**{"spark.master": "local-cluster[2,1,1024]", "spark.sql.warehouse.dir": "/w"}))
+
+
 def test_one_outlier_is_found_and_no_row_is_lost(spark):
     rows = strata(spark, [5000] * 9 + [5100, 4900, 5200, 48000])
     out = robust.flagged(robust.scored(rows, ["stratum"], "value", log=False), ["stratum"], "row")
