@@ -67,6 +67,16 @@ def month_start(period: Column) -> Column:
     return F.to_date(F.concat(period, F.lit("-01")))
 
 
+def month_bounds(period: Column) -> Column:
+    """The first day of a month like 2024-02, and that of the month after it, as a struct of start and end."""
+    return F.struct(month_start(period).alias("start"), F.add_months(month_start(period), 1).alias("end"))
+
+
+def days_ahead(departure_day: Column, observed_day: Column) -> Column:
+    """Days to departure, never below none."""
+    return F.greatest(F.datediff(departure_day, observed_day), F.lit(0))
+
+
 def window_floor(ts: Column, minutes: int = 60) -> Column:
     seconds = F.unix_timestamp(ts)
     return F.timestamp_seconds(seconds - F.pmod(seconds, F.lit(60 * minutes)))

@@ -62,6 +62,50 @@ def four_component_audit(rows: DataFrame, components: tuple[str, ...], total: st
     return rows.withColumns({**states, "audited_total": full, "total_derived": total_derived, "breakdown_trusted": trusted, "index_eligible": F.coalesce(full > 0, F.lit(False)) & (trusted | (nulls > 0))})
 
 
+#: What breakdown() can say of a row, in the order in which it lists them.
+BREAKDOWN_FLAGS = ("all_in_price_only", "component_derived", "component_missing", "component_unparseable", "components_complete", "explicit_zero_present", "negative_value", "total_derived", "total_mismatch", "total_missing")
+
+
+def breakdown(rows: DataFrame, components: tuple[str, ...], total: str, derive: bool = True) -> DataFrame:
+    """rows with a state for each component and for the total, values as far as they follow, flags, and two verdicts.
+
+    Each amount is a struct as parse_money makes it (value, status). A component is present, explicit_zero, missing or
+    unparseable; the only unknown one becomes derived as what the total leaves, if that isn't negative. A total that is
+    missing is derived from components that are all known. An unknown amount never counts as zero, and a row without a
+    breakdown may still carry its total into the index.
+    """
+    def state(c: str) -> Column:
+        status, value = F.col(c)["status"], F.col(c)["value"]
+        return F.when(F.coalesce(status, F.lit("missing")) == "missing", "missing").when((status != "ok") | value.isNull(), "unparseable").when(value == 0, "explicit_zero").otherwise("present")
+
+    none = F.lit(0).cast("decimal(12,2)")
+    usable = lambda c: F.when(F.col(c)["status"] == "ok", F.col(c)["value"])
+    count = lambda *kinds: reduce(lambda a, b: a + b, [F.col(f"{c}_state").isin(*kinds).cast("int") for c in components])
+    out = rows.withColumns({f"{c}_state": state(c) for c in (*components, total)} | {f"{c}_value": usable(c) for c in (*components, total)})
+    known, t = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"{c}_value"), none) for c in components]), F.col(f"{total}_value")
+    first = {"n_unknown": count("missing", "unparseable"), "n_missing": count("missing"), "n_unparseable": count("unparseable"), "n_zero": count("explicit_zero"), "known": known}
+    out = out.withColumns(first | {"negative": reduce(lambda a, b: a | b, [F.coalesce(F.col(c)["status"] == "negative_rejected", F.lit(False)) for c in components])})
+    out = out.withColumn("derives", F.coalesce((F.col("n_unknown") == 1) & (t >= F.col("known")), F.lit(False)) & F.lit(derive))
+    out = out.withColumn("whole", (F.col("n_unknown") == 0) | F.col("derives"))
+    filled = {f"{c}_value": F.when(F.col("derives") & F.col(f"{c}_value").isNull(), t - F.col("known")).otherwise(F.col(f"{c}_value")).cast("decimal(12,2)") for c in components}
+    states = {f"{c}_state": F.when(F.col("derives") & F.col(f"{c}_value").isNull(), "derived").otherwise(F.col(f"{c}_state")) for c in components}
+    derived_total = F.col("whole") & t.isNull()
+    out = out.withColumns(filled | states | {"derived_total": derived_total, f"{total}_value": F.when(derived_total, F.col("known")).otherwise(t), f"{total}_state": F.when(derived_total, "derived").otherwise(F.col(f"{total}_state")), "component_sum": F.when(F.col("derives"), t).when(F.col("whole"), F.col("known"))})
+    out = out.withColumn("residual", t - F.col("component_sum"))
+    allowed = F.greatest(F.lit(ABS_TOLERANCE).cast("decimal(12,2)"), F.abs(t) * F.lit(REL_TOLERANCE).cast("decimal(6,3)"))
+    out = out.withColumn("close", F.abs(F.col("residual")) <= allowed)
+    said = {
+        "all_in_price_only": ~F.col("whole") & (F.col("n_unknown") == len(components)) & t.isNotNull(), "component_derived": F.col("derives"), "component_missing": F.col("n_missing") > 0,
+        "component_unparseable": F.col("n_unparseable") > 0, "components_complete": F.col("whole") & F.col("close"), "explicit_zero_present": F.col("n_zero") > 0, "negative_value": F.col("negative"),
+        "total_derived": F.col("derived_total"), "total_mismatch": F.col("whole") & ~F.col("close"), "total_missing": t.isNull(),
+    }
+    flags = F.filter(F.array(*[F.when(said[f], f) for f in BREAKDOWN_FLAGS]), lambda x: x.isNotNull())
+    trusted = F.col("whole") & F.col("close") & ~F.col("negative")
+    eligible = F.coalesce(t > 0, F.lit(False)) & ~F.col("negative") & ~(F.col("whole") & ~F.col("close"))
+    helpers = ("n_unknown", "n_missing", "n_unparseable", "n_zero", "known", "negative", "derives", "whole", "derived_total", "close")
+    return out.withColumns({"flags": flags, "breakdown_trusted": F.coalesce(trusted, F.lit(False)), "index_eligible": eligible}).drop(*helpers)
+
+
 def validate(origin: Column, destination: Column, money: list[Column], departure: Column, observed: Column, grace_hours: int = 3) -> Column:
     """Why a row is rejected, or null: the first reason in the order of the checks."""
     negative = reduce(lambda a, b: a | b, [F.coalesce(m < 0, F.lit(False)) for m in money])

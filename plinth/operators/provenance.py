@@ -7,6 +7,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plinth.lineage import cut
 
@@ -64,16 +65,94 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[v.cast("string").alias(k) for k, v in sorted(fields.items())]), {"ignoreNullFields": "false"})
 
 
-def chained(rows: DataFrame, series: list[str], order: str, body: str, genesis: str = "") -> DataFrame:
+def _canonical(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        raise TypeError("a binary fraction has no one text: cast it to a decimal")
+    if isinstance(kind, T.DecimalType):
+        plain = F.regexp_replace(F.regexp_replace(F.format_number(value, kind.scale), ",", ""), r"(\.[0-9]*?)0+$", "$1")
+        text = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(plain, r"\.$", ""), "^-0$", "0"), F.lit('"'))
+    elif isinstance(kind, (T.BooleanType, T.IntegralType)):
+        text = value.cast("string")
+    elif isinstance(kind, T.StringType):
+        escaped = F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+        text = F.concat(F.lit('"'), escaped, F.lit('"'))
+    elif isinstance(kind, T.DateType):
+        text = F.concat(F.lit('"'), F.date_format(value, "yyyy-MM-dd"), F.lit('"'))
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        whole = F.date_trunc("second", value) == value
+        text = F.concat(F.lit('"'), F.when(whole, F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), F.lit('+00:00"'))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: _canonical(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        entries = F.array_sort(F.map_entries(value))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(_canonical(e["key"], kind.keyType), F.lit(":"), _canonical(e["value"], kind.valueType))), ","), F.lit("}"))
+    elif isinstance(kind, T.StructType):
+        parts = [F.concat(F.lit(f'"{f.name}":'), _canonical(value[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    else:
+        raise TypeError(f"no canonical text for {kind.simpleString()}")
+    return F.when(value.isNull(), F.lit("null")).otherwise(text)
+
+
+def with_canonical(rows: DataFrame, fields: dict[str, Column], name: str = "body") -> DataFrame:
+    """rows with the canonical JSON text of the fields, whatever their types: sorted keys, no blanks.
+
+    Decimals are quoted plain text without trailing zeros, times are in UTC (the session's zone), nested values go all the
+    way down. Floats and doubles raise TypeError, since their text isn't one. Maps need unique text keys.
+    """
+    body = rows.select(F.struct(*[c.alias(k) for k, c in sorted(fields.items())]).alias("_body"))
+    kind = body.schema["_body"].dataType
+    parts = [F.concat(F.lit(f'"{f.name}":'), _canonical(fields[f.name], f.dataType)) for f in kind.fields]
+    return rows.withColumn(name, F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
+
+
+def with_digest(rows: DataFrame, fields: dict[str, Column], name: str) -> DataFrame:
+    """rows with the SHA-256 of the canonical text of the fields: of a methodology, a weight set, a payload, a lineage node."""
+    return with_canonical(rows, fields, name).withColumn(name, F.sha2(name, 256))
+
+
+def sealed(rows: DataFrame, series: list[str], order: str, fields: dict[str, Column], hashes: Column, previous: str = "") -> DataFrame:
+    """series, order, inputs_root, input_count, previous_hash and provenance_hash of each published value.
+
+    The hash is over the canonical text of the fields with the Merkle root of the value's distinct ingress hashes, their
+    count, and the hash before it in its series. hashes is an array for each row: what one publication lists. To go on with a
+    stored chain, pass its head as previous.
+    """
+    made = rows.withColumn("_leaves", F.array_sort(F.array_distinct(hashes))).withColumns({"inputs_root": merkle_root(F.col("_leaves")), "input_count": F.size("_leaves")})
+    whole = fields | {"inputs_root": F.col("inputs_root"), "input_count": F.col("input_count")}
+    # keys are sorted, so what is before and after the hash that a row refers to is known without it
+    head, tail = ({k: c for k, c in whole.items() if (k < "previous_hash") == low} for low in (True, False))
+    made = with_canonical(with_canonical(made, head, "_head"), tail, "_tail")
+    start = F.concat(F.left(F.col("_head"), F.length("_head") - 1), F.lit(',"previous_hash":"'))
+    end = F.concat(F.lit('",'), F.substring(F.col("_tail"), F.lit(2), F.length("_tail"))) if tail else F.lit('"}')
+    parted = made.withColumns({"_body": start, "_end": end})
+    chain = chained(parted, series, order, "_body", previous, "_end").withColumnRenamed("chain_hash", "provenance_hash")
+    kept = parted.select(*series, F.col(order).cast("bigint").alias(order), "inputs_root", "input_count")
+    return kept.join(chain.select(*series, order, "previous_hash", "provenance_hash"), [*series, order])
+
+
+def lineage_checked(nodes: DataFrame, digest: str, parents: str, fields: dict[str, Column]) -> DataFrame:
+    """nodes with intact (the digest is that of the fields and the parents in order) and n_dangling (parents that are no nodes)."""
+    made = with_digest(nodes, fields | {"parents": F.array_sort(parents)}, "_again").withColumn("intact", F.col("_again") == F.col(digest)).drop("_again")
+    edges = nodes.select(F.col(digest).alias("_of"), F.explode(parents).alias("_parent")).distinct()
+    lost = edges.join(nodes.select(F.col(digest).alias("_parent")).distinct(), "_parent", "left_anti").groupBy("_of").agg(F.count("*").alias("n_dangling"))
+    return made.join(lost, made[digest] == lost["_of"], "left").drop("_of").withColumn("n_dangling", F.coalesce("n_dangling", F.lit(0)))
+
+
+def chained(rows: DataFrame, series: list[str], order: str, body: str, genesis: str = "", end: str | None = None) -> DataFrame:
     """Each row with previous_hash and chain_hash = sha256(previous || body), along each series in its order.
 
-    A chain is serial by nature; series run side by side, each folded over one array of its rows.
+    With end, the hash is over body || previous || end. A chain is serial by nature; series run side by side, each folded
+    over one array of its rows.
     """
+    if end is not None:
+        rows = rows.withColumn(body, F.concat_ws("\0", body, end))
     link = "struct<o:bigint,b:string,p:string,h:string>"
     start = F.struct(F.lit(genesis).alias("last"), F.array().cast(f"array<{link}>").alias("done"))
 
     def step(acc: Column, x: Column) -> Column:
-        digest = F.sha2(F.concat(acc["last"], x["b"]), 256)
+        text = F.concat(acc["last"], x["b"]) if end is None else F.replace(x["b"], F.lit("\0"), acc["last"])
+        digest = F.sha2(text, 256)
         made = F.struct(x["o"].alias("o"), x["b"].alias("b"), acc["last"].alias("p"), digest.alias("h"))
         return F.struct(digest.alias("last"), F.array_append(acc["done"], made).alias("done"))
 

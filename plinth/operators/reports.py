@@ -27,6 +27,24 @@ def rejections(rows: DataFrame, reason: str, key: str, most: int = REPORTED) ->
     return out.groupBy("reason").agg(F.count("*").alias("n")).join(shown, "reason", "left").select("reason", "n", F.coalesce("n_shown", F.lit(0)).alias("n_shown"), "first_shown")
 
 
+#: The counters of a cleaning run, in the order of its stages.
+COUNTERS = ("extracted", "currency_failures", "canonicalisation_failures", "structural_rejects", "partial_breakdown", "total_mismatch", "sold_out", "price_unavailable", "duplicates", "cross_source_conflicts", "outliers", "written")
+
+
+def run_counters(rows: DataFrame, by: list[str], marks: dict[str, Column]) -> DataFrame:
+    """The counters of each run in one aggregate; marks says by counter which rows it counts. Unknown names raise ValueError.
+
+    Without a mark of their own, every row is extracted, and those that no failure or reject marks are written.
+    """
+    if unknown := set(marks) - set(COUNTERS):
+        raise ValueError(f"no such counter: {sorted(unknown)}")
+    lost = F.lit(False)
+    for name in COUNTERS[1:4]:
+        lost = lost | F.coalesce(marks.get(name, F.lit(False)), F.lit(False))
+    marks = {"extracted": F.lit(True), "written": ~lost} | marks
+    return rows.groupBy(*by).agg(*[F.count_if(marks.get(name, F.lit(False))).alias(name) for name in COUNTERS])
+
+
 def counted_page(rows: DataFrame, order: list[Column], number: int, size: int, key: str) -> DataFrame:
     """A numbered page with the count of all rows, the pages there are, and this page's number."""
     from plinth.operators.serving import numbered_page
@@ -82,3 +100,19 @@ def restated(days: DataFrame, prints: DataFrame, by: list[str], day: str, known:
     """Each day's value as it was known lag days after it: the newest print of the day that had been made by then."""
     joined = prints.where(F.col(known) <= F.date_add(F.col(day), lag)).groupBy(*by, day).agg(F.max_by(value, known).alias(value), F.max(known).alias(known))
     return days.join(joined, [*by, day], "left")
+
+
+def task_refused(cabin: Column, cabins: tuple[str, ...], lead: Column, horizon: tuple[int, int]) -> Column:
+    """Why a source can't take a task, or null: a cabin that it doesn't sell, or a day beyond its horizon."""
+    return F.when(~F.coalesce(cabin.isin(*cabins), F.lit(False)), "unsupported cabin").when(~F.coalesce(lead.between(*horizon), F.lit(False)), "beyond horizon")
+
+
+def collected(rows: DataFrame, by: list[str], task: list[str], seconds: str, most: int) -> DataFrame:
+    """By source: tasks, quotes, those kept under the limit of a task's results, tasks that were cut, and mean and longest latency."""
+    tasks = rows.groupBy(*by, *task).agg(F.count("*").alias("_n"), F.max(seconds).alias("_s"))
+    return tasks.groupBy(*by).agg(F.count("*").alias("tasks"), F.sum("_n").alias("quotes"), F.sum(F.least("_n", F.lit(most))).alias("kept"), F.count_if(F.col("_n") > most).alias("truncated"), F.avg("_s").alias("mean_seconds"), F.max("_s").alias("most_seconds"))
+
+
+def granted(roles: Column, needed: Column, all_of: bool = False) -> Column:
+    """Whether roles has one (or each) of those needed."""
+    return F.size(F.array_except(needed, roles)) == 0 if all_of else F.size(F.array_intersect(roles, needed)) > 0

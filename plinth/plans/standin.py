@@ -49,3 +49,21 @@ def weight_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = yearly.agg(F.max("year").alias("last"))
     valid = yearly.join(F.broadcast(last))
     return valid.select("route", "passengers", F.make_date("year", F.lit(1), F.lit(1)).alias("valid_from"), F.when(F.col("year") < F.col("last"), F.make_date(F.col("year") + 1, F.lit(1), F.lit(1))).alias("valid_to"))
+
+
+def feed_sql(profile: str, day: str = "2024-03-05", base: float = 4000.0) -> str:
+    """The synthetic feed of tasks (route, lead_window) on one day in SQL, as priced: key, day, carrier, flight, fare, gone."""
+    from plinth.sources.synthetic import PROFILES, SOLD_OUT, WEEKDAYS
+
+    carriers, anchors = PROFILES[profile]
+    lines = " ".join(f"when d <= {x1} then {y0}e0 + (d - {x0}) * {(y1 - y0) / (x1 - x0)!r}::double" for (x0, y0), (x1, y1) in zip(anchors, anchors[1:]))
+    listed = ", ".join(f"('{c}', {f}e0)" for c, f in carriers)
+    weekdays = "[" + ", ".join(f"{w}e0" for w in WEEKDAYS) + "]"
+    return f"""keyed as (select t.*, date '{day}' as day, c.carrier, c.level, n.n, greatest(least(t.lead_window, {anchors[-1][0]}), {anchors[0][0]}) as d, concat_ws('|', t.route, t.lead_window, '{day}', c.carrier, n.n) as key
+  from tasks t cross join (values {listed}) c(carrier, level) cross join (values (1), (2), (3)) n(n)),
+priced as (select *, carrier || lpad(cast(n * 100 + 11 as varchar), 4, '0') as flight, {uniform_sql('sold')} < case when lead_window <= 3 then {4 * SOLD_OUT}e0 else {SOLD_OUT}e0 end as gone,
+  round({base}e0 * level * round(case {lines} end, 4) * {weekdays}[isodow(day)] * (0.92e0 + 0.16e0 * {uniform_sql('jitter')}), 2)::decimal(12,2) as fare from keyed)"""
+
+
+def uniform_sql(salt: str) -> str:
+    return f"(cast('0x' || substr(sha256(key || '{salt}'), 1, 13) as bigint) / 4503599627370496e0)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plinth.functions.rounding import half_even
-from plinth.plans.standin import FARES_SQL, fares, table
+from plinth.plans.standin import FARES_SQL, fares, feed_sql, table
 from plinth.sources import synthetic
 from plinth.streaming import events, policy
 
@@ -47,7 +47,7 @@ def token_bucket_sim(spark, d):
 
 
 def synthetic_fares(spark, d):
-    """The synthetic feed for every nation pair of one region, read through the data source."""
+    """The synthetic feed for three routes on one day, read through the data source."""
     name = synthetic.register(spark)
     return spark.read.format(name).option("routes", "DEL-BOM,DEL-BLR,BOM-GOI").option("day", "2024-03-05").load()
 
@@ -90,7 +90,7 @@ QUERIES = {
     "breaker_transitions": (breaker_transitions, f"{_BREAKER} select source, seq, decision, state, failures from run where k > 0"),
     "breaker_snapshot": (breaker_snapshot, f"{_BREAKER} select source, seq, decision, state, failures from run where k > 0 qualify row_number() over (partition by source order by seq desc) = 1"),
     "token_bucket_sim": (token_bucket_sim, f"{_BUCKET} select source, seq, granted, wait, tokens from run where k > 0"),
-    "synthetic_fares": (synthetic_fares, None),
+    "synthetic_fares": (synthetic_fares, f"with tasks as (select route, w as lead_window from (values ('DEL-BOM'), ('DEL-BLR'), ('BOM-GOI')) r(route) cross join (values (1), (7), (15), (30), (45)) w(w)), {feed_sql('standard')} select route, lead_window, day as observed_on, carrier, flight, cast(case when not gone then fare end as decimal(12,2)) as base_fare, cast(case when not gone then round(fare * 0.05, 2) end as decimal(12,2)) as gst, cast(case when not gone then fare + round(fare * 0.05, 2) end as decimal(12,2)) as total, gone as is_sold_out from priced"),
     "synthetic_feed": (synthetic_feed, "select w as lead_window, cast(25 * 18 as bigint) as n, cast(0 as bigint) as odd from (values (1), (7), (15), (30), (45)) t(w)"),
     "daily_restatement": (daily_restatement, f"with {FARES_SQL}, n as (select observed_on, count(*) as n from fares group by all) select cast(r.day as date) as day, coalesce(n.n, 0) as n from (select unnest(generate_series(date '1996-03-01', date '1996-03-10', interval '1 day')) as day) r left join n on n.observed_on = cast(r.day as date)"),
 }

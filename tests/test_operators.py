@@ -3,13 +3,14 @@
 import hashlib
 import json
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from plinth import lineage
 from plinth.functions import canonical, challenge, robots
-from plinth.operators import audit, dedup, exact, filters, index, provenance, reports, robust, serving
+from plinth.operators import audit, dedup, exact, filters, index, normalise, provenance, reports, robust, serving
 from plinth.sources import payload, sinks, synthetic
 from plinth.streaming import events, policy
 
@@ -347,3 +348,94 @@ def test_overlaps_reach_beyond_the_version_just_before(spark):
     weights = spark.createDataFrame(rows, "route string, valid_from int, valid_to int")
     got = {tuple(r) for r in index.overlapping_weights(weights, ["route"]).collect()}
     assert got == {("a", 2, 3), ("a", 5, 6), ("b", 4, 5), ("b", 9, None)}
+
+
+@pytest.mark.parametrize("profile, carriers", [("standard", 6), ("legacy", 5)])
+def test_synthetic_source_and_expressions_give_one_feed(spark, profile, carriers):
+    name = synthetic.register(spark)
+    read = spark.read.format(name).option("routes", "A-B,C-D").option("windows", "1,4,14,60").option("day", "2024-03-09").option("profile", profile).load()
+    tasks = spark.createDataFrame([(r, w, datetime(2024, 3, 9).date()) for r in ("A-B", "C-D") for w in (1, 4, 14, 60)], "route string, lead_window int, observed_on date")
+    made = synthetic.fares_feed(tasks, profile=profile)
+    assert read.count() == 8 * carriers * 3
+    assert read.exceptAll(made).isEmpty() and made.exceptAll(read).isEmpty()
+
+
+def test_raw_feed_leaves_out_what_is_unknown(spark):
+    tasks = spark.range(400).select(F.concat(F.lit("R"), "id").alias("route"), F.lit(2).alias("lead_window"), F.lit("2024-03-05").cast("date").alias("observed_on"))
+    rows = synthetic.raw_feed(tasks).cache()
+    gone = rows.where("inventory_status = 'SOLD_OUT'")
+    assert gone.count() > 0 and gone.where("coalesce(total_fare, base_fare, gst, other_charges) is not null").isEmpty()
+    partial = rows.where("inventory_status = 'AVAILABLE' and base_fare is null")
+    assert partial.count() > 0 and partial.where("total_fare is null or gst is not null").isEmpty()
+    assert not rows.where("other_charges = '0.00'").isEmpty() and not rows.where("total_fare like '₹ %,%'").isEmpty() and not rows.where("shock > 1").isEmpty()
+
+
+def money(value, status="ok"):
+    return (None if value is None else Decimal(value), status)
+
+
+@pytest.mark.parametrize("parts, total, states, value, flags, trusted, eligible", [
+    ([money("900"), money("60"), money("40"), money("0")], money("1000"), ["present", "present", "present", "explicit_zero"], "1000.00", {"components_complete", "explicit_zero_present"}, True, True),
+    ([money("900"), money(None, "missing"), money("40"), money("0")], money("1000"), ["present", "derived", "present", "explicit_zero"], "1000.00", {"component_missing", "component_derived", "components_complete", "explicit_zero_present"}, True, True),
+    ([money("900"), money(None, "missing"), money(None, "unparseable"), money("1")], money("1000"), ["present", "missing", "unparseable", "present"], "1000.00", {"component_missing", "component_unparseable"}, False, True),
+    ([money(None, "negative_rejected"), money("60"), money("40"), money("1")], money("1000"), ["derived", "present", "present", "present"], "1000.00", {"component_derived", "component_unparseable", "components_complete", "negative_value"}, False, False),
+    ([money(None, "missing")] * 4, money("1000"), ["missing"] * 4, "1000.00", {"all_in_price_only", "component_missing"}, False, True),
+    ([money("900"), money("60"), money("40"), money("1")], money(None, "missing"), ["present"] * 4, "1001.00", {"components_complete", "total_derived"}, True, True),
+    ([money("900"), money("60"), money("40"), money("200")], money("1000"), ["present"] * 4, "1000.00", {"total_mismatch"}, False, False),
+    ([money("2000"), money(None, "missing"), money("40"), money("1")], money("1000"), ["present", "missing", "present", "present"], "1000.00", {"component_missing"}, False, True),
+    ([money(None, "missing"), None, money("40"), money("1")], None, ["missing", "missing", "present", "present"], None, {"component_missing", "total_missing"}, False, False),
+])
+def test_breakdown(spark, parts, total, states, value, flags, trusted, eligible):
+    names = ("a", "b", "c", "d")
+    kind = "struct<value:decimal(12,2),status:string>"
+    rows = spark.createDataFrame([(*parts, total)], ", ".join(f"{n} {kind}" for n in (*names, "t")))
+    r = audit.breakdown(rows, names, "t").first()
+    assert [r[f"{n}_state"] for n in names] == states and r["t_value"] == (None if value is None else Decimal(value))
+    assert set(r["flags"]) == flags and r["flags"] == sorted(r["flags"]) and (r["breakdown_trusted"], r["index_eligible"]) == (trusted, eligible)
+
+
+def test_breakdown_without_derivation(spark):
+    kind = "struct<value:decimal(12,2),status:string>"
+    r = audit.breakdown(spark.createDataFrame([(money("9"), money(None, "missing"), money("10"))], f"a {kind}, b {kind}, t {kind}"), ("a", "b"), "t", derive=False).first()
+    assert r["b_state"] == "missing" and r["flags"] == ["component_missing"] and r["component_sum"] is None
+
+
+def test_canonical_text_of_every_kind(spark):
+    made = spark.sql("""select cast(100 as decimal(20,8)) as a, cast(0 as decimal(20,8)) as b, cast(-0.00000012 as decimal(20,8)) as c, cast(1200 as decimal(10,0)) as d, true as e, 5L as f, 'a"b\\\\c' || chr(10) as g,
+      date '2026-09-01' as h, timestamp '2026-09-01 05:30:00' as i, timestamp '2026-09-01 05:30:00.25' as j, array('x', null) as k, map('z', 1, 'y', null) as l, named_struct('q', 1.50, 'p', array(1)) as m, cast(null as string) as n""")
+    text = provenance.with_canonical(made, {c: F.col(c) for c in reversed(made.columns)}).first()["body"]
+    assert text == ('{"a":"100","b":"0","c":"-0.00000012","d":"1200","e":true,"f":5,"g":"a\\"b\\\\c\\n","h":"2026-09-01","i":"2026-09-01T05:30:00+00:00",'
+                    '"j":"2026-09-01T05:30:00.250000+00:00","k":["x",null],"l":{"y":null,"z":1},"m":{"p":[1],"q":"1.5"},"n":null}')
+    with pytest.raises(TypeError):
+        provenance.with_canonical(made.withColumn("x", F.lit(1.5)), {"x": F.col("x")})
+
+
+def test_seals_bind_value_inputs_and_predecessor(spark):
+    def heads(value="108.00", hashes=("ab" * 32, "cd" * 32), previous=""):
+        rows = spark.createDataFrame([("N", 1, Decimal(value), list(hashes)), ("N", 2, Decimal("109"), ["ef" * 32])], "scope string, seq int, value decimal(20,8), hashes array<string>")
+        out = provenance.sealed(rows, ["scope"], "seq", {"scope": F.col("scope"), "index_value": F.col("value"), "diagnostics": F.struct(F.lit(1).alias("n"))}, F.col("hashes"), previous)
+        return [(r["previous_hash"], r["provenance_hash"]) for r in out.orderBy("seq").collect()]
+
+    plain = heads()
+    root = hashlib.sha256(bytes.fromhex("ab" * 32 + "cd" * 32)).hexdigest()
+    body = f'{{"diagnostics":{{"n":1}},"index_value":"108","input_count":2,"inputs_root":"{root}","previous_hash":"","scope":"N"}}'
+    assert plain[0] == ("", hashlib.sha256(body.encode()).hexdigest()) and plain[1][0] == plain[0][1]
+    assert heads(hashes=("cd" * 32, "ab" * 32, "ab" * 32)) == plain and heads(value="108") == plain
+    for other in (heads(value="108.01"), heads(hashes=("ab" * 32,)), heads(previous="x")):
+        assert other[0][1] != plain[0][1] and other[1][1] != plain[1][1]
+
+
+def test_normalised_rows(spark):
+    schema = "origin string, destination string, carrier_code string, cabin string, currency string, departure_date string, observation_ts string, total_value decimal(12,2)"
+    rows = [("del", "B OM", "6e", None, None, "2026-09-08", "2026-09-01T04:00:00Z", Decimal("5")), (None,) * 8, ("DEL", "BOM", "AI", "biz", "₹", "2026-08-30T10:00", "2026-09-01", Decimal("0"))]
+    marked = normalise.normalised(spark.createDataFrame(rows, schema).withColumn("other", F.lit(1)))
+    good, bad = normalise.split(marked)
+    kept = {(r["origin"], r["destination"], r["carrier_code"], r["cabin"], r["currency"], r["days_to_departure"], *r["issues"]) for r in good.collect()}
+    assert kept == {("DEL", "BOM", "6E", "ECONOMY", "INR", 7), ("DEL", "BOM", "AI", "BUSINESS", "INR", 0, "total_fare:unusable_total")}
+    assert [r["issues"] for r in bad.collect()] == [["origin:invalid_station", "destination:invalid_station", "carrier_code:invalid_carrier", "departure_date:unparseable", "observation_ts:unparseable", "total_fare:unusable_total"]]
+
+
+def test_counters_refuse_unknown_names(spark):
+    with pytest.raises(ValueError, match="no such counter"):
+        reports.run_counters(spark.range(1), [], {"lost": F.lit(True)})
+    assert reports.run_counters(spark.range(3), [], {"currency_failures": F.col("id") == 1}).first()["written"] == 2
