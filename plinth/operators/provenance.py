@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
@@ -139,26 +140,45 @@ def lineage_checked(nodes: DataFrame, digest: str, parents: str, fields: dict[st
     return made.join(lost, made[digest] == lost["_of"], "left").drop("_of").withColumn("n_dangling", F.coalesce("n_dangling", F.lit(0)))
 
 
-def chained(rows: DataFrame, series: list[str], order: str, body: str, genesis: str = "", end: str | None = None) -> DataFrame:
-    """Each row with previous_hash and chain_hash = sha256(previous || body), along each series in its order.
+def _linked(series: list[str], order: str, body: str, with_end: bool):
+    """Batches of rows in the order of their series to batches with hashes; only the last hash is kept between rows."""
 
-    With end, the hash is over body || previous || end. A chain is serial by nature; series run side by side, each folded
-    over one array of its rows.
+    def fold(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+
+        of, last = None, ""
+        for batch in batches:
+            column = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
+            keys = list(zip(*[column[c] for c in series])) if series else [()] * batch.num_rows
+            ends = column["_chain_end"] if with_end else None
+            before, after = [], []
+            for i, (key, text, first) in enumerate(zip(keys, column[body], column["_chain_first"])):
+                of, last = (key, last) if key == of else (key, first)
+                before.append(last)
+                whole = (text or "") + last + (ends[i] or "") if with_end else last + (text or "")
+                last = hashlib.sha256(whole.encode()).hexdigest()
+                after.append(last)
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in (*series, order, body)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(before, pa.string()), pa.array(after, pa.string())], [*series, order, body, "previous_hash", "chain_hash"])
+
+    return fold
+
+
+def chained(rows: DataFrame, series: list[str], order: str, body: str, genesis: str = "", end: str | None = None, first: str | None = None) -> DataFrame:
+    """Each row with previous_hash and chain_hash = sha256(previous || body), along each series in its order (ties: the body's).
+
+    With end, the hash is over body || previous || end. A series starts from genesis, or from the column first where it
+    isn't null. Null texts count as empty. A chain is serial by nature: series run side by side, each as a sorted run
+    of its partition that is read once, so that neither its length nor the number of series needs memory.
     """
-    if end is not None:
-        rows = rows.withColumn(body, F.concat_ws("\0", body, end))
-    link = "struct<o:bigint,b:string,p:string,h:string>"
-    start = F.struct(F.lit(genesis).alias("last"), F.array().cast(f"array<{link}>").alias("done"))
-
-    def step(acc: Column, x: Column) -> Column:
-        text = F.concat(acc["last"], x["b"]) if end is None else F.replace(x["b"], F.lit("\0"), acc["last"])
-        digest = F.sha2(text, 256)
-        made = F.struct(x["o"].alias("o"), x["b"].alias("b"), acc["last"].alias("p"), digest.alias("h"))
-        return F.struct(digest.alias("last"), F.array_append(acc["done"], made).alias("done"))
-
-    steps = rows.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), F.col(body).alias("b")))).alias("steps"))
-    out = steps.select(*series, F.explode(F.aggregate("steps", start, step, lambda acc: acc["done"])).alias("x"))
-    return out.select(*series, F.col("x.o").alias(order), F.col("x.b").alias(body), F.col("x.p").alias("previous_hash"), F.col("x.h").alias("chain_hash"))
+    start = F.lit(genesis) if first is None else F.coalesce(F.col(first), F.lit(genesis))
+    more = {"_chain_first": start} | ({"_chain_end": F.col(end)} if end else {})
+    parts = rows.select(*series, F.col(order).cast("bigint").alias(order), F.col(body).cast("string").alias(body), *[c.alias(n) for n, c in more.items()])
+    runs = (parts.repartition(*series) if series else parts.repartition(1)).sortWithinPartitions(*series, order, body)
+    kind = T.StructType([*[parts.schema[c] for c in (*series, order, body)], T.StructField("previous_hash", T.StringType()), T.StructField("chain_hash", T.StringType())])
+    return runs.mapInArrow(_linked(series, order, body, end is not None), kind)
 
 
 def verified(chain: DataFrame, series: list[str], order: str, body: str) -> DataFrame:

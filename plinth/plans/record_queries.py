@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from plinth.functions import canonical
-from plinth.operators import audit, normalise, provenance, reports
+from plinth.operators import audit, ledger, normalise, provenance, reports
 from plinth.plans.reading_queries import _READ, _TOKEN, _read
-from plinth.plans.serving_queries import _FARE, _FARE_SQL
+from plinth.plans.serving_queries import _FARE, _FARE_SQL, _bodies
+from plinth.plans.serving_queries import QUERIES as SERVING
 from plinth.plans.standin import FARES_SQL, fares, feed_sql, table, uniform_sql
-from plinth.sources import synthetic
+from plinth.sources import collection, payload, synthetic
 
 _PARTS = ("base_fare", "surcharges", "taxes", "fees")
 #: Which rows (order mod 8) lack a component: by name, and with which status.
@@ -206,6 +207,47 @@ def synthetic_legacy(spark, d):
     return f.select("route", "lead_window", "flight", F.col("total").cast("double").alias("total"))
 
 
+def _answers():
+    def fetch(task):
+        n = task["seq"]
+        if n % 401 == 400:
+            raise collection.Refused("challenge", halted=True)
+        if n % 17 == 0:
+            raise collection.Refused("robots")
+        if n % 13 == 0:
+            raise TimeoutError("timeout")
+        return 200, '{"results": [{"total": %d}, {}]}' % n
+
+    return fetch
+
+
+def collection_loop(spark, d):
+    """Each source's tasks run to their end or to its halt: outcomes, and what the payloads held."""
+    e = table(spark, d, "events").select(F.concat(F.lit("s"), F.pmod("user_id", F.lit(7))).alias("source"), F.col("event_id").alias("seq"), F.pmod("event_id", F.lit(50)).alias("lead_window"))
+    done = collection.collect(e, _answers(), refused=reports.task_refused(F.lit("ECONOMY"), ("ECONOMY",), F.col("lead_window"), (1, 45)))
+    marks = done.groupBy("source", "outcome").agg(F.count("*").alias("n"))
+    found = payload.extract(done.where("outcome = 'ok'").select("source", "outcome", "payload"), payload.Mapping("$.results", {"total": "$.total"}, types={"total": "bigint"}))
+    return marks.join(found.groupBy("source", "outcome").agg(F.count("*").alias("n_results"), F.sum("total").alias("total")), ["source", "outcome"], "left")
+
+
+_LOOP = """with e as (select 's' || (user_id % 7) as source, event_id as seq, event_id % 50 not between 1 and 45 as out from events),
+h as (select source, min(seq) as stop from e where seq % 401 = 400 and not out group by source),
+o as (select e.*, case when seq > stop then 'abandoned' when out then 'refused' when seq % 401 = 400 then 'halted' when seq % 17 = 0 then 'blocked' when seq % 13 = 0 then 'failed' else 'ok' end as outcome from e left join h on h.source = e.source)
+select source, outcome, count(*) as n, case when outcome = 'ok' then 2 * count(*) end as n_results, cast(case when outcome = 'ok' then sum(seq) end as bigint) as total from o group by source, outcome"""
+
+
+def ledger_append(spark, d):
+    """The chains of chain_hash, written to a ledger in two parts: the second goes on from the heads of the first."""
+    import uuid
+
+    from plinth.lineage import shared_folder
+
+    path, bodies = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}", _bodies(spark, d)
+    ledger.append(bodies.where("year < 1996"), path, ["route"], "year", "body")
+    ledger.append(bodies.where("year >= 1996"), path, ["route"], "year", "body")
+    return spark.read.parquet(path).select("route", "year", "previous_hash", "chain_hash")
+
+
 _TASKS = "tasks as (select n_name as route, w as lead_window from nation cross join (values (1), (3), (7), (14), (20), (45), (60)) w(w))"
 _RAW = f"""with {_TASKS}, {feed_sql('standard')},
 x as (select *, case when {uniform_sql('shock')} < 0.05e0 then list_extract([{', '.join(f'{x}::decimal(4,2)' for x in synthetic.SHOCKS)}], cast(floor({uniform_sql('size')} * 5) as int) + 1) end as shock, cast(case when {uniform_sql('waived')} < 0.2e0 then 0 else 150 + 25 * floor({uniform_sql('other')} * 30) end as decimal(12,2)) as other, not gone and {uniform_sql('partial')} < 0.1e0 as part, {uniform_sql('local')} < 0.15e0 as loc from priced),
@@ -222,6 +264,8 @@ QUERIES = {
 select year, sha256('{{"base_level":"100","code":"JEVONS-LASPEYRES","min_pairs":5,"trim":"0.02"}}') as methodology, sha256('{{"weights":[' || string_agg('{{"passengers":"' || {_TOKEN.format('passengers')} || '","route":"' || route || '"}}', ',' order by route) || '],"year":' || year || '}}') as weight_set from w group by year"""),
     "sealed_series": (sealed_series, _SEALED),
     "lineage_nodes": (lineage_nodes, _NODES),
+    "ledger_append": (ledger_append, SERVING["chain_hash"][1]),
+    "collection_loop": (collection_loop, _LOOP),
     "run_counters": (run_counters, f"with {_READ} select source, count(*) as extracted, count(case when l_tax = 0.01 then 1 end) as currency_failures, 0 as canonicalisation_failures, count(case when l_linenumber = 7 then 1 end) as structural_rejects, count(case when quality_grade = 'B' then 1 end) as partial_breakdown, count(case when quality_grade = 'C' then 1 end) as total_mismatch, count(case when inventory_status = 'SOLD_OUT' then 1 end) as sold_out, count(case when total is null and inventory_status <> 'SOLD_OUT' then 1 end) as price_unavailable, count(case when is_duplicate then 1 end) as duplicates, 0 as cross_source_conflicts, count(case when is_outlier then 1 end) as outliers, count(case when l_tax <> 0.01 and l_linenumber <> 7 then 1 end) as written from read group by source"),
     "task_validation": (task_validation, f"with {_READ} select case when cabin <> 'ECONOMY' then 'unsupported cabin' when lead_window > 30 then 'beyond horizon' else 'accepted' end as reason, count(*) as n from read group by all"),
     "collection_metrics": (collection_metrics, f"with {_READ}, t as (select source, route, lead_window, observed_on, count(*) as n, max(l_tax) as s from read group by all) select source, count(*) as tasks, cast(sum(n) as bigint) as quotes, cast(sum(least(n, 3)) as bigint) as kept, count(case when n > 3 then 1 end) as truncated, round(avg(s), 6) as mean_seconds, max(s) as most_seconds from t group by source"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 CONF = {
@@ -18,3 +21,13 @@ def session(app: str = "plinth", master: str | None = None, **conf: str) -> Spar
     if master:
         builder = builder.master(master)
     return builder.config(map=CONF | conf).getOrCreate()
+
+
+@contextmanager
+def tagged(spark: SparkSession, correlation: str) -> Iterator[None]:
+    """Jobs started inside bear the correlation id as a tag, so that they are found, and can be cancelled, by it."""
+    spark.addTag(correlation)
+    try:
+        yield
+    finally:
+        spark.removeTag(correlation)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,17 +15,14 @@ def write_once(rows: DataFrame, path: str, key: str = "ingress_hash") -> tuple[i
     """Append rows whose key is new (one row a key); returns (written, skipped). Nothing there is ever changed.
 
     The new rows are those of the batch that the log lacks: an anti-join on the key, which Spark may broadcast from
-    the batch's side, so the log is read for its key column alone.
+    the batch's side, so the log is read for its key column alone. What is written is observed on the way, so only the batch is counted again.
     """
     spark = rows.sparkSession
-    fresh = rows.dropDuplicates([key])
+    written, fresh = Observation(), rows.dropDuplicates([key])
     if _exists(spark, path):
         fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-    total = rows.count()
-    before = spark.read.parquet(path).count() if _exists(spark, path) else 0
-    fresh.select(*rows.columns).write.mode("append").parquet(path)
-    written = spark.read.parquet(path).count() - before
-    return written, total - written
+    fresh.select(*rows.columns).observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return written.get["n"], rows.count() - written.get["n"]
 
 
 def upsert(rows: DataFrame, path: str, keys: list[str], order: list, partition: str) -> None:
@@ -43,7 +40,12 @@ def upsert(rows: DataFrame, path: str, keys: list[str], order: list, partition:
     cut(best).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def audit(spark: SparkSession, path: str, action: str, subject: str, before: str | None, after: str | None) -> None:
-    """Append one line to the audit log."""
-    row = spark.createDataFrame([(action, subject, before, after)], "action string, subject string, before string, after string")
-    row.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
+def audit(spark: SparkSession, path: str, *lines: tuple[str, str, str | None, str | None]) -> None:
+    """Append lines (action, subject, before, after) to the audit log, as one file."""
+    rows = spark.createDataFrame(list(lines), "action string, subject string, before string, after string")
+    audit_rows(rows.coalesce(1), path)
+
+
+def audit_rows(rows: DataFrame, path: str) -> None:
+    """Append what a job found to the audit log, with the time of the append. Nothing there is ever changed."""
+    rows.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from plinth import lineage
 from plinth.functions import canonical, challenge, robots
-from plinth.operators import audit, dedup, exact, filters, index, normalise, provenance, reports, robust, serving
-from plinth.sources import payload, sinks, synthetic
+from plinth.operators import audit, dedup, exact, filters, index, ledger, normalise, provenance, reports, robust, serving
+from plinth.sources import collection, payload, sinks, synthetic
 from plinth.streaming import events, policy
 
 
@@ -439,3 +439,78 @@ def test_counters_refuse_unknown_names(spark):
     with pytest.raises(ValueError, match="no such counter"):
         reports.run_counters(spark.range(1), [], {"lost": F.lit(True)})
     assert reports.run_counters(spark.range(3), [], {"currency_failures": F.col("id") == 1}).first()["written"] == 2
+
+
+def test_long_chains_and_null_series(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("s"), F.col("id").alias("k"), F.when(F.col("id") != 7, F.col("id").cast("string")).alias("body"), F.lit(1).alias("previous"))
+    got = {(r["s"], r["k"]): (r["previous_hash"], r["chain_hash"]) for r in provenance.chained(rows.repartition(5), ["s"], "k", "body", "g").collect()}
+    assert len(got) == 3000
+    for s, start in ((None, 0), ("s1", 1), ("s2", 2)):
+        last = "g"
+        for k in range(start, 3000, 3):
+            before, last = last, hashlib.sha256((last + ("" if k == 7 else str(k))).encode()).hexdigest()
+            assert got[s, k] == (before, last)
+
+
+def test_ledger_goes_on_from_its_heads(spark, tmp_path):
+    rows = spark.createDataFrame([(s, k, f"{s}{k}") for s in ("a", "b", None) for k in range(6)] + [("c", 4, "x")], "s string, k long, body string")
+    path = f"{tmp_path}/ledger"
+    ledger.append(rows.where("k < 3"), path, ["s"], "k", "body")
+    ledger.append(rows.where("k >= 3"), path, ["s"], "k", "body")
+    whole = provenance.chained(rows, ["s"], "k", "body")
+    assert whole.exceptAll(spark.read.parquet(path)).isEmpty() and spark.read.parquet(path).count() == 19
+    for k in (5, None):
+        with pytest.raises(ValueError):
+            ledger.append(spark.createDataFrame([("a", k, "again")], rows.schema), path, ["s"], "k", "body")
+    assert all(r["valid"] for r in ledger.checked(spark, path, ["s"], "k", "body").collect())
+
+
+def test_a_halt_ends_its_source_only(spark):
+    def fetch(task):
+        if task["what"] == "raise":
+            raise ValueError("no such page")
+        if task["what"] in ("halt", "block"):
+            raise collection.Refused("challenge", halted=task["what"] == "halt")
+        return 200, task["what"] or ""
+
+    rows = [("a", 1, "x"), ("a", 2, "halt"), ("a", 3, "x"), ("b", 1, "raise"), ("b", 2, "block"), ("b", 3, None), (None, 1, "y"), ("b", 9, "y")]
+    tasks = spark.createDataFrame(rows, "source string, seq int, what string").withColumn("error_of", F.lit(1))
+    out = collection.collect(tasks, fetch, refused=F.when(F.col("seq") == 9, "beyond horizon"))
+    got = {(r["source"], r["seq"]): (r["outcome"], r["error_kind"], r["payload"]) for r in out.collect()}
+    assert got == {
+        ("a", 1): ("ok", None, "x"), ("a", 2): ("halted", "Refused", None), ("a", 3): ("abandoned", None, None), ("b", 1): ("failed", "ValueError", None),
+        ("b", 2): ("blocked", "Refused", None), ("b", 3): ("ok", None, ""), (None, 1): ("ok", None, "y"), ("b", 9): ("refused", None, None),
+    }
+    assert collection.collect(tasks.where("false"), fetch).isEmpty()
+
+
+def test_landed_files_and_their_marks(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.json").write_text('{"x":\n 1}')
+    (tmp_path / "in" / "deep" / "b.json").write_text("not json")
+    raw = collection.landed(spark, f"{tmp_path}/in")
+    assert {(r["payload"], r["is_json"]) for r in raw.collect()} == {('{"x":\n 1}', True), ("not json", False)}
+    done = spark.createDataFrame([(hashlib.sha256(b"not json").hexdigest(),)], "ingress_hash string")
+    assert [r["is_json"] for r in collection.unprocessed(raw, done).collect()] == [True]
+    of_run = collection.unprocessed(raw.withColumn("run", F.lit("r1")), done, "r2")
+    assert of_run.isEmpty() and "run" in of_run.columns
+    table = events.run_to_table(collection.landed(spark, f"{tmp_path}/in", stream=True), "append")
+    assert table.count() == 2
+
+
+def test_audit_log_and_empty_batches(spark, tmp_path):
+    sinks.audit(spark, f"{tmp_path}/audit", ("publish", "N", None, "108"), ("withdraw", "N", "108", None))
+    sinks.audit(spark, f"{tmp_path}/audit", ("publish", "N", None, "109"))
+    assert spark.read.parquet(f"{tmp_path}/audit").where("at is not null").count() == 3
+    rows = spark.createDataFrame([("h1", 1), ("h1", 2)], "ingress_hash string, v int")
+    assert sinks.write_once(rows, f"{tmp_path}/raw") == (1, 1)
+    assert sinks.write_once(rows, f"{tmp_path}/raw") == (0, 2)
+    assert sinks.write_once(rows.where("false"), f"{tmp_path}/raw") == (0, 0)
+
+
+def test_jobs_bear_their_correlation(spark):
+    from plinth.session import tagged
+
+    with tagged(spark, "run-7"):
+        assert "run-7" in spark.getTags()
+    assert "run-7" not in spark.getTags()
