@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -53,3 +53,24 @@ def verdicts(requests: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     hits = keyed.join(chosen.where("path is not null").select("origin", F.col("path").alias("rule"), "allow"), "origin").where(F.startswith(F.col("path"), F.col("rule")))
     won = hits.groupBy("origin", "path").agg(F.max_by("allow", F.struct(F.length("rule"), "allow")).alias("rule_allows"))
     return requests.join(won, ["origin", "path"], "left").join(delays, "origin", "left").withColumn("allowed", F.coalesce("rule_allows", F.lit(True))).drop("rule_allows")
+
+
+def answered(requests: DataFrame, fetches: DataFrame, ttl: int = 86_400, fail_closed: bool = True) -> DataFrame:
+    """requests (origin, at) with what the newest robots.txt fetched by then says: mode, reason and whether it is fresh.
+
+    fetches: origin, fetched_at and status, null where the host was not reached. A file (200) is to be parsed; a host that
+    isn't reached, or answers 429 or 5xx, disallows all if fail_closed; any other answer allows all. Answers stay fresh for ttl
+    seconds, failures for a twelfth of it (a minute at least). An origin without a fresh answer is to be fetched first.
+    """
+    status = F.col("_f.status")
+    lost = status.isNull() | (status == 429) | (status >= 500)
+    asks = requests.withColumns({"_f": F.lit(None).cast("struct<status:int,fetched_at:bigint>"), "_at": F.col("at").cast("bigint"), "_asks": F.lit(1)})
+    gets = fetches.select("origin", F.struct(F.col("status").cast("int").alias("status"), F.col("fetched_at").cast("bigint").alias("fetched_at")).alias("_f"), F.col("fetched_at").cast("bigint").alias("_at"), F.lit(0).alias("_asks"))
+    both = asks.unionByName(gets, allowMissingColumns=True)
+    before = Window.partitionBy("origin").orderBy("_at", "_asks", "_f.status")
+    seen = both.withColumn("_f", F.last("_f", ignorenulls=True).over(before)).where("_asks = 1")
+    fresh = F.col("_at") - F.col("_f.fetched_at") < F.when(lost, F.lit(max(60, ttl // 12))).otherwise(F.lit(ttl))
+    known = F.col("_f").isNotNull()
+    mode = F.when(~known | ~fresh, "fetch").when(status == 200, "parse").when(lost, "disallow_all" if fail_closed else "allow_all").otherwise("allow_all")
+    reason = F.when(~known | ~fresh, "robots_stale").when(status == 200, "robots_parsed").when(status.isNull(), "robots_unreachable").when(lost, F.concat(F.lit("robots_unreachable:http_"), status)).otherwise(F.concat(F.lit("robots_unavailable:http_"), status))
+    return seen.withColumns({"mode": mode, "reason": reason}).select(*requests.columns, "mode", "reason")

@@ -16,7 +16,10 @@ DIGITS = 34
 
 
 def jevons_exact(pairs: DataFrame, cell: list[str], base: int = 100, min_pairs: int = 1) -> DataFrame:
-    """level decimal(20,8), mean_log decimal(20,12) and n_pairs of each cell, over its positive pairs without trimming."""
+    """level decimal(20,8), mean_log decimal(20,12) and n_pairs of each cell, over its positive pairs.
+
+    Nothing is trimmed here: for a trimmed index pass what index.trimmed leaves.
+    """
     kinds = dict(pairs.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in cell), "level decimal(20,8), mean_log decimal(20,12), n_pairs long"])
 
@@ -29,3 +32,27 @@ def jevons_exact(pairs: DataFrame, cell: list[str], base: int = 100, min_pairs:
 
     money = [F.col(c).cast("decimal(12,2)").alias(c) for c in ("current_price", "base_price")]
     return pairs.select(*cell, *money).where("current_price > 0 and base_price > 0").groupBy(*cell).applyInPandas(run, schema)
+
+
+def laspeyres_exact(levels: DataFrame, weights: DataFrame, by: list[str], unit: str) -> DataFrame:
+    """level decimal(20,8), coverage decimal(12,10) and n_included of each group, over the units of weights (unit, share).
+
+    Units without a level are left out, and their share goes to the others in proportion; without any, the level is null.
+    A group has one row for each unit of the weight set.
+    """
+    kinds = dict(levels.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "level decimal(20,8), coverage decimal(12,10), n_included long"])
+    frame = levels.select(*by).distinct().crossJoin(F.broadcast(weights.select(unit, F.col("share").cast("decimal(12,10)").alias("share"))))
+    rows = frame.join(levels.select(*by, unit, F.col("level").cast("decimal(20,8)").alias("level")), [*by, unit], "left")
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        ctx = Context(prec=DIGITS, rounding=ROUND_HALF_EVEN)
+        pairs = [(s, v) for s, v in zip(group["share"], group["level"]) if v is not None]
+        covered = sum((s for s, _ in pairs), Decimal(0))
+        level = None
+        if covered > 0:
+            weighted = [ctx.multiply(ctx.divide(s, covered).quantize(Decimal("1e-10"), context=ctx), v) for s, v in pairs]
+            level = sum(weighted, Decimal(0)).quantize(Decimal("1e-8"), context=ctx)
+        return pd.DataFrame([(*key, level, covered.quantize(Decimal("1e-10"), context=ctx), len(pairs))], columns=[*by, "level", "coverage", "n_included"])
+
+    return rows.groupBy(*by).applyInPandas(run, schema)

@@ -143,6 +143,20 @@ def jevons_exact(spark, d):
     return out.select(*CELL, "year", half_even(F.col("level"), 6).cast("double").alias("level"), "n_pairs")
 
 
+def _exact(spark, d):
+    return exact.jevons_exact(index.trimmed(_pairs(spark, d), [*CELL, "year"], "item", TRIM, MIN_PAIRS), [*CELL, "year"], min_pairs=MIN_PAIRS)
+
+
+def jevons_exact_trimmed(spark, d):
+    return _exact(spark, d).select(*CELL, "year", half_even(F.col("level"), 6).cast("double").alias("level"), "n_pairs")
+
+
+def laspeyres_exact(spark, d):
+    """The national index from the exact tier all the way; to six places, as its SQL is in doubles."""
+    out = exact.laspeyres_exact(_exact(spark, d), _shares(spark, d), ["lead_window", "year"], "route")
+    return out.select("lead_window", "year", half_even(F.col("level"), 6).cast("double").alias("level"), half_even(F.col("coverage"), 6).cast("double").alias("coverage"), "n_included")
+
+
 _PRICES = f"""{FARES_SQL},
 prices as (select route, lead_window, item, year, round_even(exp(avg(ln(cast(total as double)))), 2) as price, count(*) as n_observations from fares where total > 0 group by all)"""
 _PAIRS = f"""{_PRICES},
@@ -183,6 +197,8 @@ QUERIES = {
     "matched_pairs": (matched_pairs, f"with {_PAIRS} select * from pairs"),
     "jevons_untrimmed": (jevons_untrimmed, f"with {_elem(0.0, 1)} select route, lead_window, year, round_even(level, 6) as level, round_even(mean_log, 6) as mean_log, n_pairs from elementary"),
     "jevons_exact": (jevons_exact, f"with {_elem(0.0, 1)} select route, lead_window, year, round_even(level, 6) as level, n_pairs from elementary"),
+    "jevons_exact_trimmed": (jevons_exact_trimmed, f"with {_elem(TRIM, MIN_PAIRS)} select route, lead_window, year, round_even(level, 6) as level, n_pairs from elementary"),
+    "laspeyres_exact": (laspeyres_exact, f"with {_contrib()} select lead_window, year, round_even(level, 6) as level, round_even(coverage, 6) as coverage, n_included from national"),
     "jevons_trimmed": (jevons_trimmed, f"with {_elem(TRIM, MIN_PAIRS)} select route, lead_window, year, round_even(level, 6) as level, n_pairs, n_trimmed from elementary"),
     "min_pairs_suppression": (min_pairs_suppression, f"with {_elem(TRIM, 20)} select route, lead_window, year, n_pairs, is_computable from elementary"),
     "laspeyres_national": (laspeyres_national, f"with {_contrib()} select lead_window, year, round_even(level, 6) as level, round_even(coverage, 6) as coverage, n_included, n_excluded, n_pairs from national"),

@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from plinth.functions import canonical
-from plinth.operators import audit, ledger, normalise, provenance, reports
-from plinth.plans.reading_queries import _READ, _TOKEN, _read
+from plinth.functions import canonical, robots
+from plinth.operators import audit, dedup, ledger, normalise, provenance, reports
+from plinth.plans.reading_queries import _GONE, _READ, _TOKEN, _read
 from plinth.plans.serving_queries import _FARE, _FARE_SQL, _bodies
 from plinth.plans.serving_queries import QUERIES as SERVING
 from plinth.plans.standin import FARES_SQL, fares, feed_sql, table, uniform_sql
@@ -236,6 +236,39 @@ o as (select e.*, case when seq > stop then 'abandoned' when out then 'refused'
 select source, outcome, count(*) as n, case when outcome = 'ok' then 2 * count(*) end as n_results, cast(case when outcome = 'ok' then sum(seq) end as bigint) as total from o group by source, outcome"""
 
 
+def robots_answers(spark, d):
+    """Requests of each origin against the robots.txt that was fetched last: every tenth event is a fetch."""
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit("https://h"), F.pmod("user_id", F.lit(20))).alias("origin"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.pmod("event_id", F.lit(10)).alias("k"))
+    status = F.element_at(F.array(*map(F.lit, (200, 404, 429, 503)), F.lit(None).cast("int")), F.pmod(F.floor(F.col("event_id") / 10), F.lit(5)).cast("int") + 1)
+    fetches = e.where("k = 0").select("origin", F.col("at").alias("fetched_at"), status.alias("status"))
+    return robots.answered(e.where("k <> 0").drop("k"), fetches, ttl=20_000).select("event_id", "mode", "reason")
+
+
+_ROBOTS = """with e as (select event_id, 'https://h' || (user_id % 20) as origin, cast(floor(epoch(ts)) as bigint) as sec, event_id % 10 as k, list_extract([200, 404, 429, 503, null], cast((event_id // 10) % 5 as int) + 1) as status from events),
+f as (select origin, sec, status from e where k = 0 qualify row_number() over (partition by origin, sec order by status desc nulls last) = 1),
+j as (select e.event_id, e.sec, f.sec as got, f.status, f.status is null or f.status = 429 or f.status >= 500 as lost from e asof left join f on e.origin = f.origin and e.sec >= f.sec where e.k <> 0),
+m as (select *, got is null or sec - got >= case when lost then 1666 else 20000 end as stale from j)
+select event_id, case when stale then 'fetch' when status = 200 then 'parse' when lost then 'disallow_all' else 'allow_all' end as mode, case when stale then 'robots_stale' when status = 200 then 'robots_parsed' when status is null then 'robots_unreachable' when lost then 'robots_unreachable:http_' || status else 'robots_unavailable:http_' || status end as reason from m"""
+
+
+def legacy_digests(spark, d):
+    """The older identity of a quote (hour of observation, quarter hour of departure without a flight number) and its content."""
+    t, r = dedup.token, _read(spark, d)
+    at = F.concat(F.lpad(F.pmod("l_orderkey", F.lit(24)), 2, "0"), F.lit(":"), F.lpad(F.pmod("l_orderkey", F.lit(60)), 2, "0"))
+    flight = F.when(F.col("l_linenumber") % 2 == 0, F.concat("carrier", "l_linenumber"))
+    hour = canonical.window_floor(F.col("observed_on").cast("timestamp") + F.expr("interval 1 minute") * F.pmod("l_orderkey", F.lit(600)))
+    parts = [t(F.left("route", F.lit(3))), t(F.right("route", F.lit(1))), t(F.col("departure")), t(F.col("carrier")), t(F.coalesce(flight, canonical.minute_bucket(at))), t(F.col("cabin")), t(F.lit("INR")), t(hour, "timestamp"), t(F.col("lead_window"))]
+    none = F.lit(None).cast("decimal(12,2)")
+    r = r.withColumn("identity", dedup.digest(parts))
+    return r.select("fare", "identity", dedup.digest([t(F.col("identity")), t(F.col("total"), "decimal"), *[t(none, "decimal")] * 4]).alias("content"))
+
+
+_LEGACY = f"""with {_READ}, k as (select *, (l_orderkey % 60) // 15 * 15 as quarter, cast(observed_on as timestamp) + interval 1 hour * ((l_orderkey % 600) // 60) as hour from read),
+i as (select fare, total, sha256(upper(left(route, 3)) || chr(31) || right(route, 1) || chr(31) || departure || chr(31) || upper(carrier) || chr(31) || case when l_linenumber % 2 = 0 then upper(carrier) || l_linenumber else lpad(cast(l_orderkey % 24 as varchar), 2, '0') || ':' || lpad(cast(quarter as varchar), 2, '0') end
+  || chr(31) || cabin || chr(31) || 'INR' || chr(31) || strftime(hour, '%Y-%m-%dT%H:%M:%S') || '+00:00' || chr(31) || lead_window) as identity from k)
+select fare, identity, sha256(upper(identity) || chr(31) || coalesce({_TOKEN.format('total')}, {_GONE}) || repeat(chr(31) || {_GONE}, 4)) as content from i"""
+
+
 def ledger_append(spark, d):
     """The chains of chain_hash, written to a ledger in two parts: the second goes on from the heads of the first."""
     import uuid
@@ -264,6 +297,8 @@ QUERIES = {
 select year, sha256('{{"base_level":"100","code":"JEVONS-LASPEYRES","min_pairs":5,"trim":"0.02"}}') as methodology, sha256('{{"weights":[' || string_agg('{{"passengers":"' || {_TOKEN.format('passengers')} || '","route":"' || route || '"}}', ',' order by route) || '],"year":' || year || '}}') as weight_set from w group by year"""),
     "sealed_series": (sealed_series, _SEALED),
     "lineage_nodes": (lineage_nodes, _NODES),
+    "robots_answers": (robots_answers, _ROBOTS),
+    "legacy_digests": (legacy_digests, _LEGACY),
     "ledger_append": (ledger_append, SERVING["chain_hash"][1]),
     "collection_loop": (collection_loop, _LOOP),
     "run_counters": (run_counters, f"with {_READ} select source, count(*) as extracted, count(case when l_tax = 0.01 then 1 end) as currency_failures, 0 as canonicalisation_failures, count(case when l_linenumber = 7 then 1 end) as structural_rejects, count(case when quality_grade = 'B' then 1 end) as partial_breakdown, count(case when quality_grade = 'C' then 1 end) as total_mismatch, count(case when inventory_status = 'SOLD_OUT' then 1 end) as sold_out, count(case when total is null and inventory_status <> 'SOLD_OUT' then 1 end) as price_unavailable, count(case when is_duplicate then 1 end) as duplicates, 0 as cross_source_conflicts, count(case when is_outlier then 1 end) as outliers, count(case when l_tax <> 0.01 and l_linenumber <> 7 then 1 end) as written from read group by source"),

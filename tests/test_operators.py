@@ -514,3 +514,21 @@ def test_jobs_bear_their_correlation(spark):
     with tagged(spark, "run-7"):
         assert "run-7" in spark.getTags()
     assert "run-7" not in spark.getTags()
+
+
+def test_exact_laspeyres_leaves_out_and_renormalises(spark):
+    levels = spark.createDataFrame([(1, "a", Decimal("110")), (1, "b", None), (2, "a", Decimal("110")), (2, "b", Decimal("90")), (3, "a", None)], "w int, route string, level decimal(20,8)")
+    weights = spark.createDataFrame([("a", Decimal("0.6")), ("b", Decimal("0.4"))], "route string, share decimal(12,10)")
+    got = {r["w"]: (r["level"], r["coverage"], r["n_included"]) for r in exact.laspeyres_exact(levels, weights, ["w"], "route").collect()}
+    assert got == {1: (Decimal("110"), Decimal("0.6"), 1), 2: (Decimal("102"), Decimal("1"), 2), 3: (None, Decimal("0"), 0)}
+
+
+@pytest.mark.parametrize("status, at, closed, mode, reason", [
+    (200, 1000, True, "parse", "robots_parsed"), (200, 87_400, True, "fetch", "robots_stale"), (404, 1000, True, "allow_all", "robots_unavailable:http_404"), (503, 1000, True, "disallow_all", "robots_unreachable:http_503"),
+    (503, 8200, True, "fetch", "robots_stale"), (429, 1000, False, "allow_all", "robots_unreachable:http_429"), (None, 1000, True, "disallow_all", "robots_unreachable"), (200, 999, True, "fetch", "robots_stale"),
+])
+def test_robots_answers_age_and_fail_closed(spark, status, at, closed, mode, reason):
+    asks = spark.createDataFrame([("https://h", at, 1)], "origin string, at long, more int")
+    fetches = spark.createDataFrame([("https://h", 1000, status), ("https://other", 0, 200)], "origin string, fetched_at long, status int")
+    out = robots.answered(asks, fetches, fail_closed=closed)
+    assert out.columns == ["origin", "at", "more", "mode", "reason"] and [(r["mode"], r["reason"]) for r in out.collect()] == [(mode, reason)]
