@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import decontaminate, html_extract, licenses, near_dedup, packing, pii, quality_classifier, quality_rules, records, url_filter
+from plinth.llm import decontaminate, html_extract, licenses, merkle_manifest, near_dedup, packing, periodic_runs, pii, quality_classifier, quality_rules, records, secret_scan, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": decontaminate.op8,
         "op9_quality_rules": quality_rules.op9,
         "op10_token_records": records.op10,
+        "op11_merkle_manifest": merkle_manifest.op11,
+        "op12_secret_crf": secret_scan.op12,
+        "op13_periodic_runs": periodic_runs.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": url_filter.op6_sql(), "op7_license_scan": licenses.op7_sql()}
+    return {"op6_url_filter": url_filter.op6_sql(), "op7_license_scan": licenses.op7_sql(), "op11_merkle_manifest": merkle_manifest.op11_sql()}
