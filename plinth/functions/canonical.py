@@ -89,19 +89,17 @@ def minute_bucket(hhmm: Column, minutes: int = 15) -> Column:
     return F.when(total.isNull(), hhmm).otherwise(F.concat(F.lpad((low / 60).cast("int").cast("string"), 2, "0"), F.lit(":"), F.lpad((low % 60).cast("string"), 2, "0")))
 
 
-def fold_flight(raw: Column) -> Column:
-    """Carrier and number of texts like '6E 0615' or 'AI-202', as a struct; null where there are none."""
-    pattern = r"^\s*([A-Z0-9]{2})\s*-?\s*0*([0-9]{1,4})\s*$"
-    up = F.upper(raw)
-    return F.when(F.regexp_like(up, F.lit(pattern)), F.struct(F.regexp_extract(up, pattern, 1).alias("carrier"), F.regexp_extract(up, pattern, 2).alias("number")))
-
-
 def clock_time(raw: Column) -> Column:
-    """HH:MM from 24-hour or AM/PM text; else null."""
-    pattern = r"^\s*([0-9]{1,2}):([0-9]{2})\s*([AaPp][Mm])?\s*$"
-    hour, half = F.regexp_extract(raw, pattern, 1).try_cast("int"), F.upper(F.regexp_extract(raw, pattern, 3))
-    hour = F.when(half == "PM", hour % 12 + 12).when(half == "AM", hour % 12).otherwise(hour)
-    return F.when(F.regexp_like(raw, F.lit(pattern)) & (hour < 24), F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.regexp_extract(raw, pattern, 2)))
+    """HH:MM of a day of 24 hours, from texts with a colon, a point or nothing between, and AM or PM or neither; else null.
+
+    PM adds to hours below 12 only, and AM takes from 12 only, so 13:00 AM is 13:00.
+    """
+    pattern = r"^([0-9]{1,2})[:.]?([0-9]{2})\s*(AM|PM)?$"
+    text = F.upper(F.trim(F.regexp_replace(raw, r"\s+", " ")))
+    hour, minute, half = (F.regexp_extract(text, pattern, g) for g in (1, 2, 3))
+    hour, minute = hour.try_cast("int"), minute.try_cast("int")
+    hour = F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
+    return F.when((hour < 24) & (minute < 60), F.format_string("%02d:%02d", hour, minute))
 
 
 def url_origin(url: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.operators.provenance import chained, verified
-from plinth.sources.sinks import _exists
+from plinth.sources.sinks import exists
 
 
 def heads(ledger: DataFrame, series: list[str], order: str) -> DataFrame:
@@ -25,7 +25,7 @@ def append(rows: DataFrame, path: str, series: list[str], order: str, body: str)
     """
     spark = rows.sparkSession
     parts = rows.select(*series, F.col(order).cast("bigint").alias(order), body)
-    held = heads(spark.read.parquet(path), series, order) if _exists(spark, path) else None
+    held = heads(spark.read.parquet(path), series, order) if exists(spark, path) else None
     if held is None:
         parts = parts.withColumns({"_last": F.lit(None).cast("bigint"), "_head": F.lit(None).cast("string")})
     else:

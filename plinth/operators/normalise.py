@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.functions.canonical import clock_time
 from plinth.functions.money import fold
 
 #: Cabin words and currency signs of the older profile: fixed values.
@@ -14,7 +15,7 @@ CABINS = {
     "BUSINESS": ("c", "j", "biz", "business", "business class"),
     "FIRST": ("f", "first", "first class"),
 }
-SIGNS = {"₹": "INR", "rs": "INR", "rs.": "INR", "₨": "INR", "$": "USD", "us$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
+SIGNS = {"₹": "INR", "rs": "INR", "rs.": "INR", "₨": "INR", "$": "USD", "us$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "د.إ": "AED", "s$": "SGD", "฿": "THB"}
 
 
 def _given(c: Column, otherwise: str = "") -> Column:
@@ -47,7 +48,8 @@ def flight(c: Column) -> Column:
 
 def normalised(rows: DataFrame, total: str = "total_value") -> DataFrame:
     """rows with origin, destination, carrier_code, cabin, currency, departure_date and observation_ts as they should be,
-    days_to_departure, issues (field and code of all that failed) and is_clean.
+    days_to_departure (as given, or from the two times; never below none), issues (field and code of all that failed) and is_clean.
+    A departure_time, where rows have one, becomes HH:MM or null, which is no issue.
 
     An unusable total (null, zero or less) is an issue; only an unknown one, or a field that can't be read, rejects the row.
     """
@@ -65,7 +67,11 @@ def normalised(rows: DataFrame, total: str = "total_value") -> DataFrame:
     known = amount.isNotNull()
     for name in codes:
         known = known & F.col(name).isNotNull()
-    ahead = F.greatest(F.datediff("departure_date", F.to_date("observation_ts")), F.lit(0))
+    counted = F.datediff("departure_date", F.to_date("observation_ts"))
+    given = F.col("days_to_departure").cast("int") if "days_to_departure" in rows.columns else F.lit(None).cast("int")
+    ahead = F.greatest(F.coalesce(given, counted), F.lit(0))
+    if "departure_time" in rows.columns:
+        out = out.withColumn("departure_time", clock_time(F.col("departure_time")))
     return out.withColumns({"days_to_departure": ahead, "issues": issues, "is_clean": known})
 
 

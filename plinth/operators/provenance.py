@@ -221,7 +221,3 @@ def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", mo
 def dangling(edges: DataFrame, nodes: DataFrame, parent: str = "parent", node: str = "node") -> DataFrame:
     """Edges whose parent is not a node."""
     return edges.join(nodes, edges[parent] == nodes[node], "left_anti")
-
-
-def nodes_verified(nodes: DataFrame, digest: str, body: str) -> DataFrame:
-    return nodes.withColumn("intact", F.sha2(F.col(body), 256) == F.col(digest))

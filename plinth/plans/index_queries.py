@@ -194,7 +194,7 @@ versions as (select route, passengers, make_date(year, 1, 1) as valid_from, case
 QUERIES = {
     "geomean_item_price": (geomean_item_price, f"with {_PRICES} select * from prices"),
     "base_period_price": (base_period_price, f"with {_PRICES} select route, lead_window, item, price, n_observations from prices where year = {BASE_YEAR}"),
-    "matched_pairs": (matched_pairs, f"with {_PAIRS} select * from pairs"),
+    "matched_pairs": (matched_pairs, f"with {_PRICES}, both_ as (select *, max(case when year = {BASE_YEAR} and price > 0 then price end) over (partition by route, lead_window, item) as base_price from prices) select route, lead_window, item, year, price as current_price, base_price from both_ where year > {BASE_YEAR} and base_price is not null"),
     "jevons_untrimmed": (jevons_untrimmed, f"with {_elem(0.0, 1)} select route, lead_window, year, round_even(level, 6) as level, round_even(mean_log, 6) as mean_log, n_pairs from elementary"),
     "jevons_exact": (jevons_exact, f"with {_elem(0.0, 1)} select route, lead_window, year, round_even(level, 6) as level, n_pairs from elementary"),
     "jevons_exact_trimmed": (jevons_exact_trimmed, f"with {_elem(TRIM, MIN_PAIRS)} select route, lead_window, year, round_even(level, 6) as level, n_pairs from elementary"),
@@ -209,7 +209,7 @@ QUERIES = {
     "weight_overlap_check": (weight_overlap_check, f"with {_VERSIONS}, moved as (select route, case when year(valid_from) = 1997 then date '1996-07-01' else valid_from end as valid_from, valid_to from versions), o as (select *, row_number() over (partition by route order by valid_from, valid_to nulls last) as rn from moved) select route, valid_from, valid_to from o where exists (select 1 from o e where e.route = o.route and e.rn < o.rn and (e.valid_to is null or e.valid_to > o.valid_from))"),
     "weight_overlap_nested": (weight_overlap_nested, f"with {_VERSIONS}, moved as (select route, valid_from, case when year(valid_from) = {BASE_YEAR} then cast(valid_from + interval '5 years' as date) else valid_to end as valid_to from versions), o as (select *, row_number() over (partition by route order by valid_from, valid_to nulls last) as rn from moved) select route, valid_from, valid_to from o where exists (select 1 from o e where e.route = o.route and e.rn < o.rn and (e.valid_to is null or e.valid_to > o.valid_from))"),
     "chain_link_series": (chain_link_series, f"with {FARES_SQL}, y as (select route, year, exp(avg(ln(cast(total as double)))) as mean from fares where total > 0 group by route, year), l as (select route, year, coalesce(mean / lag(mean) over (partition by route order by year), 1.0) as relative from y) select route, year, round_even(round_even(100 * exp(sum(ln(relative)) over (partition by route order by year)), 8), 6) as level from l"),
-    "growth_rates": (growth_rates, f"with {FARES_SQL}, p as (select route, observed_on, round_even(exp(avg(ln(cast(total as double)))), 2) as price from fares where total > 0 group by route, observed_on) select a.route, a.observed_on, round_even(case when b.price > 0 then (a.price / b.price - 1) * 100 end, 6) as day_on_day, round_even(case when c.price > 0 then (a.price / c.price - 1) * 100 end, 6) as year_on_year from p a left join p b on b.route = a.route and b.observed_on = a.observed_on - 1 left join p c on c.route = a.route and c.observed_on = a.observed_on - 365"),
+    "growth_rates": (growth_rates, f"with {FARES_SQL}, p as (select route, observed_on, round_even(exp(avg(ln(cast(total as double)))), 2) as price from fares where total > 0 group by route, observed_on), b as (select *, max(price) over (partition by route order by observed_on range between interval 1 day preceding and interval 1 day preceding) as d1, max(price) over (partition by route order by observed_on range between interval 365 days preceding and interval 365 days preceding) as d365 from p) select route, observed_on, round_even(case when d1 > 0 then (price / d1 - 1) * 100 end, 6) as day_on_day, round_even(case when d365 > 0 then (price / d365 - 1) * 100 end, 6) as year_on_year from b"),
     "publishability": (publishability, f"with {_contrib(20)} select lead_window, year, level is not null and level > 0 and coverage >= 0.8 as is_published, case when level is null then 'no level' when level <= 0 or coverage < 0.8 then 'coverage' end as why, n_included, n_excluded from national"),
     "elementary_and_national": (elementary_and_national, f"with {_contrib()} select route, lead_window, year, round_even(level, 6) as level from elementary where is_computable union all select null, lead_window, year, round_even(level, 6) from national"),
 }

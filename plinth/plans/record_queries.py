@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import functions as F
 
@@ -253,7 +253,7 @@ select event_id, case when stale then 'fetch' when status = 200 then 'parse' whe
 
 def legacy_digests(spark, d):
     """The older identity of a quote (hour of observation, quarter hour of departure without a flight number) and its content."""
-    t, r = dedup.token, _read(spark, d)
+    t, r = partial(dedup.token, blank=dedup.BLANK), _read(spark, d)
     at = F.concat(F.lpad(F.pmod("l_orderkey", F.lit(24)), 2, "0"), F.lit(":"), F.lpad(F.pmod("l_orderkey", F.lit(60)), 2, "0"))
     flight = F.when(F.col("l_linenumber") % 2 == 0, F.concat("carrier", "l_linenumber"))
     hour = canonical.window_floor(F.col("observed_on").cast("timestamp") + F.expr("interval 1 minute") * F.pmod("l_orderkey", F.lit(600)))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of any file system that Spark knows."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
@@ -19,7 +20,7 @@ def write_once(rows: DataFrame, path: str, key: str = "ingress_hash") -> tuple[i
     """
     spark = rows.sparkSession
     written, fresh = Observation(), rows.dropDuplicates([key])
-    if _exists(spark, path):
+    if exists(spark, path):
         fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
     fresh.select(*rows.columns).observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
     return written.get["n"], rows.count() - written.get["n"]
@@ -29,7 +30,7 @@ def upsert(rows: DataFrame, path: str, keys: list[str], order: list, partition:
     """The first row of each key in order wins, among rows and what the touched partitions hold; only those are rewritten."""
     spark = rows.sparkSession
     incoming = rows.withColumn("_new", F.lit(0))
-    if _exists(spark, path):
+    if exists(spark, path):
         touched = rows.select(partition).distinct()
         held = spark.read.parquet(path).join(touched, partition, "left_semi").withColumn("_new", F.lit(1))
         incoming = incoming.unionByName(held.select(*rows.columns, "_new"))
