@@ -32,33 +32,43 @@ def _folded(nodes: Column, levels: int, alone: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), nodes, lambda level, _: F.when(alone & (F.size(level) <= 1), level).otherwise(_level_up(level)))
 
 
-def merkle_by(rows: DataFrame, by: list[str], leaf: str, levels: int = 10, prefix: int = 4) -> DataFrame:
+def _beside(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left joined with right on equal or equally missing keys; left's keys stay."""
+    named = right.withColumnsRenamed({k: f"_of_{i}" for i, k in enumerate(on)})
+    return left.join(named, reduce(and_, [left[k].eqNullSafe(named[f"_of_{i}"]) for i, k in enumerate(on)])).drop(*[f"_of_{i}" for i in range(len(on))])
+
+
+def merkle_by(rows: DataFrame, by: list[str], leaf: str, levels: int = 10, prefix: int | None = None) -> DataFrame:
     """The root over each group's distinct leaves in order, however many they are.
 
-    Leaves get their places by counting over their leading `prefix` signs (digests spread evenly over those), then are folded in
-    subtrees of 2^levels leaves, and those once more, so that no array holds a group: the last one has a root of each
-    4^levels leaves.
+    A group of no more than 2^levels rows is one array, and folded at once. Leaves of others get their places by counting over their
+    leading signs (digests spread evenly over those), as many signs as leave 2^levels leaves to each (or prefix, for all groups); then
+    they are folded in subtrees of 2^levels leaves, and those once more, so that no array holds a group: the last one has a root of
+    each 4^levels leaves.
     """
-    start = F.substring(F.col("_leaf"), 1, prefix)
-    parts = rows.select(*by, F.col(leaf).alias("_leaf")).groupBy(*by, start.alias("_start")).agg(F.array_sort(F.collect_set("_leaf")).alias("_leaves"))
+    signs = F.greatest(F.ceil(F.log(F.col("_rows") / (1 << levels)) / F.log(F.lit(16.0))), F.lit(0)) if prefix is None else F.lit(prefix)
+    rows = rows.select(*by, F.col(leaf).alias("_leaf"))
+    rows = _beside(rows, rows.groupBy(*by).agg(F.count("*").alias("_rows")).select(*by, signs.cast("int").alias("_signs")), by)
+    parts = rows.groupBy(*by, F.substring(F.col("_leaf"), F.lit(1), F.col("_signs")).alias("_start"), "_signs").agg(F.array_sort(F.collect_set("_leaf")).alias("_leaves"))
+    # a group that is one array goes on as its root alone, or as nothing
+    root = F.filter(F.array(F.when(F.size("_leaves") > 0, merkle_root(F.col("_leaves"), levels))), lambda x: x.isNotNull())
+    parts = parts.select(*by, "_start", F.size("_leaves").cast("long").alias("_leaf_count"), F.when(F.col("_signs") == 0, root).otherwise(F.col("_leaves")).alias("_leaves"))
     keys = [*by, "_start"]
-    sizes = parts.select(*keys, F.size("_leaves").cast("long").alias("_size"))
-    before = Window.partitionBy(*by).orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_n": F.sum("_size").over(Window.partitionBy(*by))}).drop("_size")
-    sizes = sizes.withColumnsRenamed({k: f"_of_{i}" for i, k in enumerate(keys)})
-    same = [parts[k].eqNullSafe(sizes[f"_of_{i}"]) for i, k in enumerate(keys)]
-    placed = parts.join(sizes, reduce(and_, same)).select(*by, "_n", "_before", F.posexplode_outer("_leaves").alias("_at", "_node"))
-    nodes = placed.select(*by, "_n", (F.col("_before") + F.col("_at")).alias("_at"), "_node").where("_node is not null or _n = 0")
+    sizes = parts.select(*keys, "_leaf_count", F.size("_leaves").cast("long").alias("_size"))
+    whole, before = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_n": F.sum("_size").over(whole), "_count": F.sum("_leaf_count").over(whole)}).drop("_size", "_leaf_count")
+    placed = _beside(parts, sizes, keys).select(*by, "_count", "_n", "_before", F.posexplode_outer("_leaves").alias("_at", "_node"))
+    nodes = placed.select(*by, "_count", "_n", (F.col("_before") + F.col("_at")).alias("_at"), "_node").where("_node is not null or _n = 0")
     left = F.col("_n")
     for _ in range(2):
         subtree = F.floor(F.col("_at") / (1 << levels)).cast("long")
-        nodes = nodes.groupBy(*by, "_n", subtree.alias("_at")).agg(F.array_sort(F.collect_list(F.struct("_at", "_node"))).alias("_nodes"))
+        nodes = nodes.groupBy(*by, "_count", "_n", subtree.alias("_at")).agg(F.array_sort(F.collect_list(F.struct("_at", "_node"))).alias("_nodes"))
         # a subtree beside others is folded over all its levels, where its odd last node is paired with itself; a lone one ends at its root
         alone, left = left <= (1 << levels), F.ceil(left / (1 << levels))
         fold = _folded(F.transform("_nodes", lambda x: x["_node"]), levels, alone)
-        nodes = nodes.select(*by, "_n", "_at", F.get(fold, F.lit(0)).alias("_node"))
-    top = nodes.groupBy(*by, "_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_node"))), lambda x: x["_node"]).alias("_nodes"))
-    return top.select(*by, F.col("_n").alias("n_leaves"), F.when(F.col("_n") == 0, F.lit(EMPTY)).otherwise(merkle_root(F.col("_nodes"))).alias("root"))
+        nodes = nodes.select(*by, "_count", "_n", "_at", F.get(fold, F.lit(0)).alias("_node"))
+    top = nodes.groupBy(*by, "_count", "_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_node"))), lambda x: x["_node"]).alias("_nodes"))
+    return top.select(*by, F.col("_count").alias("n_leaves"), F.when(F.col("_n") == 0, F.lit(EMPTY)).otherwise(merkle_root(F.col("_nodes"))).alias("root"))
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:

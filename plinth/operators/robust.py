@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.rounding import SCORE_DP, half_even
+from plinth.lineage import written
 
 #: Scale constants: the normal's upper quartile, and the square root of pi / 2 as rounded there: fixed values.
 MAD_SCALE, MEAN_SCALE = 0.6745, 1.253314
@@ -74,19 +75,42 @@ def median_by_rank(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return ranked.where("r in ((n + 1) div 2, (n + 2) div 2)").groupBy(*by).agg(F.avg(value).alias("median"))
 
 
-def centres(rows: DataFrame, by: list[str], value: str, log: bool | None = None) -> DataFrame:
-    """Per stratum: n, whether logs are used (only where all values are positive), median, MAD and mean deviation.
+#: Values of a stratum that one task may hold as an exact percentile's counts: some 100 MB.
+ONE_TASK = 1 << 20
 
-    Rows are read once, into counts of values; all else works on those, and no stratum is sorted in one task.
+
+def centres(rows: DataFrame, by: list[str], value: str, log: bool | None = None, one_task: int = ONE_TASK) -> DataFrame:
+    """Per stratum: n, whether logs are used (only where all values are positive), median, MAD and mean deviation; all exact.
+
+    Where no stratum has more than one_task values, two aggregates of exact percentiles find them, with a stratum's counts of values
+    in one task at most. Beyond that no stratum is ever in one task: see spread_centres().
+    """
+    x = F.col(value).cast("double")
+    known = rows.where(x.isNotNull()).select(*by, x.alias("x"))
+    most = known.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if most is not None and most > one_task:
+        return spread_centres(rows, by, value, log)
+    uses = F.min("x") > 0 if log is None or log else F.lit(False)
+    mid = known.groupBy(*by).agg(F.count("*").alias("n"), uses.alias("uses_log"), F.percentile("x", F.lit(0.5)).alias("_plain"), F.percentile(F.ln("x"), F.lit(0.5)).alias("_log"))
+    mid = mid.select(*by, "n", "uses_log", F.when(F.col("uses_log"), F.col("_log")).otherwise(F.col("_plain")).alias("centre"))
+    off = F.abs(F.when(F.col("uses_log"), F.ln("x")).otherwise(F.col("x")) - F.col("centre"))
+    return known.join(mid, by).groupBy(*by).agg(*[F.first(c).alias(c) for c in ("n", "uses_log", "centre")], F.percentile(off, F.lit(0.5)).alias("mad"), F.avg(off).alias("mean_deviation"))
+
+
+def spread_centres(rows: DataFrame, by: list[str], value: str, log: bool | None = None) -> DataFrame:
+    """As centres(), whatever a stratum's size: rows are read once, into counts of values, and no stratum is sorted in one task.
+
+    Counts and deviations are used several times each, so they are written once each (see lineage.written), where a plan of all would
+    read the rows again and again.
     """
-    counts = value_counts(rows, by, value)
+    counts = written(value_counts(rows, by, value))
     if log is None or log:
         level = counts.groupBy(*by).agg((F.min("x") > 0).alias("uses_log"))
         work = counts.join(level, by).select(*by, "uses_log", F.when(F.col("uses_log"), F.ln("x")).otherwise(F.col("x")).alias("w"), "k")
     else:
         work = counts.select(*by, F.lit(False).alias("uses_log"), F.col("x").alias("w"), "k")
     mid = quantiles_of_counts(work, [*by, "uses_log"], "w", "k", {"centre": 0.5}).drop("n", "mean", "uses_log")
-    off = work.join(mid, by).select(*by, "uses_log", "centre", F.abs(F.col("w") - F.col("centre")).alias("d"), "k")
+    off = written(work.join(mid, by).select(*by, "uses_log", "centre", F.abs(F.col("w") - F.col("centre")).alias("d"), "k"))
     scale = quantiles_of_counts(off, [*by, "uses_log", "centre"], "d", "k", {"mad": 0.5})
     return scale.select(*by, "n", "uses_log", "centre", "mad", F.col("mean").alias("mean_deviation"))
 

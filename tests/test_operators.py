@@ -532,3 +532,26 @@ def test_robots_answers_age_and_fail_closed(spark, status, at, closed, mode, rea
     fetches = spark.createDataFrame([("https://h", 1000, status), ("https://other", 0, 200)], "origin string, fetched_at long, status int")
     out = robots.answered(asks, fetches, fail_closed=closed)
     assert out.columns == ["origin", "at", "more", "mode", "reason"] and [(r["mode"], r["reason"]) for r in out.collect()] == [(mode, reason)]
+
+
+def test_merkle_by_with_signs_for_large_groups_only(spark):
+    """Without a given prefix, groups of up to 2^levels rows are folded at once and larger ones by as many signs as they need."""
+    leaves = {g: sorted(hashlib.sha256(f"{g}{i}".encode()).hexdigest() for i in range(n)) for g, n in {None: 300, "a": 1, "b": 8, "c": 9, "d": 700, "none": 0}.items()}
+    rows = [(g, x) for g, xs in leaves.items() for x in [*xs, None]]
+    out = provenance.merkle_by(spark.createDataFrame(rows, "g string, leaf string"), ["g"], "leaf", 3).collect()
+    big = provenance.merkle_by(spark.createDataFrame(rows, "g string, leaf string"), ["g"], "leaf", 5).collect()
+    want = {g: (len(xs), merkle(xs)) for g, xs in leaves.items() if len(xs) <= 64}
+    assert {r["g"]: (r["n_leaves"], r["root"]) for r in out if r["g"] in want} == want
+    assert {r["g"]: (r["n_leaves"], r["root"]) for r in big} == {g: (len(xs), merkle(xs)) for g, xs in leaves.items()}
+
+
+def test_centres_are_the_same_however_large_a_stratum_is(spark):
+    from plinth.operators import robust
+
+    rows = spark.createDataFrame([(f"s{i % 7}", float((i * 37) % 101 - (20 if i % 7 == 3 else 0))) for i in range(400)] + [("one", 5.0), ("same", 2.0), ("same", 2.0), ("gone", None)], "s string, v double")
+    for log in (None, False):
+        a, b = ({r["s"]: r for r in robust.centres(rows, ["s"], "v", log, one_task=size).collect()} for size in (1 << 20, 0))
+        assert a.keys() == b.keys() and len(a) == 9
+        for s, r in a.items():
+            assert (r["n"], r["uses_log"]) == (b[s]["n"], b[s]["uses_log"])
+            assert [r[c] for c in ("centre", "mad", "mean_deviation")] == pytest.approx([b[s][c] for c in ("centre", "mad", "mean_deviation")], rel=1e-12, abs=1e-12)
