@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.rounding import GROWTH_DP, LEVEL_DP, PRICE_DP, SHARE_DP, half_even
+from plinth.operators.intervals import contained
 
 
 def geomean(value: Column) -> Column:
@@ -66,7 +67,7 @@ def shares(weights: DataFrame, by: list[str], quantity: str = "passengers", plac
 
 def weights_in_force(weights: DataFrame, days: DataFrame) -> DataFrame:
     """For each day the weight rows of half-open validity [valid_from, valid_to); an open end is null."""
-    return days.join(weights, (F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("day"))))
+    return contained(days, "day", weights, "valid_from", "valid_to")
 
 
 def overlapping_weights(weights: DataFrame, by: list[str]) -> DataFrame:

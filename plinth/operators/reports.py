@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.operators.intervals import contained
+
 from plinth.operators.provenance import canonical_json
 
 REPORTED = 200
@@ -54,11 +56,14 @@ def counted_page(rows: DataFrame, order: list[Column], number: int, size: int, k
 
 
 def in_force(versions: DataFrame, days: DataFrame, day: str = "day", since: str = "effective_from", version: str = "version") -> DataFrame:
-    """For each day the newest version with since <= day, ties to the highest version; days before any have nulls."""
+    """For each day the newest version with since <= day, ties to the highest version; days before any have nulls.
+
+    A version ends where the next one begins, so each day is in one interval at most. Versions (a row each) are put in order in one task.
+    """
     rest = [c for c in versions.columns if c not in days.columns]
-    joined = days.join(versions, F.col(since) <= F.col(day), "left")
-    best = joined.groupBy(*days.columns).agg(F.max_by(F.struct(*rest), F.struct(since, version)).alias("_v"))
-    return best.select(*days.columns, *[F.col(f"_v.{c}").alias(c) for c in rest])
+    newest = versions.where(F.col(since).isNotNull()).groupBy(F.col(since).alias("_since")).agg(F.max_by(F.struct(*rest), version).alias("_v"))
+    spans = newest.withColumn("_until", F.lead("_since").over(Window.orderBy("_since")))
+    return contained(days, day, spans, "_since", "_until", "left").select(*days.columns, *[F.col(f"_v.{c}").alias(c) for c in rest])
 
 
 def strict_shares(weights: DataFrame, unit: str, quantity: str, places: int = 8) -> DataFrame:
