@@ -278,7 +278,7 @@ def ledger_append(spark, d):
     path, bodies = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}", _bodies(spark, d)
     ledger.append(bodies.where("year < 1996"), path, ["route"], "year", "body")
     ledger.append(bodies.where("year >= 1996"), path, ["route"], "year", "body")
-    return spark.read.parquet(path).select("route", "year", "previous_hash", "chain_hash")
+    return ledger.records(spark, path, bodies.select("route").schema, "year", "body").select("route", "year", "previous_hash", "chain_hash")
 
 
 _TASKS = "tasks as (select n_name as route, w as lead_window from nation cross join (values (1), (3), (7), (14), (20), (45), (60)) w(w))"

@@ -16,14 +16,21 @@ def write_once(rows: DataFrame, path: str, key: str = "ingress_hash") -> tuple[i
     """Append rows whose key is new (one row a key); returns (written, skipped). Nothing there is ever changed.
 
     The new rows are those of the batch that the log lacks: an anti-join on the key, which Spark may broadcast from
-    the batch's side, so the log is read for its key column alone. What is written is observed on the way, so only the batch is counted again.
+    the batch's side, so the log is read for its key column alone. They become visible by a commit; if another writer has committed
+    since the log was read, it is read again, so no two writers both append a key (see sources.commits). What is written is observed on
+    the way, so only the batch is counted again.
     """
-    spark = rows.sparkSession
-    written, fresh = Observation(), rows.dropDuplicates([key])
-    if exists(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-    fresh.select(*rows.columns).observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
-    return written.get["n"], rows.count() - written.get["n"]
+    from plinth.sources import commits
+
+    spark, one, seen = rows.sparkSession, rows.dropDuplicates([key]), []
+
+    def fresh(upto: int) -> DataFrame:
+        seen.append(Observation())
+        held = commits.read(spark, path, rows.schema, upto).select(key)
+        return one.join(held, key, "left_anti").select(*rows.columns).observe(seen[-1], F.count(F.lit(1)).alias("n"))
+
+    commits.append(spark, path, fresh)
+    return seen[-1].get["n"], rows.count() - seen[-1].get["n"]
 
 
 def upsert(rows: DataFrame, path: str, keys: list[str], order: list, partition: str) -> None:
