@@ -6,7 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from plinth.functions import canonical
+from plinth.functions.money import parse_money
 from plinth.lineage import shared_folder
+from plinth.operators import dedup
 from plinth.plans.standin import WINDOWS, table
 from plinth.sources.payload import Mapping
 from plinth.streaming import cleaning
@@ -91,6 +94,38 @@ def cleaning_rejections(spark, d):
     return _cleaned(spark, d).rejections(spark).groupBy("stage", "reason").agg(F.count("*").alias("n"), F.count_distinct("raw_id").alias("n_raw"))
 
 
+def money_notations(spark, d):
+    """Every order's total in one of twelve notations, and what is read of it."""
+    n, k = F.col("price"), F.pmod("o_orderkey", F.lit(12))
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(12,2)").alias("price"))
+    grouped, plain = F.format_number("price", 2), n.cast("string")
+    cut = lambda q: F.concat((F.floor(q / 100)).cast("string"), F.lit("."), F.lpad(F.pmod(q, F.lit(100)).cast("string"), 2, "0"))
+    texts = [
+        F.concat(F.lit("₹ "), grouped), F.concat(F.lit("INR "), plain), plain, F.concat(F.lit("₹"), F.translate(grouped, ",.", ".,")), F.concat(F.lit("Rs. "), grouped), F.concat(cut(F.floor(n / 1000)), F.lit(" lakh")),
+        F.concat(cut(F.floor(n / 10)), F.lit("k")), F.concat(F.lit("("), grouped, F.lit(")")), F.concat(F.lit("$"), plain), F.lit("--"), F.concat(grouped, F.lit("/-")), F.translate(plain, "0123456789", "०१२३४५६७८९"),
+    ]
+    m = orders.select("o_orderkey", parse_money(F.element_at(F.array(*texts), k.cast("int") + 1), expected="INR").alias("m"))
+    return m.select("o_orderkey", F.col("m.value").cast("string").alias("value"), "m.status")
+
+
+def clock_texts(spark, d):
+    """Times of day in six writings, two of them out of range now and then."""
+    h, m = F.pmod("o_orderkey", F.lit(27)).cast("string"), F.lpad(F.pmod("o_custkey", F.lit(65)).cast("string"), 2, "0")
+    two = F.lpad(h, 2, "0")
+    texts = [F.concat(h, F.lit(":"), m), F.concat(two, m), F.concat(h, F.lit("."), m), F.concat(two, F.lit(":"), m, F.lit(" am")), F.concat(F.lit(" "), h, m, F.lit("PM ")), F.concat(h, F.lit("-"), m)]
+    return table(spark, d, "orders").select("o_orderkey", canonical.clock_time(F.element_at(F.array(*texts), F.pmod("o_orderkey", F.lit(6)).cast("int") + 1)).alias("time"))
+
+
+def digest_tokens(spark, d):
+    """Digests of times with microseconds, of texts among all kinds of white space, and of blank ones, by the newer rules and the older."""
+    e = table(spark, d, "events")
+    at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod("event_id", F.lit(3)))
+    text = F.when(F.col("event_id") % 5 == 0, F.lit(" \t\r\n")).otherwise(F.concat(F.lit("\t \u00a0"), "event_type", F.lit("\x0b \u2003\n")))
+    amount = F.floor(F.col("value") * 10).cast("decimal(20,2)")
+    parts = lambda blank: [dedup.token(at, "timestamp"), dedup.token(text, blank=blank), dedup.token(amount, "decimal"), dedup.token(F.lit(None).cast("string"), blank=blank)]
+    return e.select("event_id", dedup.digest(parts(None)).alias("newer"), dedup.digest(parts(dedup.BLANK)).alias("older"))
+
+
 def _case(words, at):
     return f"case {at} " + " ".join(f"when {i + 1} then {'null' if w is None else repr(w)}" for i, w in enumerate(words)) + " end"
 
@@ -130,7 +165,20 @@ _COUNTERS = f"""with {_STAGES} select count(*) as extracted, cast(sum(cast(unrea
 _REJECTED = f"""with {_STAGES}, told as (select k || '-' || copy as raw_id, stage, reason from staged where stage is not null union all select k || '-' || copy, 'extraction', case when source = 'X9' then 'no collector registered for source X9' else 'payload is not JSON' end from raws where (source = 'X9' or torn) and k in (select l_orderkey from lineitem))
 select stage, reason, count(*) as n, count(distinct raw_id) as n_raw from told group by stage, reason"""
 
+_NOTATIONS = """with o as (select o_orderkey, cast(o_totalprice as decimal(12,2)) as price, o_orderkey % 12 as k from orders)
+select o_orderkey, cast(case when k in (0, 1, 2, 3, 4, 11) then price when k = 5 then cast(floor(price / 1000) * 1000 as decimal(12,2)) when k = 6 then cast(floor(price / 10) * 10 as decimal(12,2)) end as varchar) as value,
+  case k when 7 then 'negative_rejected' when 8 then 'wrong_currency' when 9 then 'missing' when 10 then 'unparseable' else 'ok' end as status from o"""
+_CLOCKS = """with o as (select o_orderkey, o_orderkey % 27 as h, o_custkey % 65 as m, o_orderkey % 6 as form from orders),
+t as (select *, case when form = 3 and h = 12 then 0 when form = 4 and h < 12 then h + 12 else h end as hour from o)
+select o_orderkey, case when form <> 5 and m < 60 and hour < 24 then lpad(cast(hour as varchar), 2, '0') || ':' || lpad(cast(m as varchar), 2, '0') end as time from t"""
+_TOKENS = """with e as (select event_id, ts + to_microseconds(event_id % 3) as instant, case when event_id % 5 <> 0 then upper(event_type) else '' end as text, cast(floor(value * 10) as bigint) as amount from events),
+t as (select *, strftime(instant, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(instant) % 1000000 <> 0 then '.' || lpad(cast(epoch_us(instant) % 1000000 as varchar), 6, '0') else '' end || '+00:00' as moment, chr(0) || 'MISSING' as gone from e)
+select event_id, sha256(moment || chr(31) || text || chr(31) || amount || chr(31) || gone) as newer, sha256(moment || chr(31) || case when text = '' then chr(0) || 'NULL' else text end || chr(31) || amount || chr(31) || gone) as older from t"""
+
 QUERIES = {
+    "money_notations": (money_notations, _NOTATIONS),
+    "clock_texts": (clock_texts, _CLOCKS),
+    "digest_tokens": (digest_tokens, _TOKENS),
     "cleaning_chain": (cleaning_chain, _CHAIN),
     "cleaning_counters": (cleaning_counters, _COUNTERS),
     "cleaning_rejections": (cleaning_rejections, _REJECTED),

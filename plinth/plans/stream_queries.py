@@ -17,8 +17,8 @@ def tumbling_events(spark, d):
 
 def stream_dedup_batch_equiv(spark, d):
     """Which users a stream of one micro-batch saw, each once."""
-    stream = events.file_stream(spark, f"{d}/events.parquet").withWatermark("ts", "60 days")
-    return events.run_to_table(stream.dropDuplicatesWithinWatermark(["user_id"]).select("user_id"), "append")
+    once = events.first_of_each(events.file_stream(spark, f"{d}/events.parquet"), ["user_id"], late="60 days")
+    return events.run_to_table(once.select("user_id"), "append")
 
 
 def late_flagging(spark, d):
