@@ -11,10 +11,10 @@ other pages, all visible text is. Then, on every page:
 2. Text outside of marked articles tells what a host repeats: for each (host, rank) there, the least and greatest page and
    the number of pages. These are aggregates with partial sums in each task, so neither a hot host nor a hot run meets in
    one task.
-3. In a page without a marked article, a run is boilerplate if some other page of the host has it outside of one. In a
-   marked article it is only if at least half of the host's pages, and SHOWN of them, have it outside of one: so a notice
-   that a template puts into articles too goes, and what articles quote from each other, or a teaser elsewhere quotes
-   from one, stays. Suffixes that can't be either are left out before the shuffle, by bitmaps of fixed size.
+3. A run is boilerplate if at least half of the host's pages, and SHOWN of them, have it outside of a marked article, another page
+   than its own among them: so a notice that a template puts into articles goes, and so does unnamed chrome of pages that mark no
+   article, while what articles quote from each other, or a teaser elsewhere quotes from one, stays. Suffixes that can't be
+   boilerplate are left out before the shuffle, by a bitmap of fixed size.
 4. Boilerplate tokens go, where a block has RUN or more of them in a row or no others; what is left of each block, its
    unique runs, stays.
 
@@ -44,8 +44,10 @@ from plinth.llm.common import combine, held_bits, materialise, released, span_ha
 
 #: Tokens of the shortest repeat that counts as boilerplate; a power of two.
 RUN = 8
-#: Pages of a host, and at least half of them, that have a run outside of articles if it is boilerplate inside of one.
+#: Pages of a host, and at least half of them, that have a run outside of articles if it is boilerplate.
 SHOWN = 3
+#: Rows that a host's number of pages is spread over, so that a hot host's runs meet it in as many tasks.
+SPREAD = 64
 
 _NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
 _PLAIN = re.compile(r"[^>=]*")
@@ -274,12 +276,11 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     parsed = materialise(parse(pages)).withColumns({"site": F.xxhash64("host"), "page": F.xxhash64("page_id", "url")})
     shown = parsed.select("site", "page", F.explode("outside").alias("rank")).groupBy("site", "rank").agg(F.min("page").alias("a"), F.max("page").alias("b"), F.count_distinct("page").alias("n"))
-    hosts = parsed.groupBy("site").agg(F.count_distinct("page").alias("pages"))
-    shown = materialise(shown.join(hosts, "site").select("site", "rank", "a", "b", ((F.col("n") >= SHOWN) & (2 * F.col("n") >= F.col("pages"))).alias("often")))
-    often = shown.where("often")
-    made = [candidates(parsed.where(which), known) for which, known in (("not marked", held_bits(shown, "rank", "site")), ("marked", held_bits(often, "rank", "site")))]
-    found = made[0].join(shown, ["site", "rank"]).where("a <> page or b <> page").select("task", "row", "place")
-    found = found.unionAll(made[1].join(often, ["site", "rank"]).where("a <> page or b <> page").select("task", "row", "place"))
+    hosts = parsed.groupBy("site").agg(F.count_distinct("page").alias("pages")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    shown = shown.where(F.col("n") >= SHOWN).withColumn("part", F.pmod("rank", F.lit(SPREAD)).cast("int"))
+    often = materialise(shown.join(hosts, ["site", "part"]).where(2 * F.col("n") >= F.col("pages")).select("site", "rank", "a", "b"))
+    made = candidates(parsed, held_bits(often, "rank", "site"))
+    found = made.join(often, ["site", "rank"]).where("a <> page or b <> page").select("task", "row", "place")
     covered = materialise(found.groupBy("task", "row").agg(F.collect_set("place").alias("covered")))
     hit = held_bits(covered, "row", "task")
 
