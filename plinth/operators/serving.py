@@ -63,7 +63,7 @@ def ordered(rows: DataFrame, ordering: str, allowed: tuple[str, ...]) -> DataFra
 
 
 def keyset_page(rows: DataFrame, order: str, key: str, after: tuple[Any, Any] | None = None, size: int = PAGE) -> DataFrame:
-    """The page after a cursor (order value, key), newest first: a top-k, whatever the depth of the page."""
+    """The page after a cursor (order value, key; values or columns), newest first: a top-k, whatever the depth of the page."""
     if after is not None:
         rows = rows.where((F.col(order) < F.lit(after[0])) | ((F.col(order) == F.lit(after[0])) & (F.col(key) < F.lit(after[1]))))
     return rows.orderBy(F.col(order).desc(), F.col(key).desc()).limit(min(size, PAGE_MOST))

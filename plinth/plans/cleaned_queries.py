@@ -11,7 +11,7 @@ from plinth.functions.money import parse_money
 from plinth.lineage import shared_folder
 from plinth.operators import dedup
 from plinth.plans.standin import WINDOWS, table
-from plinth.sources.payload import Mapping
+from plinth.sources.payload import Mapping, dig
 from plinth.streaming import cleaning
 
 #: Where an item's fields are in the payloads.
@@ -126,6 +126,20 @@ def digest_tokens(spark, d):
     return e.select("event_id", dedup.digest(parts(None)).alias("newer"), dedup.digest(parts(dedup.BLANK)).alias("older"))
 
 
+#: Paths into the nested payloads of dug_paths, and what they lead to.
+PATHS = {"amount": "data.list.price.amount", "first": "data.list.0.id", "beyond": "data.list.9.id", "through": "data.n.x", "missing": "data.nothing", "digits": "data.7", "second": "data.pairs.1.0", "null_first": "data.list.note"}
+
+
+def dug_paths(spark, d):
+    """Values by path out of payloads of objects, lists of objects and lists of lists, made of the orders."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(12,2)").cast("string").alias("price"))
+    k = F.col("o_orderkey").cast("string")
+    priced = F.when(F.col("o_orderkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('{"price":{"amount":"'), "price", F.lit('"}},')))
+    text = F.concat(F.lit('{"data":{"n":'), k, F.lit(',"7":"'), "o_orderstatus", F.lit('","pairs":[[1],['), k, F.lit(',2]],"list":[{"id":'), k, F.lit("},"), priced, F.lit('4,{"note":null},{"note":"x"},{"price":{"amount":"last"}}]}}'))
+    rows = o.select("o_orderkey", F.try_parse_json(text).alias("v"))
+    return rows.select("o_orderkey", *[F.try_variant_get(dig(F.col("v"), path.split(".")), "$", "string").alias(name) for name, path in PATHS.items()])
+
+
 def _case(words, at):
     return f"case {at} " + " ".join(f"when {i + 1} then {'null' if w is None else repr(w)}" for i, w in enumerate(words)) + " end"
 
@@ -175,7 +189,11 @@ _TOKENS = """with e as (select event_id, ts + to_microseconds(event_id % 3) as i
 t as (select *, strftime(instant, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(instant) % 1000000 <> 0 then '.' || lpad(cast(epoch_us(instant) % 1000000 as varchar), 6, '0') else '' end || '+00:00' as moment, chr(0) || 'MISSING' as gone from e)
 select event_id, sha256(moment || chr(31) || text || chr(31) || amount || chr(31) || gone) as newer, sha256(moment || chr(31) || case when text = '' then chr(0) || 'NULL' else text end || chr(31) || amount || chr(31) || gone) as older from t"""
 
+_DUG = """select o_orderkey, case when o_orderkey % 3 = 0 then 'last' else cast(cast(o_totalprice as decimal(12,2)) as varchar) end as amount, cast(o_orderkey as varchar) as first, cast(null as varchar) as beyond, cast(null as varchar) as through, cast(null as varchar) as missing,
+  o_orderstatus as digits, cast(o_orderkey as varchar) as second, cast(null as varchar) as null_first from orders"""
+
 QUERIES = {
+    "dug_paths": (dug_paths, _DUG),
     "money_notations": (money_notations, _NOTATIONS),
     "clock_texts": (clock_texts, _CLOCKS),
     "digest_tokens": (digest_tokens, _TOKENS),

@@ -123,8 +123,7 @@ def sold_out_share(spark, d):
 
 def keyset_page(spark, d):
     rows = _fares(spark, d).select("fare", F.date_diff("observed_on", F.lit("1970-01-01").cast("date")).alias("day"))
-    first = rows.agg(F.max("day").alias("m")).first()["m"]
-    return serving.keyset_page(rows, "day", "fare", (first, ""), 50)
+    return serving.keyset_page(rows, "day", "fare", (rows.agg(F.max("day")).scalar(), ""), 50)
 
 
 def numbered_page(spark, d):

@@ -28,6 +28,34 @@ def _is_sold_out(item: Column, rule: tuple[str, str, object]) -> Column:
     return F.coalesce(~F.lower(found).isin("", "0", "false", "none", "null", "[]", "{}"), F.lit(False))
 
 
+def _once(value: Column, then) -> Column:
+    """then(value) with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def dig(node: Column, path: list[str]) -> Column:
+    """What a path leads to in a variant, compiled to one expression; null where it leads nowhere.
+
+    In an object a segment is a name. In a list a number is a place, and a name means the first item that is an object with
+    that name (whatever its value there). Nothing is inside of a text or a number.
+    """
+
+    def step(at: Column, segment: str) -> Column:
+        def inside(kinds: Column) -> Column:
+            if segment.isdigit():
+                of_list = F.get(kinds["items"], F.lit(int(segment)))
+            else:
+                named = F.filter(F.transform(kinds["items"], lambda x: F.try_variant_get(x, "$", "map<string,variant>")), lambda m: F.coalesce(F.map_contains_key(m, segment), F.lit(False)))
+                of_list = F.try_element_at(F.get(named, F.lit(0)), F.lit(segment))
+            return F.when(kinds["items"].isNotNull(), of_list).otherwise(F.try_element_at(kinds["fields"], F.lit(segment)))
+
+        return _once(at, lambda v: _once(F.struct(F.try_variant_get(v, "$", "array<variant>").alias("items"), F.try_variant_get(v, "$", "map<string,variant>").alias("fields")), inside))
+
+    for segment in path:
+        node = step(node, segment)
+    return node
+
+
 def extract(raw: DataFrame, mapping: Mapping, payload: str = "payload") -> DataFrame:
     """One row an item, with raw's other columns; a path that isn't there gives null, never zero. Bad JSON gives no rows."""
     items = F.explode(F.try_variant_get(F.try_parse_json(F.col(payload)), mapping.results, "array<variant>"))
