@@ -324,3 +324,34 @@ def test_words_are_split_as_elsewhere():
     data = np.frombuffer(raw, np.uint8)
     w = words(data, np.array([0, len(data)]))
     assert raw.split() == [raw[a:b] for a, b in zip(w.start, w.end)]
+
+
+# --- stages of the pipeline on odd tables ------------------------------------------------------------------------
+
+
+def test_stages_on_odd_input(spark, tiny, prose_of):
+    """accept, drop_contaminated and clean: nulls, repeats, clashing names, empty tables; clean prose stays."""
+    from plinth.llm import decontaminate, pii, quality_classifier
+
+    texts = [t for t in ODD if t is None or len(t) < 2000] + [prose_of(120), prose_of(120), "write to ann.b@host.example.org now"]
+    docs = table(spark, texts, [*range(len(texts) - 1), None])
+    docs = docs.unionAll(docs.where("doc_id = 6"))
+    bench = spark.read.parquet(f"{tiny}/benchmark.parquet").first()["text"]
+    planted = table(spark, [f"{prose_of(40)} {bench} {prose_of(40)}"], [900])
+    for stage in (quality_classifier.accept, decontaminate.drop_contaminated, pii.clean):
+        out = stage(spark, docs.unionAll(planted), tiny)
+        assert out.columns == docs.columns and out.schema == docs.schema
+        rows = out.collect()
+        assert {r["spans"] for r in rows} <= {"mine"} and sum(r["doc_id"] == 6 for r in rows) in (0, 2)
+        if stage is decontaminate.drop_contaminated:
+            assert all(r["doc_id"] != 900 for r in rows) and len(rows) == docs.count()
+        if stage is pii.clean:
+            assert len(rows) == docs.count() + 1 and [r["text"] for r in rows if r["doc_id"] is None] == ["write to [EMAIL] now"]
+        assert stage(spark, docs.where("doc_id < 0"), tiny).collect() == []
+
+
+@pytest.fixture(scope="module")
+def prose_of():
+    rng = random.Random(3)
+    syllables = "an the er in on re st ea or ti ing ed th sh wh nd ou ly".split()
+    return lambda n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n))
