@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.plans import cleaned_queries, cleaning_queries, index_queries, reading_queries, record_queries, screen_queries, serving_queries, state_queries, stream_queries
+from plinth.plans import cleaned_queries, cleaning_queries, index_queries, reading_queries, record_queries, screen_queries, serving_queries, state_queries, stream_queries, surface_queries
 
-GROUPS = (index_queries, screen_queries, cleaning_queries, cleaned_queries, serving_queries, reading_queries, record_queries, stream_queries, state_queries)
+GROUPS = (index_queries, screen_queries, cleaning_queries, cleaned_queries, serving_queries, reading_queries, record_queries, stream_queries, state_queries, surface_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

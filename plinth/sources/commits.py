@@ -50,13 +50,15 @@ def claim(spark: SparkSession, path: str, number: int, part: str) -> bool:
         files.delete(beside, False)
 
 
-def read(spark: SparkSession, path: str, schema: T.StructType, upto: int | None = None) -> DataFrame:
-    """The rows of all commits, or of those up to a number."""
+def read(spark: SparkSession, path: str, schema: T.StructType, upto: int | None = None, number: str | None = None) -> DataFrame:
+    """The rows of all commits, or of those up to a number; with each row's commit as a further column of the name given."""
     if not (version(spark, path) if upto is None else upto):
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], T.StructType([*schema.fields, *([T.StructField(number, T.LongType())] if number else [])]))
     known = spark.read.text(f"{path}/_commits", pathGlobFilter="[0-9]*").select("value", "_metadata.file_name")
     known = known if upto is None else known.where(known["file_name"] <= f"{upto:020d}")
     rows = spark.read.option("recursiveFileLookup", "true").schema(schema).parquet(path).select("*", F.regexp_extract("_metadata.file_path", "/([0-9a-f]{32})/[^/]*$", 1).alias("_part"))
+    if number:
+        return rows.join(known.select(F.col("value").alias("_part"), F.col("file_name").cast("long").alias(number)), "_part").select(*schema.names, number)
     return rows.join(known.select(F.col("value").alias("_part")), "_part", "left_semi").select(*schema.names)
 
 
