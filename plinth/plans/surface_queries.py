@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from plinth.lineage import shared_folder
+from plinth.operators import governed
 from plinth.operators.gold import Gold
 from plinth.plans.serving_queries import QUERIES as SERVING
 from plinth.plans.serving_queries import _fares
+from plinth.plans.standin import fares
 
 
 def _gold(spark, d):
@@ -35,7 +37,15 @@ def gold_summary(spark, d):
     return gold.summary(gold.partials(spark)).drop("n_is_sold_out")
 
 
+def governed_series(spark, d):
+    """What an analyst reads of the series through SQL alone, with a condition that fails on any row that is not published."""
+    rows = fares(spark, d).groupBy("route", "year").agg(F.count("*").alias("n"))
+    governed.publish(rows.withColumn("is_published", F.col("year") != 1998), "fare_series", open=["route"])
+    return spark.sql("select route, year, n from fare_series('analyst') where if(year = 1998, raise_error('not for analysts'), true)")
+
+
 QUERIES = {
     "gold_lead_time_curve": (gold_lead_time_curve, SERVING["lead_time_curve"][1]),
     "gold_summary": (gold_summary, SERVING["fares_summary"][1]),
+    "governed_series": (governed_series, SERVING["visible_series"][1]),
 }
