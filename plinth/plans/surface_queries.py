@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from plinth.functions.money import parse_money
+from plinth.functions.text_forms import nfkc
 from plinth.lineage import shared_folder
 from plinth.operators import governed
 from plinth.operators.gold import Gold
 from plinth.plans.serving_queries import QUERIES as SERVING
 from plinth.plans.serving_queries import _fares
-from plinth.plans.standin import fares
+from plinth.plans.standin import fares, table
 
 
 def _gold(spark, d):
@@ -44,8 +46,38 @@ def governed_series(spark, d):
     return spark.sql("select route, year, n from fare_series('analyst') where if(year = 1998, raise_error('not for analysts'), true)")
 
 
+#: Digits of other forms, in their order: wide, bold, double-struck, sans, monospace, raised, lowered.
+DIGITS = ("０１２３４５６７８９", "𝟎𝟏𝟐𝟑𝟒𝟓𝟔𝟕𝟖𝟗", "𝟘𝟙𝟚𝟛𝟜𝟝𝟞𝟟𝟠𝟡", "𝟢𝟣𝟤𝟥𝟦𝟧𝟨𝟩𝟪𝟫", "𝟶𝟷𝟸𝟹𝟺𝟻𝟼𝟽𝟾𝟿", "⁰¹²³⁴⁵⁶⁷⁸⁹", "₀₁₂₃₄₅₆₇₈₉")
+
+
+def folded_amounts(spark, d):
+    """Every order's total in one of eight kinds of digits, with wide marks and signs, and what is read of it."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(12,2)").cast("string").alias("plain"))
+    kind = F.pmod("o_orderkey", F.lit(len(DIGITS) + 1)).cast("int")
+    texts = [F.translate("plain", "0123456789", x) for x in DIGITS]
+    text = F.when(kind == 0, F.concat(F.lit("＄　"), "plain")).otherwise(F.get(F.array(*texts), kind - 1))
+    wide = F.when(kind % 2 == 1, F.translate(text, ".", "．")).otherwise(text)
+    m = orders.select("o_orderkey", parse_money(nfkc(wide)).alias("m"))
+    return m.select("o_orderkey", F.col("m.value").cast("string").alias("value"), "m.status", "m.currency")
+
+
+#: Letters as some tools write them, apart or joined, and the letters that they stand for.
+LETTERS = (("é", "e\u0301"), ("ó", "o\u0301"), ("ñ", "n\u0303"), ("ç", "c\u0327"), ("ü", "u\u0308"), ("fi", "\ufb01"), ("fl", "\ufb02"), ("A", "\uff21"))
+
+
+def folded_documents(spark, d):
+    """Every document with letters taken apart and ligatures and wide letters put in, and what it is after folding."""
+    text = F.col("text")
+    for letter, other in LETTERS:
+        text = F.replace(text, F.lit(letter), F.lit(other))
+    folded = nfkc(text)
+    return table(spark, d, "documents").select("doc_id", F.length(folded).cast("long").alias("n_chars"), F.sha2(folded, 256).alias("sha256"))
+
+
 QUERIES = {
     "gold_lead_time_curve": (gold_lead_time_curve, SERVING["lead_time_curve"][1]),
     "gold_summary": (gold_summary, SERVING["fares_summary"][1]),
+    "folded_amounts": (folded_amounts, "select o_orderkey, cast(cast(o_totalprice as decimal(12,2)) as varchar) as value, 'ok' as status, case when o_orderkey % 8 = 0 then 'USD' end as currency from orders"),
+    "folded_documents": (folded_documents, "select doc_id, length(nfc_normalize(text)) as n_chars, sha256(nfc_normalize(text)) as sha256 from documents"),
     "governed_series": (governed_series, SERVING["visible_series"][1]),
 }
