@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions import canonical
 from plinth.functions.money import parse_money
+from plinth.functions.text_forms import nfkc_of_each
 from plinth.operators import audit, dedup, robust
 from plinth.sources import sinks
 from plinth.sources.payload import Mapping, extract
@@ -62,7 +63,7 @@ def priced(rows: DataFrame, currency: str) -> DataFrame:
     """Stage 2: amounts as decimals, which of them could not be read, and the currency that was given if it is another."""
     given = F.upper(F.trim(F.coalesce(F.nullif("currency", F.lit("")), F.lit(currency))))
     # one reading for all amounts, over an array of their texts
-    read = rows.withColumns({"_read": F.transform(F.array(*[F.col(c) for c in AMOUNTS]), lambda x: parse_money(x)), "original_currency": F.nullif(given, F.lit(currency)), "currency": F.lit(currency)})
+    read = rows.withColumns({"_read": F.transform(nfkc_of_each(F.array(*[F.col(c) for c in AMOUNTS])), lambda x: parse_money(x)), "original_currency": F.nullif(given, F.lit(currency)), "currency": F.lit(currency)})
     told = {c: F.col("_read")[i] for i, c in enumerate(AMOUNTS)}
     bad = {c: F.col(c).isNotNull() & ~told[c]["status"].isin("ok", "missing") for c in AMOUNTS}
     read = read.withColumn("unparseable", _flags(*[(bad[c], c) for c in AMOUNTS]))

@@ -31,13 +31,15 @@ def staged(spark, tmp_path, *items):
 
 
 def test_single_cases(spark, tmp_path):
-    saver, flexi, zero, gone, corrupt, junk, late, odd = staged(
+    saver, flexi, zero, gone, corrupt, junk, late, odd, wide = staged(
         spark, tmp_path, {"fare_basis": "Q07SAVER", "booking_class": "Q"}, {"fare_basis": "M07FLEXI", "booking_class": "M", "total_fare": "7899.00"}, {"total_fare": "0"},
         {"inventory_status": "SOLD_OUT", "departure_local": None, "total_fare": None}, {"base_fare": "-500.00", "udf": None}, {"total_fare": "4,521/-"}, {"departure_local": "2026-08-31 06:10"}, {"departure_local": "soon"},
+        {"total_fare": "₹ ４，５２１．𝟎𝟎"},
     )
     assert saver["fingerprint"] != flexi["fingerprint"] and saver["quality_grade"] == "A" and saver["flight_number"] == "615"
     assert (zero["total_fare"], zero["base_fare"], zero["inventory_status"], zero["quality_grade"]) == (None, None, "PRICE_UNAVAILABLE", "D") and "PRICE_UNAVAILABLE" in zero["flags"]
     assert gone["stage"] is None and {"SOLD_OUT", "MODELLED"} <= set(gone["flags"]) and str(gone["departure_utc"]) == "2026-09-07 18:30:00"
+    assert wide["stage"] is None and str(wide["total_fare"]) == "4521.00"
     assert corrupt["base_fare"] is None and "COMPONENT_UNPARSEABLE" in corrupt["flags"] and corrupt["quality_grade"] == "C"
     assert [(r["stage"], r["reason"]) for r in (junk, late, odd)] == [("currency", "total_fare unparseable"), ("structural", "departure precedes observation"), ("canonicalisation", "undecodable departure time")]
 
