@@ -31,6 +31,8 @@ MAGNITUDES = (
 )
 #: The shape of an amount: fixed value.
 _AMOUNT = r"^([-+])?([^0-9\s]{0,6}?)\s*([0-9][0-9.,]*)\s*([^0-9\s]{0,8})$"
+#: Amounts that need no reading: digits that fit, without any mark or with a point before one or two: fixed value.
+_PLAIN = r"^[0-9]{1,9}(?:\.[0-9]{1,2})?\z"
 #: Compatibility forms that money text is seen with: other digits, dashes and blanks, and the rupee sign's long form.
 _FROM = "०१२३४५६७८९０１２３４５６７８９−–—－    　．，"
 _TO = "01234567890123456789----     .,"
@@ -128,4 +130,5 @@ def parse_money(raw: Column, expected: str | None = None, allow_negative: bool =
         parts = _let(inner, lambda t: _bound({"low": F.lower(t), "compact": F.replace(t, F.lit(" "), F.lit("")), "bracketed": bracketed}, compact))
         return F.when(F.lower(text).isin(*MISSING), result("missing")).otherwise(parts)
 
-    return F.when(raw.isNull(), result("missing")).otherwise(_let(fold(raw), of_text))
+    # most amounts are plain numbers, for which all of the steps above come to a cast
+    return F.when(F.regexp_like(raw, F.lit(_PLAIN)), result("ok", raw)).when(raw.isNull(), result("missing")).otherwise(_let(fold(raw), of_text))

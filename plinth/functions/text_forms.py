@@ -8,6 +8,7 @@ All others, signs of currency and accented letters of Western languages among th
 from __future__ import annotations
 
 import functools
+import json
 import unicodedata
 
 import pandas as pd
@@ -35,9 +36,9 @@ def _forms(texts: pd.Series) -> pd.Series:
     return texts.map(_form, na_action="ignore")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.StringType())
 def _forms_of_each(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda x: [_form(t) for t in x], na_action="ignore")
+    return lists.map(lambda x: json.dumps([_form(t) for t in json.loads(x)], ensure_ascii=False), na_action="ignore")
 
 
 def nfkc(text: Column) -> Column:
@@ -47,6 +48,9 @@ def nfkc(text: Column) -> Column:
 
 
 def nfkc_of_each(texts: Column) -> Column:
-    """An array of texts, each in its compatibility composition; one pass for all of them."""
+    """An array of texts, each in its compatibility composition; one pass for all of them.
+
+    Arrays travel as JSON texts: Arrow's size is asked for after every row, which for lists costs more than the rows themselves.
+    """
     may = F.exists(texts, lambda t: F.coalesce(F.regexp_like(t, F.lit(changeable())), F.lit(False)))
-    return F.when(may, _forms_of_each(F.when(may, texts))).otherwise(texts)
+    return F.when(may, F.from_json(_forms_of_each(F.when(may, F.to_json(texts))), "array<string>")).otherwise(texts)

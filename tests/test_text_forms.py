@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from plinth.functions import money, text_forms
 from plinth.functions.money import parse_money
 from plinth.functions.text_forms import changeable, nfkc, nfkc_of_each
 
@@ -39,3 +40,18 @@ def test_nulls_and_arrays(spark):
 def test_amounts_in_other_forms(spark, text, value):
     got = spark.createDataFrame([(text,)], "t string").select(parse_money(nfkc(F.col("t")))["value"].cast("string")).first()[0]
     assert got == value
+
+
+def test_lists_of_texts_travel_as_one_text(spark):
+    """Arrow is asked for its size after every row, which is slow for lists: so they go as texts, and nothing in them is lost."""
+    assert text_forms._forms_of_each.returnType.simpleString() == "string"
+    odd = ["４", None, "", 'a "b" \\ ,[]', "\n\t\x01", "ﬁ", "𝟎", "null"]
+    got = spark.createDataFrame([(odd,), (None,), ([],), ([None],)], "t array<string>").select(text_forms.nfkc_of_each(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in got] == [[t if t is None else unicodedata.normalize("NFKC", t) for t in odd], None, [], [None]]
+
+
+def test_plain_amounts_are_what_they_are_with_a_sign(spark):
+    """Plain numbers take a short way; with a currency's sign before them they take the long one."""
+    texts = ["0", "0.00", "4521", "007", "1.5", "12.34", "999999999.99", "1.234", "1234567890", "12.", ".5", "5\n", " 7"]
+    m = spark.createDataFrame([(t,) for t in texts], "t string").select(money.parse_money(F.col("t"), expected="INR").alias("a"), money.parse_money(F.concat(F.lit("₹"), "t"), expected="INR").alias("b"), F.regexp_like("t", F.lit(money._PLAIN)).alias("plain")).collect()
+    assert all(r["a"] == r["b"] for r in m) and [r["plain"] for r in m] == [True] * 7 + [False] * 6
