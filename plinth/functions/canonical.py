@@ -85,8 +85,12 @@ def window_floor(ts: Column, minutes: int = 60) -> Column:
 def minute_bucket(hhmm: Column, minutes: int = 15) -> Column:
     """HH:MM floored to the bucket; other text unchanged."""
     total = F.try_add(F.regexp_extract(hhmm, "^([0-9]{1,2}):", 1).try_cast("int") * 60, F.regexp_extract(hhmm, ":([0-9]{2})", 1).try_cast("int"))
-    low = total - total % minutes
-    return F.when(total.isNull(), hhmm).otherwise(F.concat(F.lpad((low / 60).cast("int").cast("string"), 2, "0"), F.lit(":"), F.lpad((low % 60).cast("string"), 2, "0")))
+
+    def bucket(low: Column) -> Column:
+        return F.concat(F.lpad((low / 60).cast("int").cast("string"), 2, "0"), F.lit(":"), F.lpad((low % 60).cast("string"), 2, "0"))
+
+    # a lambda's variable is bound: the patterns are read once, and not wherever the total is used
+    return F.coalesce(F.element_at(F.transform(F.array(total), lambda t: bucket(t - t % minutes)), 1), hhmm)
 
 
 def clock_time(raw: Column) -> Column:
