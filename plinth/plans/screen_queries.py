@@ -41,20 +41,16 @@ def modified_z_linear(spark, d):
     return _scores(spark, d, log=False).select("fare", "score")
 
 
-def _flags(spark, d):
-    return robust.flagged(_scores(spark, d), CELL, "fare", threshold=2.0)
-
-
 def outlier_capped(spark, d):
-    return _flags(spark, d).where("is_outlier").select("fare", "score")
+    return robust.outliers(_scores(spark, d), CELL, "fare", threshold=2.0).select("fare", "score")
 
 
 def outlier_report(spark, d):
-    return robust.report(_flags(spark, d), CELL).select(*CELL, "n", "method", "uses_log", half_even(F.col("centre"), 6).alias("centre"), half_even(F.col("scale"), 6).alias("scale"), "n_outliers")
+    return robust.screening(_scores(spark, d), CELL, threshold=2.0).select(*CELL, "n", "method", "uses_log", half_even(F.col("centre"), 6).alias("centre"), half_even(F.col("scale"), 6).alias("scale"), "n_outliers")
 
 
 def contamination_rate(spark, d):
-    return robust.report(_flags(spark, d), CELL).select(*CELL, "contamination")
+    return robust.screening(_scores(spark, d), CELL, threshold=2.0).select(*CELL, "contamination")
 
 
 _SCORES = """rows as (select route, lead_window, concat_ws('-', l_orderkey, l_linenumber, l_suppkey, item) as fare, cast(total as double) as x from fares),

@@ -556,3 +556,17 @@ def test_centres_are_the_same_however_large_a_stratum_is(spark):
         for s, r in a.items():
             assert (r["n"], r["uses_log"]) == (b[s]["n"], b[s]["uses_log"])
             assert [r[c] for c in ("centre", "mad", "mean_deviation")] == pytest.approx([b[s][c] for c in ("centre", "mad", "mean_deviation")], rel=1e-12, abs=1e-12)
+
+
+def test_screening_reports_what_flags_give_without_ranks(spark):
+    rows = spark.createDataFrame([("cap", float(i % 3) if i < 12 else 1000.0 + i) for i in range(19)] + [("one", 5.0 + i % 4) for i in range(20)] + [("one", 900.0), ("few", 1.0), ("gone", None), (None, 3.0)], "s string, v double").withColumn("id", F.monotonically_increasing_id())
+    scores = robust.scored(rows, ["s"], "v", log=False)
+    got, want = robust.screening(scores, ["s"]), robust.report(robust.flagged(scores, ["s"], "id"), ["s"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    assert {r["s"]: r["n_outliers"] for r in got.collect()}["cap"] == 4
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "row_number" not in plan
+    flags = robust.flagged(scores, ["s"], "id").where("is_outlier").select("id")
+    assert sorted(r[0] for r in robust.outliers(scores, ["s"], "id").select("id").collect()) == sorted(r[0] for r in flags.collect())
+    # rows are not shuffled for a few strata
+    assert "SortMergeJoin" not in scores._jdf.queryExecution().executedPlan().toString()
