@@ -570,3 +570,25 @@ def test_screening_reports_what_flags_give_without_ranks(spark):
     assert sorted(r[0] for r in robust.outliers(scores, ["s"], "id").select("id").collect()) == sorted(r[0] for r in flags.collect())
     # rows are not shuffled for a few strata
     assert "SortMergeJoin" not in scores._jdf.queryExecution().executedPlan().toString()
+
+
+def test_digests_of_quotes_are_made_behind_the_only_shuffle_of_lines(spark, tiny):
+    import re
+
+    from plinth.plans import registry
+
+    for name in ("dup_link", "survivor_select"):
+        df = registry.queries()[name](spark, tiny)
+        plan = df._jdf.queryExecution().executedPlan().toString().lower()
+        line = plan.index("exchange hashpartitioning(l_orderkey")
+        assert "sha2(" in plan[:line] and "sha2(" not in plan[line:]
+        assert not re.search(r"exchange hashpartitioning\((?!l_orderkey)", plan[:line])
+
+
+def test_survivors_by_fields_are_those_by_their_digest(spark):
+    rows = spark.createDataFrame([(i % 5, i % 3, i % 2, i % 7, f"c{i % 11:02d}", float(i)) for i in range(60)], "a long, b long, trust long, seen long, content string, price double")
+    rows = rows.withColumns({"complete": F.lit(1), "fp": dedup.digest([dedup.token(F.col("a")), dedup.token(F.col("b"))]), "key": F.concat_ws("-", "content", "price")})
+    # content alone leaves ties open, which the price ends here
+    rows = rows.withColumn("content", F.col("key"))
+    out = [dedup.winners_linked(dedup.survivors(rows, by, "trust", "complete", "seen", "content", "price"), by, "key").select("key", "place", "members", "dedup_reason", "conflict", "duplicate_of") for by in ("fp", ["a", "b"])]
+    assert sorted(map(str, out[0].collect())) == sorted(map(str, out[1].collect()))
