@@ -1,7 +1,7 @@
 """The exact tier: elementary and national indices in 34-digit decimals, half-even, for values that are to be sealed.
 
 Doubles carry 15 to 16 digits, so a level near 100 at 8 places differs from this tier at near-ties alone. Logarithms are taken in
-Arrow batches, and summed by cell in each as whole numbers of 10^-PLACES; a sum travels as LIMBS numbers below 10^DIGITS_A_LIMB,
+Arrow batches, once for equal pairs of prices of a cell, and summed by cell in each as whole numbers of 10^-PLACES; a sum travels as LIMBS numbers below 10^DIGITS_A_LIMB,
 which Spark adds up in partial aggregates. So sums are exact in any order, and a cell is one row when its index is
 finished, however many pairs it has.
 """
@@ -22,7 +22,7 @@ PLACES, LIMBS, DIGITS_A_LIMB = 40, 4, 15
 
 
 def _log_sums(cell: list[str]):
-    """Batches of pairs to rows of cell, n and the limbs of the sum of logarithms: one for each cell of a batch."""
+    """Batches of counted pairs to rows of cell, n and the limbs of the sum of logarithms: one for each cell of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx, wide, base = Context(prec=DIGITS, rounding=ROUND_HALF_EVEN), Context(prec=4 * DIGITS), 10**DIGITS_A_LIMB
@@ -30,10 +30,10 @@ def _log_sums(cell: list[str]):
             columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             sums: dict[tuple, list] = {}
             keys = zip(*[columns[c].to_pylist() for c in cell], strict=True) if cell else iter([()] * batch.num_rows)
-            for i, (key, now, then) in enumerate(zip(keys, columns["current_price"].to_pylist(), columns["base_price"].to_pylist(), strict=True)):
+            for i, (key, now, then, k) in enumerate(zip(keys, *[columns[c].to_pylist() for c in ("current_price", "base_price", "_k")], strict=True)):
                 held = sums.setdefault(key, [i, 0, Decimal(0)])
-                held[1] += 1
-                held[2] = wide.add(held[2], ctx.ln(ctx.divide(now, then)))
+                held[1] += k
+                held[2] = wide.add(held[2], wide.multiply(ctx.ln(ctx.divide(now, then)), k))
             limbs: list[list[int]] = []
             for _, _, total in sums.values():
                 left, parts = int(wide.to_integral_value(total.scaleb(PLACES, wide))), []
@@ -67,12 +67,14 @@ def _finish(cell: list[str], base: int, min_pairs: int):
 def jevons_exact(pairs: DataFrame, cell: list[str], base: int = 100, min_pairs: int = 1) -> DataFrame:
     """level decimal(20,8), mean_log decimal(20,12) and n_pairs of each cell, over its positive pairs.
 
-    Nothing is trimmed here: for a trimmed index pass what index.trimmed leaves.
+    Nothing is trimmed here: for a trimmed index pass what index.trimmed leaves. A logarithm of so many digits costs far more than
+    counting, so equal pairs are counted before.
     """
     money = [F.col(c).cast("decimal(12,2)").alias(c) for c in ("current_price", "base_price")]
     keys = [pairs.schema[c] for c in cell]
     summed = T.StructType([*keys, *[T.StructField(c, T.LongType()) for c in ("n", *(f"limb{k}" for k in range(LIMBS)))]])
-    parts = pairs.select(*cell, *money).where("current_price > 0 and base_price > 0").mapInArrow(_log_sums(cell), summed)
+    counted = pairs.select(*cell, *money).where("current_price > 0 and base_price > 0").groupBy(*cell, "current_price", "base_price").agg(F.count("*").alias("_k"))
+    parts = counted.mapInArrow(_log_sums(cell), summed)
     sums = parts.groupBy(*cell).agg(F.sum("n").alias("n"), *[F.sum(F.col(f"limb{k}").cast("decimal(18,0)")).alias(f"limb{k}") for k in range(LIMBS)])
     out = T.StructType([*keys, T.StructField("level", T.DecimalType(20, 8)), T.StructField("mean_log", T.DecimalType(20, 12)), T.StructField("n_pairs", T.LongType())])
     return sums.mapInArrow(_finish(cell, base, min_pairs), out)

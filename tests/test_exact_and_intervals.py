@@ -3,7 +3,7 @@
 import datetime as dt
 import random
 import time
-from decimal import ROUND_HALF_EVEN, Context, Decimal
+from decimal import ROUND_HALF_EVEN, Context, Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +97,17 @@ def test_versions_and_weights_in_force(spark):
         assert got[d] == (max(known)[1] if known else None)
     weights = spark.createDataFrame([("a", day(0), day(10)), ("b", day(10), None), ("a", day(5), day(30))], "route string, valid_from date, valid_to date")
     assert sorted((r["day"].day, r["route"]) for r in index.weights_in_force(weights, spark.createDataFrame([(day(0),), (day(9),), (day(10),)], "day date")).collect()) == [(1, "a"), (10, "a"), (10, "a"), (11, "a"), (11, "b")]
+
+
+def test_equal_pairs_have_one_logarithm(spark):
+    """Their level is as if each was taken, and what goes to Python is counted."""
+    rows = [("c", 1999, 10.0, 9.5)] * 500 + [("c", 1999, 7.0, 9.0)] * 3 + [("c", 1998, 10.0, 9.5)] * 2
+    out = exact.jevons_exact(spark.createDataFrame(rows, "cell string, year int, current_price double, base_price double").repartition(3), ["cell", "year"])
+    got = {r["year"]: (r["level"], r["n_pairs"]) for r in out.collect()}
+    with localcontext() as ctx:
+        ctx.prec = 50
+        mean = (500 * (Decimal(10) / Decimal("9.5")).ln() + 3 * (Decimal(7) / Decimal(9)).ln()) / 503
+        assert got[1999] == ((100 * mean.exp()).quantize(Decimal("1e-8")), 503)
+        assert got[1998] == ((100 * Decimal(10) / Decimal("9.5")).quantize(Decimal("1e-8")), 2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [cell" in plan[plan.rindex("MapInArrow") :]
