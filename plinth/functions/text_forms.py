@@ -12,7 +12,7 @@ import json
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,18 @@ def changeable() -> str:
     return "[" + "".join(rf"\x{{{c:x}}}" for c in single) + rf"\x{{{COMBINING:x}}}-\x{{{SIGNS[0] - 1:x}}}\x{{{SIGNS[-1] + 1:x}}}-\x{{10ffff}}]"
 
 
+#: Rows of an Arrow batch where whole documents are read: a Python worker holds a batch several times over.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """spark with no more than BATCH_ROWS rows in an Arrow batch; it stays so, as plans run later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def _form(text: str | None) -> str | None:
     return None if text is None else unicodedata.normalize("NFKC", text)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.money import parse_money
 from plinth.functions.rounding import half_even
-from plinth.functions.text_forms import nfkc
+from plinth.functions.text_forms import bounded_batches, nfkc
 from plinth.lineage import shared_folder
 from plinth.operators import governed, serving, weightsets
 from plinth.operators.gold import Gold
@@ -74,7 +74,7 @@ def folded_documents(spark, d):
     for letter, other in LETTERS:
         text = F.replace(text, F.lit(letter), F.lit(other))
     folded = nfkc(text)
-    return table(spark, d, "documents").select("doc_id", F.length(folded).cast("long").alias("n_chars"), F.sha2(folded, 256).alias("sha256"))
+    return table(bounded_batches(spark), d, "documents").select("doc_id", F.length(folded).cast("long").alias("n_chars"), F.sha2(folded, 256).alias("sha256"))
 
 
 def _yearly(spark, d):
