@@ -27,48 +27,132 @@ def merkle_root(leaves: Column, depth: int = 32) -> Column:
     return F.when(F.size(leaves) == 0, F.lit(EMPTY)).otherwise(F.get(folded, F.lit(0)))
 
 
-def _folded(nodes: Column, levels: int, alone: Column) -> Column:
-    """A level of nodes after so many levels up; where it is alone, not beyond its root."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), nodes, lambda level, _: F.when(alone & (F.size(level) <= 1), level).otherwise(_level_up(level)))
+def _beside(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left with the columns of the few rows of right (null where it has none) that have equal or equally missing keys; left stays where it is."""
+    named = F.broadcast(right.withColumnsRenamed({k: f"_of_{i}" for i, k in enumerate(on)}))
+    return left.join(named, reduce(and_, [left[k].eqNullSafe(named[f"_of_{i}"]) for i, k in enumerate(on)]), "left").drop(*[f"_of_{i}" for i in range(len(on))])
 
 
-def _beside(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """left joined with right on equal or equally missing keys; left's keys stay."""
-    named = right.withColumnsRenamed({k: f"_of_{i}" for i, k in enumerate(on)})
-    return left.join(named, reduce(and_, [left[k].eqNullSafe(named[f"_of_{i}"]) for i, k in enumerate(on)])).drop(*[f"_of_{i}" for i in range(len(on))])
+def _subtrees(by: list[str], text: bool, whole: bool):
+    """Batches in the order of by and _leaf to those of the largest subtrees of each run of leaves, or (whole) batches of these in order to roots.
 
+    A run is what has one _at, the place in its group of the run's first leaf. Only a stack of subtrees is kept between batches, two of
+    a level at most. A run of missing leaves is one row without a node.
+    """
 
-def merkle_by(rows: DataFrame, by: list[str], leaf: str, levels: int = 10, prefix: int | None = None) -> DataFrame:
-    """The root over each group's distinct leaves in order, however many they are.
+    def fold(batches: Iterator) -> Iterator:
+        from hashlib import sha256
 
-    A group of no more than 2^levels rows is one array, and folded at once. Leaves of others get their places by counting over their
-    leading signs (digests spread evenly over those), as many signs as leave 2^levels leaves to each (or prefix, for all groups); then
-    they are folded in subtrees of 2^levels leaves, and those once more, so that no array holds a group: the last one has a root of
-    each 4^levels leaves.
+        import numpy as np
+        import pyarrow as pa
+
+        def parts(nodes: list[bytes], at: int) -> list[tuple]:
+            """The largest subtrees (level, place in it, digest) of consecutive leaves from a place on, from left to right."""
+            left, right, level = [], [], 0
+            while nodes:
+                if at & 1:
+                    left.append((level, at, nodes[0]))
+                    nodes, at = nodes[1:], at + 1
+                if len(nodes) & 1:
+                    right.append((level, at + len(nodes) - 1, nodes[-1]))
+                    nodes = nodes[:-1]
+                nodes = [sha256(a + b).digest() for a, b in zip(nodes[::2], nodes[1::2])]
+                level, at = level + 1, at >> 1
+            return left + right[::-1]
+
+        def grow(stack: list, level: int, place: int, node: bytes) -> None:
+            """Put the next subtree on the stack, with those before it that it completes."""
+            while place & 1 and stack and stack[-1][:2] == (level, place - 1):
+                node = sha256(stack.pop()[2] + node).digest()
+                level, place = level + 1, place >> 1
+            stack.append((level, place, node))
+
+        def ended(key: tuple, stack: list) -> list[tuple]:
+            if not whole:
+                return [(*key[:-1], place << level, level, node) for level, place, node in stack] or [(*key[:-1], 0, None, None)]
+            n = sum(1 << level for level, _, _ in stack)
+            while len(stack) > 1:
+                # the last node of a level is paired with itself
+                level, place, node = stack[-1]
+                if place & 1:
+                    raise ValueError(f"subtrees of {key} don't adjoin")
+                grow(stack, level, place + 1, node)
+            return [(*key, n, stack[0][2].hex() if stack else EMPTY)]
+
+        def firsts(columns: list[pa.Array], n: int) -> list[int]:
+            """Where a row's key is another than that of the row before it."""
+            new = np.arange(n) == 0
+            for c in columns:
+                codes = np.array([repr(x) for x in c.to_pylist()]) if pa.types.is_nested(c.type) else c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            return np.flatnonzero(new).tolist()
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        key, stack, last, at, schema = None, [], None, 0, None
+        more = [("n_leaves", pa.int64()), ("root", pa.string())] if whole else [("_at", pa.int64()), ("_level", pa.int32()), ("_node", pa.binary())]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            schema = schema or pa.schema([*[batch.schema.field(k) for k in by], *[pa.field(*f) for f in more]])
+            keys = [batch.column(k) for k in ([*by] if whole else [*by, "_at"])]
+            leaves = batch.column("_node" if whole else "_leaf").to_numpy(zero_copy_only=False).tolist()
+            places, levels = (batch.column(c).to_pylist() for c in ("_at", "_level")) if whole else (None, None)
+            starts, out = firsts(keys, batch.num_rows), []
+            for i, end in zip(starts, [*starts[1:], batch.num_rows]):
+                now = tuple(c[i].as_py() for c in keys)
+                # NaN is a key too, though unequal to itself
+                if now != key and repr(now) != repr(key):
+                    out += [] if key is None else ended(key, stack)
+                    key, stack, last, at = now, [], None, 0 if whole else now[-1]
+                if whole:
+                    found = [(levels[j], places[j] >> levels[j], leaves[j]) for j in range(i, end) if leaves[j] is not None]
+                else:
+                    few = [b for a, b in zip([last, *leaves[i : end - 1]], leaves[i:end]) if b is not None and a != b]
+                    last = few[-1] if few else last
+                    found = parts([bytes.fromhex(x) for x in few] if text else few, at)
+                    at += len(few)
+                for subtree in found:
+                    grow(stack, *subtree)
+            if out:
+                yield made(out)
+        if key is not None:
+            yield made(ended(key, stack))
+
+    return fold
+
+
+def merkle_by(rows: DataFrame, by: list[str], leaf: str, levels: int = 16, prefix: int | None = None) -> DataFrame:
+    """The root over each group's distinct leaves in order, however many they are. Leaves are digests, as hex texts or (half the size) as bytes.
+
+    Leaves are shuffled once. A group of no more than 2^levels rows is one run of its partition. One of more is parted by as many
+    leading hex signs as leave 2^levels leaves to each part (or prefix, for all groups), digests being spread evenly over those; what
+    was shuffled is counted first, so that each part knows its first leaf's place. A run is read once, in order, and leaves its largest subtrees, two of a
+    level at most; those of a group are put together in the same way. No array holds a group or a part. The sizes that are broadcast
+    are a row for each 2^levels rows and one for each 2^(levels - 4), at most.
     """
-    signs = F.greatest(F.ceil(F.log(F.col("_rows") / (1 << levels)) / F.log(F.lit(16.0))), F.lit(0)) if prefix is None else F.lit(prefix)
+    text = isinstance(rows.schema[leaf].dataType, T.StringType)
     rows = rows.select(*by, F.col(leaf).alias("_leaf"))
-    rows = _beside(rows, rows.groupBy(*by).agg(F.count("*").alias("_rows")).select(*by, signs.cast("int").alias("_signs")), by)
-    parts = rows.groupBy(*by, F.substring(F.col("_leaf"), F.lit(1), F.col("_signs")).alias("_start"), "_signs").agg(F.array_sort(F.collect_set("_leaf")).alias("_leaves"))
-    # a group that is one array goes on as its root alone, or as nothing
-    root = F.filter(F.array(F.when(F.size("_leaves") > 0, merkle_root(F.col("_leaves"), levels))), lambda x: x.isNotNull())
-    parts = parts.select(*by, "_start", F.size("_leaves").cast("long").alias("_leaf_count"), F.when(F.col("_signs") == 0, root).otherwise(F.col("_leaves")).alias("_leaves"))
+    if prefix is None:
+        large = rows.groupBy(*by).agg(F.count("*").alias("_rows")).where(F.col("_rows") > (1 << levels))
+        rows = _beside(rows, large.select(*by, F.ceil(F.log(F.col("_rows") / (1 << levels)) / F.log(F.lit(16.0))).cast("int").alias("_signs")), by)
+    else:
+        rows = rows.withColumn("_signs", F.lit(prefix))
+    start = F.col("_leaf") if text else F.hex(F.substring("_leaf", 1, 8))
+    start = F.when(F.col("_leaf").isNotNull() & (F.col("_signs") > 0), F.substring(start, F.lit(1), F.col("_signs"))).otherwise("")
     keys = [*by, "_start"]
-    sizes = parts.select(*keys, "_leaf_count", F.size("_leaves").cast("long").alias("_size"))
-    whole, before = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_n": F.sum("_size").over(whole), "_count": F.sum("_leaf_count").over(whole)}).drop("_size", "_leaf_count")
-    placed = _beside(parts, sizes, keys).select(*by, "_count", "_n", "_before", F.posexplode_outer("_leaves").alias("_at", "_node"))
-    nodes = placed.select(*by, "_count", "_n", (F.col("_before") + F.col("_at")).alias("_at"), "_node").where("_node is not null or _n = 0")
-    left = F.col("_n")
-    for _ in range(2):
-        subtree = F.floor(F.col("_at") / (1 << levels)).cast("long")
-        nodes = nodes.groupBy(*by, "_count", "_n", subtree.alias("_at")).agg(F.array_sort(F.collect_list(F.struct("_at", "_node"))).alias("_nodes"))
-        # a subtree beside others is folded over all its levels, where its odd last node is paired with itself; a lone one ends at its root
-        alone, left = left <= (1 << levels), F.ceil(left / (1 << levels))
-        fold = _folded(F.transform("_nodes", lambda x: x["_node"]), levels, alone)
-        nodes = nodes.select(*by, "_count", "_n", "_at", F.get(fold, F.lit(0)).alias("_node"))
-    top = nodes.groupBy(*by, "_count", "_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_node"))), lambda x: x["_node"]).alias("_nodes"))
-    return top.select(*by, F.col("_count").alias("n_leaves"), F.when(F.col("_n") == 0, F.lit(EMPTY)).otherwise(merkle_root(F.col("_nodes"))).alias("root"))
+    rows = rows.select(*by, start.alias("_start"), "_leaf").repartition(*keys)
+    # what makes up a whole group is not counted; that is in the sum and no filter, which would be moved before the shuffle and make another
+    sizes = rows.groupBy(*keys).agg(F.count_distinct(F.when(F.col("_start") != "", F.col("_leaf"))).alias("_size")).where("_size > 0")
+    before = F.sum("_size").over(Window.partitionBy(*by).orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    placed = _beside(rows, sizes.select(*keys, before.alias("_before")), keys)
+    runs = placed.select(*by, F.coalesce("_before", F.lit(0)).alias("_at"), "_leaf").sortWithinPartitions(*by, "_leaf")
+    kinds = [rows.schema[k] for k in by]
+    part = T.StructType([*kinds, T.StructField("_at", T.LongType()), T.StructField("_level", T.IntegerType()), T.StructField("_node", T.BinaryType())])
+    root = T.StructType([*kinds, T.StructField("n_leaves", T.LongType()), T.StructField("root", T.StringType())])
+    nodes = runs.mapInArrow(_subtrees(by, text, False), part).repartition(*by).sortWithinPartitions(*by, "_at")
+    return nodes.mapInArrow(_subtrees(by, False, True), root)
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:

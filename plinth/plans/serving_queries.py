@@ -24,7 +24,7 @@ _ROWS = f"{FARES_SQL}, rows as (select *, {_FARE_SQL} as fare, l_returnflag = 'N
 
 def merkle_root(spark, d):
     """Roots over the fingerprints of each route's lines of each month."""
-    leaf = F.sha2(F.concat_ws("\x1f", "l_orderkey", "l_linenumber", "l_suppkey", "item"), 256)
+    leaf = F.unhex(F.sha2(F.concat_ws("\x1f", "l_orderkey", "l_linenumber", "l_suppkey", "item"), 256))
     return provenance.merkle_by(fares(spark, d).select("route", F.date_format("observed_on", "yyyy-MM").alias("month"), leaf.alias("leaf")), ["route", "month"], "leaf")
 
 

@@ -592,3 +592,34 @@ def test_survivors_by_fields_are_those_by_their_digest(spark):
     rows = rows.withColumn("content", F.col("key"))
     out = [dedup.winners_linked(dedup.survivors(rows, by, "trust", "complete", "seen", "content", "price"), by, "key").select("key", "place", "members", "dedup_reason", "conflict", "duplicate_of") for by in ("fp", ["a", "b"])]
     assert sorted(map(str, out[0].collect())) == sorted(map(str, out[1].collect()))
+
+
+def test_merkle_by_shuffles_leaves_once(spark):
+    """Leaves are in one exchange, which both the count of parts and the fold read; what follows it are sizes and subtrees."""
+    rows = spark.range(2000).select((F.col("id") % 3).alias("g"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("leaf"))
+    for levels in (16, 4):
+        df = provenance.merkle_by(rows, ["g"], "leaf", levels)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "ReusedExchange" not in x]
+        assert sum("_start" in x for x in shuffles) == 1
+        # and of the subtrees, of the groups' counts, of the parts' sizes
+        assert len([x for x in shuffles if "_start" not in x]) <= 3
+
+
+def test_merkle_by_over_batches_and_kinds_of_leaves(spark):
+    """Runs and groups that go over several batches, leaves as texts and as bytes, and keys that are NaN, zero of either sign or missing."""
+    nan = float("nan")
+    sizes = {nan: 37, 0.0: 21, None: 65, 2.5: 1, 7.0: 0, 8.0: 300}
+    leaves = {g: sorted(hashlib.sha256(f"{g}{i}".encode()).hexdigest() for i in range(n)) for g, n in sizes.items()}
+    rows = [(g if g != 0 or i % 2 else -0.0, i % 1, x) for g, xs in leaves.items() for i, x in enumerate([*xs, *xs[:3], None])]
+    table = spark.createDataFrame(rows, "g double, h int, leaf string")
+    want = sorted((str(g), len(xs), merkle(xs)) for g, xs in leaves.items())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for levels, prefix in ((16, None), (2, None), (16, 2)):
+            for made in (table, table.withColumn("leaf", F.unhex("leaf"))):
+                out = provenance.merkle_by(made, ["g", "h"], "leaf", levels, prefix).collect()
+                assert sorted((str(r["g"]).replace("-0.0", "0.0"), r["n_leaves"], r["root"]) for r in out) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
