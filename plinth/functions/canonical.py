@@ -42,9 +42,16 @@ def local_day(utc: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(utc, ZONE))
 
 
+#: Known layouts, each with what any text of it has: a layout that doesn't fit costs an exception.
+_LAYOUTS = {
+    "yyyy-MM-dd HH:mm:ss": r"-[0-9]{2} [0-9]{2}:[0-9]{2}:", "yyyy-MM-dd HH:mm": r"-[0-9]{2} [0-9]{2}:[0-9]{2}$", "dd-MM-yyyy HH:mm": r"^[0-9]{2}-[0-9]{2}-", "dd/MM/yyyy HH:mm": r"^[0-9]{2}/[0-9]{2}/",
+    "yyyy-MM-dd'T'HH:mm:ss": r"-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:", "yyyy-MM-dd'T'HH:mm": r"-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}$",
+}
+
+
 def local_timestamp(raw: Column) -> Column:
     """Text in one of the known layouts, or ISO with or without an offset, to UTC; without an offset it is local time."""
-    naive = F.coalesce(*[F.try_to_timestamp(raw, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "dd-MM-yyyy HH:mm", "dd/MM/yyyy HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm")])
+    naive = F.coalesce(*[F.when(F.regexp_like(raw, F.lit(has)), F.try_to_timestamp(raw, F.lit(f))) for f, has in _LAYOUTS.items()])
     offset = F.regexp_like(raw, F.lit(r"(?:Z|[+-][0-9]{2}:?[0-9]{2})$")) & F.contains(raw, F.lit(":"))
     return F.when(offset, raw.try_cast("timestamp")).otherwise(F.to_utc_timestamp(naive, ZONE))
 

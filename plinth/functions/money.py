@@ -7,8 +7,9 @@ negative_rejected or wrong_currency; value is set for ok alone.
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts that say that no value is published: fixed values.
@@ -31,8 +32,10 @@ MAGNITUDES = (
 )
 #: The shape of an amount: fixed value.
 _AMOUNT = r"^([-+])?([^0-9\s]{0,6}?)\s*([0-9][0-9.,]*)\s*([^0-9\s]{0,8})$"
-#: Amounts that need no reading: digits that fit, without any mark or with a point before one or two: fixed value.
-_PLAIN = r"^[0-9]{1,9}(?:\.[0-9]{1,2})?\z"
+#: Amounts that need no reading: digits that fit, without any mark or with a point before one or two, with or without a minus: fixed value.
+_PLAIN = r"^-?[0-9]{1,9}(?:\.[0-9]{1,2})?\z"
+#: Amounts after a sign or code of the rupee, grouped or not, for which all steps come to a cast as well: fixed value.
+_RUPEES = r"^(?:(?i:₹|rs\.?|inr) ?)?((?:[0-9]{1,9}|[0-9]{1,3}(?:,[0-9]{2,3})?,[0-9]{3})(?:\.[0-9]{1,2})?)\z"
 #: Compatibility forms that money text is seen with: other digits, dashes and blanks, and the rupee sign's long form.
 _FROM = "०१२३४५६७८९０１２３４５６７８９−–—－    　．，"
 _TO = "01234567890123456789----     .,"
@@ -82,11 +85,28 @@ def _first(pairs, test, otherwise: Column) -> Column:
     return out.otherwise(otherwise)
 
 
+def _result(status: Column | str, value: Column | None, currency: Column) -> Column:
+    return F.struct((F.lit(None) if value is None else value).cast("decimal(12,2)").alias("value"), (F.lit(status) if isinstance(status, str) else status).alias("status"), currency.cast("string").alias("currency"))
+
+
+def plain_money(raw: Column, expected: str | None = None, allow_negative: bool = False) -> Column:
+    """As parse_money(), of texts in the most common writings, without any lambda (those are interpreted); null for all others."""
+    default = F.lit(expected).cast("string")
+    rupees = F.translate(F.regexp_extract(raw, _RUPEES, 1), ",", "").try_cast("decimal(12,2)")
+    told = F.when(raw.isNull(), _result("missing", None, default))
+    if not allow_negative:
+        told = told.when(F.regexp_like(raw, F.lit(_PLAIN)) & (raw.try_cast("decimal(12,2)") < 0), _result("negative_rejected", None, default))
+    told = told.when(F.regexp_like(raw, F.lit(_PLAIN)), _result("ok", raw.try_cast("decimal(12,2)"), default))
+    marked = F.when(F.regexp_like(raw, F.lit("^[0-9]")), default).otherwise("INR")
+    told = told.when(rupees.isNotNull() & (marked != F.lit(expected)), _result("wrong_currency", None, marked)).when(rupees.isNotNull(), _result("ok", rupees, marked))
+    return told.when(F.lower(raw).isin(*MISSING), _result("missing", None, default))
+
+
 def parse_money(raw: Column, expected: str | None = None, allow_negative: bool = False) -> Column:
     default = F.lit(expected).cast("string")
 
     def result(status: Column | str, value: Column | None = None, currency: Column = default) -> Column:
-        return F.struct((F.lit(None) if value is None else value).cast("decimal(12,2)").alias("value"), (F.lit(status) if isinstance(status, str) else status).alias("status"), currency.cast("string").alias("currency"))
+        return _result(status, value, currency)
 
     # each step is bound once, with what later steps need of the ones before
     def judge(a: Column) -> Column:
@@ -131,4 +151,15 @@ def parse_money(raw: Column, expected: str | None = None, allow_negative: bool =
         return F.when(F.lower(text).isin(*MISSING), result("missing")).otherwise(parts)
 
     # most amounts are plain numbers, for which all of the steps above come to a cast
-    return F.when(F.regexp_like(raw, F.lit(_PLAIN)), result("ok", raw)).when(raw.isNull(), result("missing")).otherwise(_let(fold(raw), of_text))
+    return F.coalesce(plain_money(raw, expected, allow_negative), _let(fold(raw), of_text))
+
+
+def parse_all(rows: DataFrame, texts: str, n: int, into: str) -> DataFrame:
+    """rows with the first n texts of an array as parse_money() reads them, in columns {into}0 and on.
+
+    The long way is taken for those texts alone that plain_money() doesn't settle, and in one expression for all of them.
+    """
+    quick = rows.withColumns({f"{into}{i}": plain_money(F.get(texts, F.lit(i))) for i in range(n)})
+    hard = quick.withColumn("_hard", F.array(*[F.when(F.col(f"{into}{i}").isNull(), F.get(texts, F.lit(i))) for i in range(n)]))
+    read = hard.withColumn("_hard", F.when(reduce(or_, [F.col(f"{into}{i}").isNull() for i in range(n)]), F.transform("_hard", lambda x: parse_money(x))))
+    return read.withColumns({f"{into}{i}": F.coalesce(f"{into}{i}", F.get("_hard", F.lit(i))) for i in range(n)}).drop("_hard")

@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+def named(*pairs: tuple[Column, str]) -> Column:
+    """The names, each once, whose tests hold; without a lambda, which would leave the tests to be interpreted."""
+    return F.array_except(F.array(*[F.when(test, F.lit(name)) for test, name in pairs]), F.array(F.lit(None).cast("string")))
+
+
 COMPONENTS = ("base_fare", "udf", "psf", "asf", "gst", "other_charges")
 ABS_TOLERANCE, REL_TOLERANCE = 0.05, 0.005
 
@@ -17,7 +22,7 @@ def component_audit(rows: DataFrame, components: tuple[str, ...] = COMPONENTS, t
     unparseable: a column of type array<string> naming components whose text could not be read.
     """
     t = F.col(total)
-    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in components]), lambda x: x.isNotNull())
+    missing = named(*[(F.col(c).isNull(), c) for c in components])
     known = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0).cast("decimal(12,2)")) for c in components])
     gap = t - known
     derives = t.isNotNull() & (F.size(missing) == 1) & (gap >= 0)
@@ -29,14 +34,10 @@ def component_audit(rows: DataFrame, components: tuple[str, ...] = COMPONENTS, t
     close = F.abs(residual) <= F.greatest(F.lit(ABS_TOLERANCE).cast("decimal(12,2)"), F.abs(t) * F.lit(REL_TOLERANCE).cast("decimal(6,3)"))
     grade = F.when(t.isNull(), "D").when((F.size(left) > 0) & corrupt, "C").when(F.size(left) > 0, "B").when(close, "A").otherwise("C")
     zero = reduce(lambda a, b: a | b, [F.coalesce(F.col(c) == 0, F.lit(False)) for c in components])
-    flags = F.filter(
-        F.array(
-            F.when(t.isNotNull() & zero, "EXPLICIT_ZERO"),
-            F.when(derives, "COMPONENT_DERIVED"),
-            F.when(t.isNotNull() & (F.size(left) > 0), F.when(corrupt, "COMPONENT_UNPARSEABLE").otherwise("PARTIAL_BREAKDOWN")),
-            F.when(t.isNotNull() & (F.size(left) == 0) & ~close, "TOTAL_MISMATCH"),
-        ),
-        lambda x: x.isNotNull(),
+    partial, doubtful = t.isNotNull() & (F.size(left) > 0), F.coalesce(corrupt, F.lit(False))
+    flags = named(
+        (t.isNotNull() & zero, "EXPLICIT_ZERO"), (derives, "COMPONENT_DERIVED"), (partial & doubtful, "COMPONENT_UNPARSEABLE"), (partial & ~doubtful, "PARTIAL_BREAKDOWN"),
+        (t.isNotNull() & (F.size(left) == 0) & ~close, "TOTAL_MISMATCH"),
     )
     whole = t.isNotNull() & (F.size(left) == 0)
     return rows.withColumns({"derived": F.when(derives, F.get(missing, F.lit(0))), "derived_amount": F.when(derives, gap), "n_missing": F.size(left), "quality_grade": grade, "flags": flags, "taxes_fees": F.when(whole, summed - base), "residual": F.when(whole, residual)})

@@ -141,6 +141,19 @@ def flagged(scores: DataFrame, by: list[str], tie: str, threshold: float = THRES
     return scores.withColumn("is_outlier", beyond & (rank <= _most(cap)))
 
 
+def capped(scores: DataFrame, by: list[str], tie: str, threshold: float = THRESHOLD, cap: float = CAP) -> DataFrame:
+    """As flagged(), where tie differs among a stratum's rows beyond the threshold. Those alone are ranked, and scores are not shuffled.
+
+    Of each stratum that has more of them than may be flagged, the last one that may is found and written first (see lineage.written).
+    """
+    size, beyond = F.abs("score"), F.coalesce(F.abs("score") > threshold, F.lit(False))
+    whole = Window.partitionBy(*by)
+    ranked = scores.where(beyond).select(*by, "n", size.alias("_least"), F.col(tie).alias("_tie")).withColumns({"_rank": F.row_number().over(whole.orderBy(F.col("_least").desc(), "_tie")), "_beyond": F.count("*").over(whole)})
+    last = written(ranked.where((F.col("_beyond") > _most(cap)) & (F.col("_rank") == _most(cap))).select(*by, "_least", "_tie"))
+    within = F.col("_least").isNull() | (size > F.col("_least")) | ((size == F.col("_least")) & (F.col(tie) <= F.col("_tie")))
+    return scores.join(last, by, "left").withColumn("is_outlier", beyond & within).drop("_least", "_tie")
+
+
 def _most(cap: float) -> Column:
     """How many of a stratum may be flagged."""
     return F.greatest(F.floor(F.col("n") * cap), F.lit(1))

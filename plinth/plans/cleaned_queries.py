@@ -17,6 +17,8 @@ from plinth.streaming import cleaning
 #: Where an item's fields are in the payloads.
 FIELDS = ("carrier_iata", "flight_number", "cabin", "fare_basis", "booking_class", "departure_local", "arrival_local", "inventory_status", "seats_remaining", "is_refundable", "currency", *cleaning.AMOUNTS)
 MAPPING = Mapping("$.fares", {c: f"$.{c}" for c in FIELDS})
+#: Files of the payloads' log, which are one batch: a quarter's payloads belong in one.
+FILES = 48
 #: Carriers as written, by line number, and what they mean.
 CARRIERS = (("6E - INDIGO", "6E"), ("ai/ix", "AI"), (" uk ", "UK"), ("Q", None), ("SG8-x", "SG8"), ("6E", "6E"), ("AI", "AI"))
 
@@ -41,7 +43,8 @@ def payloads(spark, d):
         _nth(WINDOWS, k % 5 + 1).alias("lead_window"), seen.alias("seen"), (seen.cast("timestamp") + F.expr("interval 6 hours") + F.expr("interval 1 hour") * F.col("copy")).alias("captured_at"),
     )
     line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_linenumber").cast("int").alias("n"), "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_tax", "l_quantity", F.col("l_extendedprice").cast("decimal(12,2)").alias("price"))
-    rows = raw.join(line, "order")
+    # one shuffle by order serves the join, the lists and the files
+    rows = raw.repartition(FILES, "order").join(line.repartition(FILES, "order"), "order")
     k, n, c = F.col("order"), F.col("n"), F.pmod("order", F.lit(6))
     total = (F.col("price") * F.when((F.col("l_tax") == 0.08) & (n == 1), 40).otherwise(1) * F.when((F.col("copy") == 1) & (k % 8 == 0), 2).otherwise(1)).cast("decimal(12,2)")
     rows = rows.withColumn("total", total)
@@ -55,9 +58,9 @@ def payloads(spark, d):
         "seats_remaining": F.col("l_quantity").cast("int").cast("string"), "total_fare": F.when(F.col("l_partkey") % 37 == 0, "4,521/-").when(F.col("l_partkey") % 41 == 0, "N/A").otherwise(text),
         "base_fare": F.when(c.isin(0, 3), base).when(c.isin(4, 5), "-500"), "udf": F.when(~c.isin(2, 5), "60.00"), "psf": F.when(c == 3, "500").otherwise("40"), **{x: F.lit("0") for x in ("asf", "gst", "other_charges")},
     }
-    listed = rows.groupBy("order", "copy").agg(F.collect_list(F.struct(*[x.alias(name) for name, x in item.items()])).alias("fares"))
+    made = rows.groupBy(*raw.columns).agg(F.collect_list(F.struct(*[x.alias(name) for name, x in item.items()])).alias("fares"))
     whole = F.to_json(F.struct("fares"))
-    made = raw.join(listed, ["order", "copy"]).withColumn("payload", F.when((F.col("copy") == 0) & (F.col("order") % 31 == 0), F.left(whole, F.length(whole) - 2)).otherwise(whole))
+    made = made.withColumn("payload", F.when((F.col("copy") == 0) & (F.col("order") % 31 == 0), F.left(whole, F.length(whole) - 2)).otherwise(whole))
     return made.select("raw_id", "source", "route", "lead_window", "captured_at", "payload")
 
 
@@ -69,10 +72,10 @@ def chain(spark, d, folder):
 
 
 def _cleaned(spark, d):
-    """The chain, run over a stream of the payloads' log; a quarter's payloads are one file at most, and so in one batch."""
+    """The chain, run over a stream of the payloads' log; all of its files are one batch, and so a quarter's payloads are."""
     folder = f"{shared_folder(spark)}/cleaning-{uuid.uuid4().hex}"
     raw = payloads(spark, d)
-    raw.repartitionByRange(8, "captured_at").write.parquet(f"{folder}/raw")
+    raw.write.parquet(f"{folder}/raw")
     made = chain(spark, d, folder)
     made.run(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/raw"))
     return made

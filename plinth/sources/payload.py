@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -56,10 +57,29 @@ def dig(node: Column, path: list[str]) -> Column:
     return node
 
 
+#: A path that is a name of the item itself: fixed value.
+_NAME = re.compile(r"\$\.([A-Za-z_][A-Za-z0-9_]*)", re.ASCII)
+
+
+def _names(mapping: Mapping) -> dict[str, tuple[str, str]] | None:
+    """Column to name and type, if all that a mapping wants are an item's own names, each as one type; else null."""
+    found = {c: (m[1], mapping.types.get(c, "string")) for c, path in mapping.fields.items() if (m := _NAME.fullmatch(path))}
+    kinds = set(found.values())
+    plain = len(found) == len(mapping.fields) and not mapping.sold_out and all(re.fullmatch(r"\w+(\([\d, ]+\))?", kind) for _, kind in kinds)
+    return found if plain and len({name.lower() for name, _ in kinds}) == len(kinds) else None
+
+
 def extract(raw: DataFrame, mapping: Mapping, payload: str = "payload") -> DataFrame:
-    """One row an item, with raw's other columns; a path that isn't there gives null, never zero. Bad JSON gives no rows."""
-    items = F.explode(F.try_variant_get(F.try_parse_json(F.col(payload)), mapping.results, "array<variant>"))
-    rows = raw.select(*[c for c in raw.columns if c != payload], items.alias("_item"))
+    """One row an item, with raw's other columns; a path that isn't there gives null, never zero. Bad JSON gives no rows.
+
+    Where all paths are names of the item, an item is read once, as a struct; else it is searched for each path.
+    """
+    kept, parsed, names = [c for c in raw.columns if c != payload], F.try_parse_json(F.col(payload)), _names(mapping)
+    if names:
+        kinds = ", ".join(f"`{name}`: {kind}" for name, kind in dict.fromkeys(names.values()))
+        rows = raw.select(*kept, F.explode(F.try_variant_get(parsed, mapping.results, f"array<struct<{kinds}>>")).alias("_item"))
+        return rows.select(*kept, *[F.col("_item")[name].alias(c) for c, (name, _) in names.items()])
+    rows = raw.select(*kept, F.explode(F.try_variant_get(parsed, mapping.results, "array<variant>")).alias("_item"))
     cols = {name: F.try_variant_get("_item", path, mapping.types.get(name, "string")) for name, path in mapping.fields.items()}
     if mapping.sold_out:
         cols["is_sold_out"] = _is_sold_out(F.col("_item"), mapping.sold_out)

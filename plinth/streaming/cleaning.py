@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import canonical
-from plinth.functions.money import parse_money
+from plinth.functions.money import parse_all
 from plinth.functions.text_forms import nfkc_of_each
 from plinth.operators import audit, dedup, robust
 from plinth.sources import sinks
@@ -40,19 +40,22 @@ CONTENT = ("total_fare", *audit.COMPONENTS, "inventory_status")
 #: What a winner may have won by: completeness decides, but is never named.
 REASONS = ("source_trust", "freshness")
 DRIFT_DAYS, GRACE_HOURS = 1, 3
+#: Sources, and routes, that may be broadcast; more of them are joined by a shuffle.
+BROADCAST = 100_000
 COUNTERS = ("extracted", "currency_failures", "canonicalisation_failures", "structural_rejects", "partial_breakdown", "total_mismatch", "sold_out", "price_unavailable", "duplicates", "cross_source_conflicts", "outliers", "written")
 
 
-def _flags(*pairs: tuple[Column, str]) -> Column:
-    return F.filter(F.array(*[F.when(test, F.lit(name)) for test, name in pairs]), lambda x: x.isNotNull())
-
-
 def _refused(rows: DataFrame, stage: str, test: Column, reason: Column) -> DataFrame:
     """rows with stage and reason where no earlier stage has refused the row and the test holds."""
     hit = F.col("stage").isNull() & F.coalesce(test, F.lit(False))
     return rows.withColumns({"reason": F.when(hit, reason).otherwise(F.col("reason")), "stage": F.when(hit, F.lit(stage)).otherwise(F.col("stage"))})
 
 
+def _dimension(rows: DataFrame) -> DataFrame:
+    """rows, broadcast if they are BROADCAST at most: a few sources that have all the payloads would else be as many tasks."""
+    return F.broadcast(rows) if rows.limit(BROADCAST + 1).count() <= BROADCAST else rows
+
+
 def extracted(raw: DataFrame, mapping: Mapping) -> DataFrame:
     """raw's columns with a row for each item of its payload; stage and reason are still null."""
     none = F.lit(None).cast("string")
@@ -62,13 +65,13 @@ def extracted(raw: DataFrame, mapping: Mapping) -> DataFrame:
 def priced(rows: DataFrame, currency: str) -> DataFrame:
     """Stage 2: amounts as decimals, which of them could not be read, and the currency that was given if it is another."""
     given = F.upper(F.trim(F.coalesce(F.nullif("currency", F.lit("")), F.lit(currency))))
-    # one reading for all amounts, over an array of their texts
-    read = rows.withColumns({"_read": F.transform(nfkc_of_each(F.array(*[F.col(c) for c in AMOUNTS])), lambda x: parse_money(x)), "original_currency": F.nullif(given, F.lit(currency)), "currency": F.lit(currency)})
-    told = {c: F.col("_read")[i] for i, c in enumerate(AMOUNTS)}
+    texts = rows.withColumns({"_texts": nfkc_of_each(F.array(*[F.col(c) for c in AMOUNTS])), "original_currency": F.nullif(given, F.lit(currency)), "currency": F.lit(currency)})
+    read = parse_all(texts, "_texts", len(AMOUNTS), "_read")
+    told = {c: F.col(f"_read{i}") for i, c in enumerate(AMOUNTS)}
     bad = {c: F.col(c).isNotNull() & ~told[c]["status"].isin("ok", "missing") for c in AMOUNTS}
-    read = read.withColumn("unparseable", _flags(*[(bad[c], c) for c in AMOUNTS]))
+    read = read.withColumn("unparseable", audit.named(*[(bad[c], c) for c in AMOUNTS]))
     read = read.withColumns({c: told[c]["value"] for c in AMOUNTS})
-    return _refused(read, "currency", F.array_contains("unparseable", "total_fare"), F.concat(F.lit("total_fare "), told["total_fare"]["status"])).drop("_read")
+    return _refused(read, "currency", F.array_contains("unparseable", "total_fare"), F.concat(F.lit("total_fare "), told["total_fare"]["status"])).drop("_texts", *[f"_read{i}" for i in range(len(AMOUNTS))])
 
 
 def canonicalised(rows: DataFrame) -> DataFrame:
@@ -106,7 +109,7 @@ def audited(rows: DataFrame) -> DataFrame:
     out = audit.component_audit(rows.withColumnRenamed("taxes_fees", "_given"), total="total_fare", unparseable="unparseable")
     out = out.withColumn("taxes_fees", F.coalesce("taxes_fees", "_given").cast("decimal(12,2)")).drop("_given")
     out = out.withColumns({c: F.when(F.col("derived") == c, F.col("derived_amount")).otherwise(F.col(c)).cast("decimal(12,2)") for c in audit.COMPONENTS})
-    marks = _flags((F.col("inventory_status") == "SOLD_OUT", "SOLD_OUT"), (F.col("inventory_status") == "PRICE_UNAVAILABLE", "PRICE_UNAVAILABLE"), (F.col("_modelled"), "MODELLED"), (F.col("lead_drift").isNotNull(), "STALE_OBSERVATION"))
+    marks = audit.named((F.col("inventory_status") == "SOLD_OUT", "SOLD_OUT"), (F.col("inventory_status") == "PRICE_UNAVAILABLE", "PRICE_UNAVAILABLE"), (F.col("_modelled"), "MODELLED"), (F.col("lead_drift").isNotNull(), "STALE_OBSERVATION"))
     tokens = {"departure_utc": "timestamp", **dict.fromkeys(CONTENT[:-1], "decimal")}
     fields = {c: dedup.token(F.col(c), tokens.get(c, "text")) for c in (*IDENTITY, *CONTENT)}
     out = out.withColumns({"flags": F.concat(marks, "flags"), "fingerprint": dedup.digest([fields[c] for c in IDENTITY]), "completeness": audit.completeness(audit.COMPONENTS, F.col("quality_grade"), F.col("flight_number"), F.col("total_fare"))})
@@ -114,19 +117,21 @@ def audited(rows: DataFrame) -> DataFrame:
 
 
 def deduplicated(rows: DataFrame) -> DataFrame:
-    """Stage 6: rows with is_duplicate, dedup_reason, spread and conflict, and the flags that follow."""
+    """Stage 6: rows with is_duplicate, dedup_reason, spread and conflict, and the flags that follow; leads: see Chain.fares()."""
     out = dedup.survivors(rows, "fingerprint", "trust_rank", "completeness", "captured_at", "content_hash", "total_fare", REASONS)
-    more = _flags((F.col("conflict"), "CROSS_SOURCE_CONFLICT"), (F.col("is_duplicate"), "DUPLICATE_SUPPRESSED"))
-    return out.withColumn("flags", F.concat("flags", more))
+    more = audit.named((F.col("conflict"), "CROSS_SOURCE_CONFLICT"), (F.col("is_duplicate"), "DUPLICATE_SUPPRESSED"))
+    # a batch's one row of a source, fingerprint and day, found while rows are together by fingerprint
+    first = F.row_number().over(Window.partitionBy("fingerprint", "source", "observation_date").orderBy("place", "content_hash", "raw_id"))
+    return out.withColumns({"flags": F.concat("flags", more), "leads": first == 1})
 
 
 def screened(rows: DataFrame, threshold: float = robust.THRESHOLD) -> DataFrame:
     """Stage 7: modified z-scores of survivors with a price, by stratum, in log space; outliers of grade A fall to C."""
     judged = rows.withColumn("_price", F.when(~F.col("is_duplicate") & (F.col("total_fare") > 0), F.col("total_fare")))
-    out = robust.flagged(robust.scored(judged, STRATUM, "_price"), STRATUM, "content_hash", threshold)
+    out = robust.capped(robust.scored(judged, STRATUM, "_price"), STRATUM, "content_hash", threshold)
     high, low = F.col("is_outlier") & (F.col("score") > 0), F.col("is_outlier") & (F.col("score") < 0)
     grade = F.when(F.col("is_outlier") & (F.col("quality_grade") == "A"), "C").otherwise(F.col("quality_grade"))
-    return out.withColumns({"flags": F.concat("flags", _flags((high, "OUTLIER_HIGH"), (low, "OUTLIER_LOW"))), "quality_grade": grade}).drop("_price", "n", "uses_log", "centre", "mad", "mean_deviation", "scale", "method", "members")
+    return out.withColumns({"flags": F.concat("flags", audit.named((high, "OUTLIER_HIGH"), (low, "OUTLIER_LOW"))), "quality_grade": grade}).drop("_price", "n", "uses_log", "centre", "mad", "mean_deviation", "scale", "method", "members")
 
 
 def counted(rows: DataFrame, marked: DataFrame) -> DataFrame:
@@ -138,7 +143,7 @@ def counted(rows: DataFrame, marked: DataFrame) -> DataFrame:
         F.count_if(passed & (flag("PARTIAL_BREAKDOWN") | flag("COMPONENT_UNPARSEABLE"))).alias("partial_breakdown"), F.count_if(passed & flag("TOTAL_MISMATCH")).alias("total_mismatch"),
         F.count_if(flag("SOLD_OUT") & ~F.coalesce(F.col("stage").isin("currency", "canonicalisation"), F.lit(False))).alias("sold_out"), F.count_if(flag("PRICE_UNAVAILABLE") & ~F.coalesce(F.col("stage").isin("currency", "canonicalisation"), F.lit(False))).alias("price_unavailable"),
     )
-    then = marked.agg(F.count_if("is_duplicate").alias("duplicates"), F.count_if(F.col("conflict") & (F.col("place") == 1)).alias("cross_source_conflicts"), F.count_if("is_outlier").alias("outliers"), F.count_distinct("source", "fingerprint", "observation_date").alias("written"))
+    then = marked.agg(F.count_if("is_duplicate").alias("duplicates"), F.count_if(F.col("conflict") & (F.col("place") == 1)).alias("cross_source_conflicts"), F.count_if("is_outlier").alias("outliers"), F.count_if(F.col("leads") & F.col("observation_date").isNotNull()).alias("written"))
     return first.crossJoin(then).select(*[F.col(c).cast("long").alias(c) for c in COUNTERS])
 
 
@@ -156,13 +161,14 @@ class Chain:
 
     def stages(self, raw: DataFrame) -> DataFrame:
         """The first five stages over raw (raw_id, source, route, lead_window, captured_at, payload), in one projection."""
-        known = raw.join(self.trust.select("source", "trust_rank"), "source").join(self.routes.select("route", "origin", "destination"), "route", "left")
+        known = raw.join(_dimension(self.trust.select("source", "trust_rank")), "source").join(_dimension(self.routes.select("route", "origin", "destination")), "route", "left")
         return audited(validated(canonicalised(priced(extracted(known, self.mapping), self.currency))))
 
     def failed(self, raw: DataFrame) -> DataFrame:
         """Payloads that can't be read, or whose source is unknown, as rejections."""
-        unknown = raw.join(self.trust.select("source"), "source", "left_anti").select("raw_id", F.concat(F.lit("no collector registered for source "), F.coalesce("source", F.lit(""))).alias("reason"))
-        broken = raw.join(self.trust.select("source"), "source", "left_semi").where(F.try_parse_json("payload").isNull()).select("raw_id", F.lit("payload is not JSON").alias("reason"))
+        known = _dimension(self.trust.select("source").distinct())
+        unknown = raw.join(known, "source", "left_anti").select("raw_id", F.concat(F.lit("no collector registered for source "), F.coalesce("source", F.lit(""))).alias("reason"))
+        broken = raw.join(known, "source", "left_semi").where(F.try_parse_json("payload").isNull()).select("raw_id", F.lit("payload is not JSON").alias("reason"))
         return unknown.unionByName(broken).select("raw_id", F.lit("extraction").alias("stage"), "reason")
 
     def at(self, part: str, number: int | None = None) -> str:
@@ -192,10 +198,15 @@ class Chain:
         return spark.read.parquet(self.at(part)).join(spark.read.parquet(self.at("done")).select("batch"), "batch", "left_semi")
 
     def fares(self, spark: SparkSession) -> DataFrame:
-        """One row for each source, fingerprint and day: the newest batch's, and of that one's the survivor."""
-        keys = ["source", "fingerprint", "observation_date"]
-        newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("batch").desc(), "place", "content_hash", "raw_id"))
-        return self.finished(spark, "marked").withColumn("_nth", newest).where("_nth = 1").drop("_nth", "batch", "stage", "reason", "place", "completeness", "trust_rank")
+        """One row for each source, fingerprint and day: the newest batch's, and of that one's the survivor.
+
+        Each batch has marked the row of each key that leads, so only several batches are compared.
+        """
+        rows = self.finished(spark, "marked").where("leads")
+        if spark.read.parquet(self.at("done")).select("batch").distinct().limit(2).count() > 1:
+            newest = F.row_number().over(Window.partitionBy("source", "fingerprint", "observation_date").orderBy(F.col("batch").desc()))
+            rows = rows.withColumn("_nth", newest).where("_nth = 1").drop("_nth")
+        return rows.drop("batch", "stage", "reason", "place", "completeness", "trust_rank", "leads")
 
     def rejections(self, spark: SparkSession) -> DataFrame:
         return self.finished(spark, "rejections").drop("batch")
