@@ -200,11 +200,13 @@ class Chain:
     def fares(self, spark: SparkSession) -> DataFrame:
         """One row for each source, fingerprint and day: the newest batch's, and of that one's the survivor.
 
-        Each batch has marked the row of each key that leads, so only several batches are compared.
+        Each batch has marked the row of each key that leads, so only several batches are compared, and those of before there were marks.
         """
-        rows = self.finished(spark, "marked").where("leads")
-        if spark.read.parquet(self.at("done")).select("batch").distinct().limit(2).count() > 1:
-            newest = F.row_number().over(Window.partitionBy("source", "fingerprint", "observation_date").orderBy(F.col("batch").desc()))
+        rows = self.finished(spark, "marked")
+        marks = "leads" in rows.columns
+        rows = rows.where(F.coalesce("leads", F.lit(True))) if marks else rows
+        if not marks or spark.read.parquet(self.at("done")).select("batch").distinct().limit(2).count() > 1:
+            newest = F.row_number().over(Window.partitionBy("source", "fingerprint", "observation_date").orderBy(F.col("batch").desc(), "place", "content_hash", "raw_id"))
             rows = rows.withColumn("_nth", newest).where("_nth = 1").drop("_nth")
         return rows.drop("batch", "stage", "reason", "place", "completeness", "trust_rank", "leads")
 

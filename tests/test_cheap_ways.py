@@ -89,3 +89,8 @@ def test_payloads_of_one_source_are_not_one_task(spark, tmp_path):
     assert len(got) == len(set(got)) == made.counters(spark).first()["written"] == 6
     made.batch(raw.where("raw_id = 'r3'"), 1)
     assert made.fares(spark).count() == 6 and made.counters(spark).first()["written"] == 7
+    # a folder of before batches marked what leads
+    older = cleaning.Chain(MAPPING, trust, routes, f"{tmp_path}/older")
+    spark.read.parquet(made.at("marked", 0)).drop("leads").write.parquet(older.at("marked", 0))
+    spark.range(1).write.parquet(older.at("done", 0))
+    assert sorted((r["source"], r["flight_number"]) for r in older.fares(spark).collect()) == sorted(got)
